@@ -1,0 +1 @@
+"""Every operator of this library is a batch job over tables; there is no streaming operator to offer."""
