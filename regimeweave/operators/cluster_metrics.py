@@ -72,9 +72,9 @@ def calinski_harabasz(df: DataFrame, vector: str, label: str, dim: int, classes:
         F.count(F.lit(1)).alias("_n"), F.sum(own * own).alias("_w"), F.any_value("_own").alias("_c")
     )
     table = parts.agg(F.sum("_n").alias("n"), F.sum("_w").alias("w"), F.collect_list(F.struct("_n", "_c")).alias("t"))
-    grand = F.array(
-        *[V.total(F.transform("t", lambda e, i=i: e["_c"][i] * e["_n"])) / F.col("n") for i in range(dim)]
-    )
+    weighted = F.transform("t", lambda e: F.transform(e["_c"], lambda x: x * e["_n"] / F.col("n")))
+    zeros = F.array(*[F.lit(0.0)] * dim)
+    grand = F.aggregate(weighted, zeros, lambda acc, c: F.zip_with(acc, c, lambda x, y: x + y))
     placed = table.withColumn("g", grand)
     between = V.total(
         F.transform("t", lambda e: e["_n"] * V.euclidean(e["_c"], F.col("g")) * V.euclidean(e["_c"], F.col("g")))

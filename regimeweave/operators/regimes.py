@@ -14,7 +14,12 @@ from regimeweave.operators.quality import GateError
 def centroid_table(spark: SparkSession, centers: Sequence[Sequence[float]]) -> DataFrame:
     """Centroids as a table; ids are the positions ``0..K-1``."""
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
-    return spark.createDataFrame(rows, "cluster_id int, center array<double>")
+    if sum(len(c) for _, c in rows) > 2000:
+        return spark.createDataFrame(rows, "cluster_id int, center array<double>")
+    entries = [
+        F.struct(F.lit(i).alias("cluster_id"), F.array(*[F.lit(x) for x in c]).alias("center")) for i, c in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*entries)))
 
 
 def mean_vectors(df: DataFrame, vector: str, by: str, dim: int, classes: Sequence[int]) -> DataFrame:

@@ -266,7 +266,7 @@ def padded_geometry(arrays: DataFrame, x_margin: float = 0.5, y_margin: float =
     zipped = F.arrays_zip(*[F.col(f"{p}s").alias(p) for p in PRICES])
     limits = ["axis_x_low", "axis_x_high", "axis_y_low", "axis_y_high"]
     candles = framed.select(*keys, "_lift", *limits, F.posexplode(zipped).alias("position", "_c"))
-    body_low, top = F.least("_c.opens", "_c.closes"), F.greatest("_c.opens", "_c.closes")
+    body_low, top = F.least("_c.open", "_c.close"), F.greatest("_c.open", "_c.close")
     body_high = F.when(top == body_low, body_low + F.col("_lift")).otherwise(top)
     return candles.select(
         *keys,
@@ -274,8 +274,8 @@ def padded_geometry(arrays: DataFrame, x_margin: float = 0.5, y_margin: float =
         body_low.alias("body_low"),
         body_high.alias("body_high"),
         ((body_low + body_high) / 2).alias("body_mid"),
-        F.col("_c.lows").alias("wick_low"),
-        F.col("_c.highs").alias("wick_high"),
-        (F.col("_c.closes") >= F.col("_c.opens")).alias("rising"),
+        F.col("_c.low").alias("wick_low"),
+        F.col("_c.high").alias("wick_high"),
+        (F.col("_c.close") >= F.col("_c.open")).alias("rising"),
         *limits,
     )

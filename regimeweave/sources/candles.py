@@ -29,19 +29,14 @@ def read_kline_pages(spark: SparkSession, path: str) -> DataFrame:
         F.posexplode("page").alias("_row", "f"),
     )
     millis = F.try_element_at("f", F.lit(1)).try_cast("bigint")
-    utc = F.timestamp_seconds(millis / 1000)
-    fields = rows.select(
+    since_epoch = F.make_dt_interval(secs=(millis / 1000).cast("decimal(18,6)"))
+    stamped = rows.select(
         "_file",
         "_page",
         "_row",
-        F.to_utc_timestamp(utc, F.current_timezone()).cast("timestamp_ntz").alias("_local"),
-        F.expr("timestamp_ntz'1970-01-01 00:00:00'").alias("_epoch"),
-        millis.alias("_ms"),
+        (F.expr("timestamp_ntz'1970-01-01 00:00:00'") + since_epoch).alias("open_time"),
         *[number(F.try_element_at("f", F.lit(i + 2))).alias(p) for i, p in enumerate(PRICES)],
-    ).drop("_local")
-    stamped = fields.withColumn(
-        "open_time", F.col("_epoch") + F.make_dt_interval(secs=(F.col("_ms") / 1000).cast("decimal(18,6)"))
-    ).drop("_epoch", "_ms")
+    )
     return dedupe_first(stamped, ["open_time"], ["_file", "_page", "_row"]).select("open_time", *PRICES)
 
 
