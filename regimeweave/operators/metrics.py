@@ -202,13 +202,13 @@ def audit_predictions(
     )
 
 
-def worst_rows(predictions: DataFrame, k: int, n: int = 10, prefix: str = "predicted_probability_cluster_", key: str = "pair_id") -> DataFrame:
-    """The ``n`` rows whose probabilities are farthest from summing to one."""
+def worst_rows(predictions: DataFrame, k: int, n: int = 10, prefix: str = "predicted_probability_cluster_", key: str = "pair_id", digits: int = 12) -> DataFrame:
+    """The ``n`` rows whose probabilities are farthest from summing to one, compared at ``digits`` decimals."""
     total = V.total(_probability_array(k, prefix))
     rows = predictions.select(
         key, *[F.col(f"{prefix}{i}") for i in range(k)], total.alias("row_sum"), F.abs(total - 1.0).alias("absolute_deviation")
     )
-    return rows.orderBy(F.col("absolute_deviation").desc(), key).limit(n)
+    return rows.orderBy(F.round("absolute_deviation", digits).desc(), key).limit(n)
 
 
 def changed_rows(

@@ -36,16 +36,18 @@ def exact_quantile(
     groups = list(classes) if by else [0]
     if by:
         rows = rows.where(F.col("_g").isin(groups))
-    slack = 2.0 / accuracy
+    # sketch error 1/accuracy, rank rounding at most 2/n; below, n > accuracy wherever the sketch is used
+    slack = 8.0 / accuracy
     low, high = max(p - slack, 0.0), min(p + slack, 1.0)
     sketch = rows.groupBy("_g").agg(
         F.percentile_approx("_x", [low, high], accuracy).alias("_b"), F.count(F.lit(1)).alias("_n")
     )
+    few = F.col("_n") <= accuracy  # a small group is its own bracket
     bracket = sketch.select(
         "_g",
         F.struct(
-            (F.lit(float("-inf")) if low <= 0.0 else F.col("_b")[0]).alias("low"),
-            (F.lit(float("inf")) if high >= 1.0 else F.col("_b")[1]).alias("high"),
+            (F.lit(float("-inf")) if low <= 0.0 else F.when(few, float("-inf")).otherwise(F.col("_b")[0])).alias("low"),
+            (F.lit(float("inf")) if high >= 1.0 else F.when(few, float("inf")).otherwise(F.col("_b")[1])).alias("high"),
             F.col("_n").alias("n"),
         ).alias("_v"),
     )
