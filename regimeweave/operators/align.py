@@ -12,6 +12,7 @@ from regimeweave.functions.predicates import timestamp_utc, unix_path
 from regimeweave.functions.timing import interval
 from regimeweave.operators.gaps import HOUR
 from regimeweave.operators.quality import require_none, require_unique
+from regimeweave.operators.skew import skew_join
 
 
 def _sides(windows: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -223,8 +224,9 @@ def resolve_paths(manifest: DataFrame, files: DataFrame, root: str, path: str =
     )
     for i in range(3):
         rows = rows.join(listed.select(F.col("_f").alias(f"_w{i}"), F.lit(True).alias(f"_hit{i}")), f"_w{i}", "left")
-    rows = rows.join(names, "_name", "left")
     exact = F.coalesce(*[F.when(F.col(f"_hit{i}"), F.col(f"_w{i}")) for i in range(3)])
+    # one file name may serve most of the manifest
+    rows = skew_join(rows, names, "_name", "left")
     return rows.select(
         *manifest.columns,
         F.coalesce(exact, F.col("_by_name")).alias("resolved_path"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regimeweave.functions.predicates import unix_path
 from regimeweave.functions.timing import elapsed_seconds, id_block
 from regimeweave.operators.ordering import with_previous
 
@@ -110,6 +111,9 @@ def audit_spans(
         "label_outside_range": ~F.coalesce(label, F.lit(False)),
         "not_chronological": F.col("input_start_index") < F.col("_previous"),
     }
+    if {"input_image", "target_image"} <= set(pairs.columns):
+        # the target must never be its own predictor
+        rules["input_equals_target"] = unix_path(F.col("input_image")) == unix_path(F.col("target_image"))
     counted = followed.groupBy("partition").agg(
         F.min("input_start_index").alias("_first"),
         F.max("target_stop_index").alias("_last"),

@@ -169,9 +169,14 @@ def recommend_k(metrics: DataFrame) -> DataFrame:
 
 
 def _top_n(df: DataFrame, n: int, classes: Sequence[int], order: Sequence[str], label: str) -> DataFrame:
-    """First ``n`` rows per class in ``order``; each class is a distributed top-k, not a window over the class."""
-    parts = [df.where(F.col(label) == c).orderBy(*order).limit(n) for c in classes]
-    return reduce(DataFrame.unionByName, parts)
+    """First ``n`` rows per class in ``order``.
+
+    A rank filter this small is applied inside every input partition before the shuffle, so a
+    class that holds most rows still sends only ``n`` rows per partition to its task.
+    """
+    inside = Window.partitionBy(label).orderBy(*order)
+    kept = df.where(F.col(label).isin(list(classes)))
+    return kept.withColumn("_i", F.row_number().over(inside)).where(F.col("_i") <= n).drop("_i")
 
 
 def exemplars(

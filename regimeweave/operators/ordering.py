@@ -50,6 +50,29 @@ def with_position(
     return numbered.drop(BLOCK, "_local", "_before", "_total")
 
 
+def with_tied_position(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    tiebreak: Sequence[str],
+    block: Column,
+    out: str = "row_index",
+) -> DataFrame:
+    """0-based position when many rows share the leading order column ``value``.
+
+    Rows are counted per value first (copies merge before the shuffle), the counts are summed
+    up in blocks of values, and only rows of one value are numbered together. ``block`` is a
+    coarse key of ``value``; ``(value, tiebreak)`` must be unique inside a group.
+    """
+    keys = [*by, value]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    sums = with_running_sums(counts, by, [value], block, {"_to": F.col("_c")})
+    offsets = sums.select(*keys, (F.col("_to") - F.col("_c")).alias("_from"))
+    local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*tiebreak)))
+    numbered = local.join(offsets, keys)
+    return numbered.withColumn(out, F.col("_from") + F.col("_local") - 1).drop("_local", "_from")
+
+
 def with_running_sums(
     df: DataFrame,
     by: Sequence[str],

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regimeweave.functions.timing import time_block
-from regimeweave.operators.ordering import with_position
+from regimeweave.operators.ordering import with_position, with_tied_position
+from regimeweave.operators.skew import skew_join
 from regimeweave.operators.soft_targets import class_counts
 
 
@@ -18,11 +19,11 @@ def with_rank(
     time: str = "input_start_time",
     partition: str = "partition",
     tiebreak: Sequence[str] = ("pair_id",),
-    block: timedelta = timedelta(days=1),
+    block: timedelta = timedelta(days=30),
     out: str = "chronological_rank",
 ) -> DataFrame:
-    """0-based time order inside each partition."""
-    return with_position(pairs, [partition], [time, *tiebreak], time_block(F.col(time), block), out)
+    """0-based time order inside each partition; many symbols may share a start time."""
+    return with_tied_position(pairs, [partition], time, tiebreak, time_block(F.col(time), block), out)
 
 
 def with_shuffle_rank(
@@ -91,13 +92,9 @@ def duplicate_groups(df: DataFrame, digest: str, name: str) -> DataFrame:
 
 
 def duplicate_members(df: DataFrame, digest: str, name: str) -> DataFrame:
-    """The rows of all duplicate groups, one row per member so that no group is held in one array.
-
-    The join key may be hot (one content copied very often): the many-row side is only filtered
-    by it, which adaptive execution splits over tasks.
-    """
+    """The rows of all duplicate groups, one row per member so that no group is held in one array."""
     groups = duplicate_groups(df, digest, name).select(digest)
-    return df.select(digest, name).join(groups, digest, "left_semi")
+    return skew_join(df.select(digest, name), groups, digest, "left_semi")
 
 
 def duplicate_summary(df: DataFrame, digest: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimeweave.functions.timing import id_block
-from regimeweave.operators.ordering import with_position, with_running_sums
+from regimeweave.operators.ordering import with_running_sums, with_tied_position
 from regimeweave.operators.quality import GateError
 
 Bounds = dict[str, tuple[datetime, datetime]]
@@ -155,7 +155,9 @@ def split_purge_forward(
     """
     if not 0 < fraction < 1:
         raise ValueError("fraction must lie between 0 and 1")
-    placed = with_position(windows, [], list(order), id_block(F.col(order[0]), BLOCK_SIZE), "_i", "_n")
+    value, *tiebreak = order
+    placed = with_tied_position(windows, [], value, tiebreak, id_block(F.col(value), BLOCK_SIZE), "_i")
+    placed = placed.withColumn("_n", windows.agg(F.count(F.lit(1))).scalar())
     n = F.col("_n")
     candidates = F.least(F.greatest(F.bround(n * F.lit(fraction)).cast("bigint"), F.lit(1)), n - 1)
     placed = placed.withColumn("_cut", n - candidates)

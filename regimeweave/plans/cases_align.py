@@ -82,14 +82,14 @@ def align_long(spark, sf):
 @case(
     "D3_reconstruct_current",
     f"""{S.base(upto='lab')}, {S.cand(90, 'c90')}, span AS (SELECT s.symbol, s.row_index AS i, z.cluster_id FROM c90 s
-      JOIN lab z ON z.symbol = s.symbol AND z.start_index = s.row_index + 60 WHERE s.oks = 89 AND s.row_index % 15 = 0)
+      JOIN lab z ON z.symbol = s.symbol AND z.start_index = s.row_index + 60 WHERE s.oks = 89)
     SELECT a.symbol, {b('a.i', 'input_start_index')}, {b('a.cluster_id', 'target_cluster_id')}, {b('k.cluster_id', 'recent_input_cluster_id')}
     FROM span a LEFT JOIN span k ON k.symbol = a.symbol AND k.i + 60 = a.i + 30""",
 )
 def reconstruct_current(spark, sf):
     run_table = stage(I.runs(spark, sf), "runs")
     labelled = regimes.assign(I.describe(run_table), "features", I.frozen(spark))
-    spans = W.build_spans(run_table, 60, 30, stride=15)
+    spans = W.build_spans(run_table, 60, 30)
     targets = labelled.select("symbol", F.col("start_index").alias("target_start_index"), F.col("cluster_id").alias("target_cluster_id"))
     held = stage(spans.join(targets, ["symbol", "target_start_index"]), "spans")
     return tidy(align.reconstruct_current(held, 30).select("symbol", "input_start_index", "target_cluster_id", "recent_input_cluster_id"))
@@ -125,6 +125,7 @@ merged AS (SELECT o.pair_id, o."partition", c.target_cluster_id, c.eligible FROM
 
 
 def _relabelled(spark, sf):
+    """An older manifest that lacks some pairs, and the corrected labels of all of them."""
     rows = I.pairs(spark, sf)
     iso = F.concat(F.replace(F.col("input_start_time").cast("string"), F.lit(" "), F.lit("T")), F.lit("+00:00"))
     old = rows.where("input_start_index % 10 <> 3").select(
@@ -219,6 +220,7 @@ def conserved(spark, sf):
 )
 def missing_files(spark, sf):
     found = stage(I.windows(spark, sf, True), "windows")
+    # the listing lacks some files, so that there is something to find
     manifest = found.select("symbol", "sample_name", F.concat_ws("\\", "symbol", "sample_name").alias("image_path"))
     files = found.where("start_index % 6 <> 1").select(F.concat_ws("/", "symbol", "sample_name").alias("path"))
     return align.missing_files(manifest, files).select("symbol", "sample_name")

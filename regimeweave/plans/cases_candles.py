@@ -524,10 +524,10 @@ SPANS_SQL = f"{IDX_T},\n{S.cand(40, 'span')}"
     'sample_' || (row_index + 30) || '_' || stop_index AS target_sample_name,
     {b('row_index', 'input_start_index')}, {b('row_index + 29', 'input_stop_index')}, {b('row_index + 30', 'target_start_index')},
     {b('stop_index', 'target_stop_index')}, {t('open_time', 'input_start_time')}, {t("open_time + INTERVAL '29 hours'", 'input_stop_time')},
-    {t("open_time + INTERVAL '30 hours'", 'target_start_time')}, {t('stop_time', 'target_stop_time')} FROM span WHERE oks = 39 AND row_index % 2 = 0""",
+    {t("open_time + INTERVAL '30 hours'", 'target_start_time')}, {t('stop_time', 'target_stop_time')} FROM span WHERE oks = 39""",
 )
 def spans(spark, sf):
-    return tidy(W.build_spans(I.runs(spark, sf, True), 30, 10, stride=2))
+    return tidy(W.build_spans(I.runs(spark, sf, True), 30, 10))
 
 
 @case(

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType, TimestampNTZType, TimestampType
 
-from regimeweave.operators import align, regimes, reports, splits
+from regimeweave.operators import regimes
 from regimeweave.operators.gaps import HOUR, with_runs
-from regimeweave.operators.windows import build_windows, scale_features
+from regimeweave.operators.windows import build_windows
+from regimeweave.plans import forecast
 from regimeweave.session import stage
 
 N = 30
@@ -76,21 +77,7 @@ def windows(spark: SparkSession, sf_dir: str, by_type: bool = False, n: int = N)
 
 
 def describe(run_table: DataFrame, n: int = N, every: timedelta = HOUR) -> DataFrame:
-    """Windows with their manifest columns and the two numeric features, in one pass."""
-    from regimeweave.functions.timing import interval
-    from regimeweave.operators.windows import sample_name
-
-    features = scale_features(run_table, n, every)
-    stop = F.col("start_index") + (n - 1)
-    return features.select(
-        "symbol",
-        sample_name(F.col("start_index"), stop).alias("sample_name"),
-        "start_index",
-        stop.alias("stop_index"),
-        "start_time",
-        (F.col("start_time") + interval(every, n - 1)).alias("stop_time"),
-        F.array("log_return", "volatility").alias("features"),
-    )
+    return forecast.describe(run_table, n, every)
 
 
 def frozen(spark: SparkSession) -> DataFrame:
@@ -99,20 +86,17 @@ def frozen(spark: SparkSession) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str, by_type: bool = False, every: timedelta = HOUR) -> DataFrame:
     """Valid windows with regime, distances and margins."""
-    return regimes.assign(describe(runs(spark, sf_dir, by_type, every), N, every), "features", frozen(spark))
+    return forecast.labelled_windows(candles(spark, sf_dir, by_type, every), frozen(spark), N, every)
 
 
 def all_pairs(spark: SparkSession, sf_dir: str, by_type: bool = False, every: timedelta = HOUR) -> DataFrame:
     """Every window with its future window, before any split."""
-    keep = ["symbol", "sample_name", "start_index", "stop_index", "start_time", "stop_time", "cluster_id", "distances"]
-    source = stage(labelled(spark, sf_dir, by_type, every).select(*keep), "labelled")
-    return align.pair_windows(source, N, every)
+    return forecast.future_pairs(labelled(spark, sf_dir, by_type, every), N, every)
 
 
 def pairs(spark: SparkSession, sf_dir: str, by_type: bool = False, every: timedelta = HOUR) -> DataFrame:
-    """Split and ranked pairs as a stage table; train-fitted operators read it several times."""
-    split = splits.split_fixed(all_pairs(spark, sf_dir, by_type, every), PERIODS)
-    return stage(reports.with_rank(split), "pairs")
+    """Split and ranked pairs as a stage table."""
+    return forecast.forecast_pairs(labelled(spark, sf_dir, by_type, every), N, PERIODS, every)
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:

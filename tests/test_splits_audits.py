@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regimeweave.operators import audits, quality, reports, splits
+from regimeweave.operators.skew import skew_join
 from tests.helpers import START
 
 HOUR = timedelta(hours=1)
@@ -118,3 +119,36 @@ def test_one_content_held_by_most_rows(spark):
     assert reports.duplicate_members(df, "h", "id").count() == 2000
     row = reports.duplicate_summary(df, "h", "id").first()
     assert (row.row_count, row.unique_hash_count, row.duplicate_group_count) == (3000, 1001, 1)
+
+
+def test_skew_join_equals_a_plain_join(spark):
+    left = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 50).cast("string")).alias("k"))
+    right = spark.createDataFrame([("hot", 1), ("3", 2), ("9", 3), ("none", 4)], "k string, v int")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        plain = sorted(map(str, left.join(right, "k", how).select("id", "k").collect()))
+        assert sorted(map(str, skew_join(left, right, "k", how, hot_keys=2).select("id", "k").collect())) == plain
+
+
+def test_rank_with_many_rows_per_time(spark):
+    df = spark.range(300).select(
+        F.format_string("%03d", "id").alias("pair_id"), F.lit("train").alias("partition"),
+        (F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(hours=F.floor(F.col("id") / 100).cast("int"))).alias("input_start_time"),
+    )
+    rows = reports.with_rank(df, block=HOUR).collect()
+    assert all(int(r.pair_id) == r.chronological_rank for r in rows)
+
+
+def test_span_rules(spark):
+    schema = (
+        "partition string, chronological_rank bigint, input_start_index bigint, input_stop_index bigint, target_start_index bigint, "
+        "target_stop_index bigint, target_cluster_id int, input_image string, target_image string"
+    )
+    rows = [
+        ("train", 0, 0, 2, 3, 4, 0, "a", "b"), ("train", 1, 5, 7, 9, 10, 1, "c", "c"), ("train", 2, 4, 6, 7, 8, 7, "d", "e"),
+        ("validation", 0, 10, 12, 13, 14, 0, "f", "g"),
+    ]
+    found = audits.audit_spans(spark.createDataFrame(rows, schema), 3, 2, [0, 1]).where("violations > 0").collect()
+    assert {(r.partition, r.rule): r.violations for r in found} == {
+        ("train", "overlap_or_gap"): 1, ("train", "label_outside_range"): 1, ("train", "not_chronological"): 1,
+        ("train", "input_equals_target"): 1, ("validation", "overlaps_previous_partition"): 1,
+    }
