@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TINY = 1e-12
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression named inside a lambda is evaluated again for every element, even when it comes
+    from an earlier column, because the optimizer may inline that column. A bound lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -22,8 +33,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit-length copy of a vector; the zero vector has no direction and yields null."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), length))
+    return let(v, lambda w: let(norm(w), lambda n: F.transform(w, lambda x: F.try_divide(x.cast("double"), n))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -38,13 +48,12 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def distances_to(v: Column, centers: Column) -> Column:
     """Distance of ``v`` to every vector of the array ``centers``, in the order of ``centers``."""
-    return F.transform(centers, lambda c: euclidean(v, c))
+    return let(v, lambda w: F.transform(centers, lambda c: euclidean(w, c)))
 
 
 def project(v: Column, mean: Column, components: Column) -> Column:
     """Centre, then one dot product per component."""
-    centred = subtract(v, mean)
-    return F.transform(components, lambda c: dot(centred, c))
+    return let(subtract(v, mean), lambda w: F.transform(components, lambda c: dot(w, c)))
 
 
 def ranked(d: Column) -> Column:
@@ -59,10 +68,14 @@ def argmax(p: Column) -> Column:
 
 def gibbs(d: Column, temperature: Column) -> Column:
     """Soft memberships ``exp(-(d - min d) / temperature)``, scaled to sum to one."""
-    nearest = F.array_min(d)
-    affinity = F.transform(d, lambda x: F.exp((nearest - x) / temperature))
-    mass = total(affinity)
-    return F.transform(affinity, lambda a: a / mass)
+    def affinities(w: Column) -> Column:
+        return let(F.array_min(w), lambda nearest: F.transform(w, lambda x: F.exp((nearest - x) / temperature)))
+
+    return scaled_to_one(let(d, affinities))
+
+
+def scaled_to_one(v: Column) -> Column:
+    return let(v, lambda w: let(total(w), lambda mass: F.transform(w, lambda x: x / mass)))
 
 
 def entropy(m: Column) -> Column:

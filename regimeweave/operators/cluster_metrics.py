@@ -23,8 +23,7 @@ def cluster_balance(df: DataFrame, classes: Sequence[int], label: str = "cluster
     """Smallest and largest cluster, their shares, and the entropy relative to ``ln K``; empty clusters count."""
     k = len(classes)
     sizes = df.agg(F.array(*[F.count_if(F.col(label) == c) for c in classes]).alias("sizes"))
-    n = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    shares = sizes.withColumn("_n", n).withColumn("_p", F.transform("sizes", lambda x: x / F.col("_n")))
+    shares = sizes.withColumn("_p", V.scaled_to_one(F.transform("sizes", lambda x: x.cast("double"))))
     entropy = -V.total(F.transform("_p", lambda p: F.when(p > 0, p * F.ln(p)).otherwise(F.lit(0.0))))
     return shares.select(
         "sizes",

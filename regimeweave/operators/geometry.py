@@ -51,16 +51,16 @@ def with_confidence(
         F.transform("centers", lambda c: V.distances_to(c, F.col("centers"))).alias("grid")
     )
     held = ordered.withColumn("_grid", grid.scalar()).withColumn("_row", F.col("_grid")[F.col("nearest_cluster_id")])
-    d1 = F.col("nearest_distance")
-    held = held.withColumn(
-        "_q",
-        F.transform(
-            DIST,
-            lambda d, j: F.when(
-                j != F.col("nearest_cluster_id"), V.clip((d - d1) / F.col("_row")[j], 0.0, 1.0)
-            ),
-        ),
+    own = F.struct(
+        F.col("nearest_cluster_id").alias("id"), F.col("nearest_distance").alias("d1"), F.col("_row").alias("row")
     )
+
+    def separations(o):
+        return F.transform(
+            DIST, lambda d, j: F.when(j != o["id"], V.clip((d - o["d1"]) / o["row"][j], 0.0, 1.0))
+        )
+
+    held = held.withColumn("_q", V.let(own, separations))
     return held.withColumns(
         {
             "assigned_to_second_centroid_distance": F.col("_row")[F.col("second_nearest_cluster_id")],

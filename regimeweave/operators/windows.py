@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from regimeweave.functions.predicates import PRICES
 from regimeweave.functions.timing import interval, time_block
-from regimeweave.functions.vectors import TINY
+from regimeweave.functions.vectors import TINY, let
 from regimeweave.operators.gaps import BLOCK_WIDTH, HOUR
 from regimeweave.operators.ordering import BLOCK
 
@@ -221,12 +221,17 @@ def scale_features(
 def shape_features(arrays: DataFrame, out: str = "shape") -> DataFrame:
     """All prices of the window (opens, highs, lows, closes) scaled to the window's own range."""
     prices = F.concat(*[F.col(f"{p}s") for p in PRICES])
-    low, high = F.array_min("_p"), F.array_max("_p")
-    width = F.greatest(high - low, F.lit(TINY))
-    scaled = arrays.withColumn("_p", prices).withColumns({"_low": low, "_width": width})
-    return scaled.withColumn(out, F.transform("_p", lambda x: (x - F.col("_low")) / F.col("_width"))).drop(
-        "_p", "_low", "_width"
-    )
+
+    def scaled(p: Column) -> Column:
+        bounds = F.struct(F.array_min(p).alias("low"), F.array_max(p).alias("high"))
+
+        def scale(edge: Column) -> Column:
+            width = F.greatest(edge["high"] - edge["low"], F.lit(TINY))
+            return F.transform(p, lambda x: (x - edge["low"]) / width)
+
+        return let(bounds, scale)
+
+    return arrays.withColumn(out, let(prices, scaled))
 
 
 def candle_geometry(df: DataFrame) -> DataFrame:
