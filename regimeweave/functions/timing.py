@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 
 def seconds(every: timedelta) -> int:
@@ -34,3 +35,8 @@ def elapsed_seconds(later: Column, earlier: Column) -> Column:
 def id_block(number: Column, size: int) -> Column:
     """Block number of an integer key; at most ``size`` distinct keys share a block."""
     return F.floor(number / F.lit(size)).cast("bigint")
+
+
+def moment(value: datetime, kind: DataType | str = "timestamp_ntz") -> Column:
+    """Literal of a naive wall-clock time, independent of the Python and the JVM time zone."""
+    return F.lit(value.isoformat(sep=" ")).cast(kind)

@@ -154,6 +154,11 @@ def pick_image_column(df: DataFrame) -> DataFrame:
     return shares.where("image_share > 0").orderBy(F.col("image_share").desc(), order).limit(1)
 
 
+def _sum(value: str | Column) -> Column:
+    """Sum that is zero for no rows."""
+    return F.coalesce(F.sum(value), F.lit(0))
+
+
 def check_conserved(original: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame:
     """One row: are the parts duplicate-free, disjoint, and together exactly the original ids."""
     tagged = original.select(F.col(key).alias("id"), F.lit("").alias("part"))
@@ -169,7 +174,7 @@ def check_conserved(original: DataFrame, parts: dict[str, DataFrame], key: str)
     counted = per_id.agg(
         F.count_if(F.col("in_original") > 0).alias("original_ids"),
         F.count_if(F.col("in_parts") > 0).alias("part_ids"),
-        F.sum("repeated").alias("repeated_inside_a_part"),
+        _sum("repeated").alias("repeated_inside_a_part"),
         F.count_if(F.col("in_parts") > 1).alias("shared_by_parts"),
         F.count_if((F.col("in_original") > 0) & (F.col("in_parts") == 0)).alias("lost"),
         F.count_if((F.col("in_original") == 0) & (F.col("in_parts") > 0)).alias("invented"),
@@ -183,10 +188,10 @@ def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], rank: str) -> Dat
     tagged = a.select(*keys, rank, F.lit(1).alias("_s")).unionByName(b.select(*keys, rank, F.lit(-1).alias("_s")))
     net = tagged.groupBy(*keys, rank).agg(F.sum("_s").alias("_net"), F.count_if(F.col("_s") > 0).alias("_a"), F.count_if(F.col("_s") < 0).alias("_b"))
     report = net.agg(
-        F.sum("_a").alias("rows_stored"),
-        F.sum("_b").alias("rows_current"),
-        F.sum(F.greatest("_net", F.lit(0))).alias("only_stored"),
-        F.sum(F.greatest(-F.col("_net"), F.lit(0))).alias("only_current"),
+        _sum("_a").alias("rows_stored"),
+        _sum("_b").alias("rows_current"),
+        _sum(F.greatest("_net", F.lit(0))).alias("only_stored"),
+        _sum(F.greatest(-F.col("_net"), F.lit(0))).alias("only_current"),
     )
     return report.withColumn("compatible", (F.col("only_stored") == 0) & (F.col("only_current") == 0))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from regimeweave.functions.predicates import any_of, not_finite, number, ohlc_invalid, timestamp_utc, unix_path
-from regimeweave.functions.timing import elapsed_seconds, time_block
+from regimeweave.functions.timing import elapsed_seconds, moment, time_block
 from regimeweave.operators.gaps import BLOCK_WIDTH
 from regimeweave.operators.ordering import with_position
 
@@ -98,8 +98,8 @@ def with_row_index(
 def period_ends(df: DataFrame, lo: datetime, hi: datetime, by: Sequence[str] = ("symbol",), time: str = "open_time") -> DataFrame:
     """Per symbol: do the first and the last candle of the period exist."""
     return df.groupBy(*by).agg(
-        F.bool_or(F.col(time) == F.lit(lo).cast(df.schema[time].dataType)).alias("has_start"),
-        F.bool_or(F.col(time) == F.lit(hi).cast(df.schema[time].dataType)).alias("has_end"),
+        F.bool_or(F.col(time) == moment(lo, df.schema[time].dataType)).alias("has_start"),
+        F.bool_or(F.col(time) == moment(hi, df.schema[time].dataType)).alias("has_end"),
     )
 
 
@@ -110,7 +110,7 @@ def slice_period(
     if check:
         require_none(period_ends(df, lo, hi, by, time), ~(F.col("has_start") & F.col("has_end")), by, "period end candle missing")
     kind = df.schema[time].dataType
-    inside = df.where(F.col(time).between(F.lit(lo).cast(kind), F.lit(hi).cast(kind)))
+    inside = df.where(F.col(time).between(moment(lo, kind), moment(hi, kind)))
     return with_row_index(inside, by, time, "period_index")
 
 
@@ -138,9 +138,9 @@ def check_boundary(
         F.min(F.when(F.col("b"), F.col("t"))).alias("second_start"),
         F.max(F.when(F.col("b"), F.col("t"))).alias("second_end"),
         F.count_if(F.col("a") & F.col("b")).alias("overlapping_timestamps"),
-        F.count_if(F.col("a") & F.col("t").isin([F.lit(x).cast(kind) for x in inner]) if inner else F.lit(False)).alias("_inner"),
+        F.count_if(F.col("a") & F.col("t").isin([moment(x, kind) for x in inner]) if inner else F.lit(False)).alias("_inner"),
     )
-    ends = [(F.col(k) == F.lit(v).cast(kind)).alias(f"{k}_ok") for k, v in expected.items()]
+    ends = [(F.col(k) == moment(v, kind)).alias(f"{k}_ok") for k, v in expected.items()]
     gap = elapsed_seconds(F.col("second_start"), F.col("first_end"))
     report = facts.select("*", *ends, gap.alias("gap_seconds"), (F.lit(len(inner)) - F.col("_inner")).alias("inner_missing"))
     passed = (

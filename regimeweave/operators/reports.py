@@ -101,7 +101,7 @@ def duplicate_summary(df: DataFrame, digest: str, name: str) -> DataFrame:
     """Rows, distinct contents and duplicate groups, one row."""
     groups = df.groupBy(digest).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
-        F.sum("_n").alias("row_count"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.count(F.lit(1)).alias("unique_hash_count"),
         F.count_if(F.col("_n") > 1).alias("duplicate_group_count"),
     )

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regimeweave.functions.timing import id_block
+from regimeweave.functions.timing import id_block, moment
 from regimeweave.operators.ordering import with_running_sums, with_tied_position
 from regimeweave.operators.quality import GateError
 
@@ -17,7 +17,7 @@ BLOCK_SIZE = 1_000_000
 
 
 def _literal(df: DataFrame, column: str, value: datetime) -> Column:
-    return F.lit(value).cast(df.schema[column].dataType)
+    return moment(value, df.schema[column].dataType)
 
 
 def mark_fixed(

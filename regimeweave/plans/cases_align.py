@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regimeweave.functions.timing import moment
 from regimeweave.operators import align, audits, regimes, reports, splits
 from regimeweave.operators import windows as W
 from regimeweave.operators.lookups import with_lookup
@@ -295,7 +296,7 @@ def split_by_source(spark, sf):
     start = F.col("input_start_time")
     source = (
         F.when(start >= F.expr("timestamp_ntz'2024-01-30 00:00:00'"), "spare")
-        .when(start >= F.lit(TEST_START).cast("timestamp_ntz"), "test")
+        .when(start >= moment(TEST_START), "test")
         .otherwise("train_validation")
     )
     return splits.split_by_source(rows.withColumn("source_id", source), PERIODS).select("pair_id", "source_id", "partition", "reason")

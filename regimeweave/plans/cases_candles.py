@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from regimeweave.functions.predicates import not_finite, number, ohlc_invalid, parsed_flag, timestamp_utc
-from regimeweave.functions.timing import id_block
+from regimeweave.functions.timing import id_block, moment
 from regimeweave.operators import align, gaps, ordering, quality, reports
 from regimeweave.operators import windows as W
 from regimeweave.plans import inputs as I
@@ -344,7 +344,7 @@ CUT = datetime(2024, 1, 21)
 )
 def check_boundary(spark, sf):
     rows = I.candles(spark, sf)
-    cut = F.lit(CUT).cast("timestamp_ntz")
+    cut = moment(CUT)
     expected = {
         "first_start": datetime(2024, 1, 1), "first_end": datetime(2024, 1, 20, 23),
         "second_start": CUT, "second_end": datetime(2024, 1, 30, 23),
