@@ -10,6 +10,31 @@ from pyspark.sql import functions as F
 from regimeweave.functions import vectors as V
 
 
+def fit_rules(
+    train: DataFrame,
+    classes: Sequence[int],
+    current: str = "input_cluster_id",
+    future: str = "target_cluster_id",
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Per group the majority class and the map from current to most frequent next class.
+
+    The lowest id wins a tie; a current class without rows falls back to the majority. Both
+    rules come from one aggregation with ``K * K`` counters.
+    """
+    ids = F.array(*[F.lit(c) for c in classes])
+    rows = [
+        F.array(*[F.count_if((F.col(current) == a) & (F.col(future) == b)) for b in classes]) for a in classes
+    ]
+    counts = F.array(*[F.count_if(F.col(future) == b) for b in classes])
+    counted = train.groupBy(*by).agg(F.array(*rows).alias("_t"), counts.alias("_c"))
+    held = counted.withColumn("majority_class", ids[V.argmax(F.col("_c"))])
+    chosen = F.transform(
+        "_t", lambda row: F.when(F.array_max(row) > 0, ids[V.argmax(row)]).otherwise(F.col("majority_class"))
+    )
+    return held.select(*by, "majority_class", F.map_from_arrays(ids, chosen).alias("next_class"))
+
+
 def majority(train: DataFrame, classes: Sequence[int], label: str = "target_cluster_id", by: Sequence[str] = ()) -> DataFrame:
     """Most frequent training class, the lowest id on a tie; one row per group."""
     counts = F.array(*[F.count_if(F.col(label) == c) for c in classes])
@@ -24,16 +49,9 @@ def transition_map(
     future: str = "target_cluster_id",
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Most frequent next class per current class; an unseen class falls back to the majority."""
-    ids = F.array(*[F.lit(c) for c in classes])
-    rows = [
-        F.array(*[F.count_if((F.col(current) == a) & (F.col(future) == b)) for b in classes]) for a in classes
-    ]
-    counts = F.array(*[F.count_if(F.col(future) == b) for b in classes])
-    counted = train.groupBy(*by).agg(F.array(*rows).alias("_t"), counts.alias("_c"))
-    cells = counted.select(*by, "_c", F.posexplode("_t").alias("_p", "_row"))
-    chosen = F.when(F.array_max("_row") > 0, ids[V.argmax(F.col("_row"))]).otherwise(ids[V.argmax(F.col("_c"))])
-    return cells.select(*by, ids[F.col("_p")].alias("current_cluster_id"), chosen.alias("predicted_cluster_id"))
+    """Most frequent next class per current class, as rows."""
+    rules = fit_rules(train, classes, current, future, by)
+    return rules.select(*by, F.explode("next_class").alias("current_cluster_id", "predicted_cluster_id"))
 
 
 def with_baselines(
@@ -45,13 +63,15 @@ def with_baselines(
 ) -> DataFrame:
     """Adds ``majority``, ``persistence`` and ``transition`` predictions fitted on ``train``."""
     train = pairs.where("partition = 'train'") if train is None else train
-    rules = F.map_from_entries(F.collect_list(F.struct("current_cluster_id", "predicted_cluster_id")))
-    held = pairs.withColumn("majority", majority(train, classes, label).scalar()).withColumn(
-        "_map", transition_map(train, classes, current, label).agg(rules).scalar()
-    )
+    rules = fit_rules(train, classes, current, label).select(F.struct("majority_class", "next_class"))
+    held = pairs.withColumn("_rules", rules.scalar())
     return held.withColumns(
-        {"persistence": F.col(current), "transition": F.try_element_at("_map", F.col(current))}
-    ).drop("_map")
+        {
+            "majority": F.col("_rules.majority_class"),
+            "persistence": F.col(current),
+            "transition": F.try_element_at("_rules.next_class", F.col(current)),
+        }
+    ).drop("_rules")
 
 
 def long_predictions(

@@ -89,10 +89,16 @@ def _pairs(n: Column) -> Column:
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index of two labelings, from their contingency table."""
     cells = df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    rows = cells.groupBy("_a").agg(F.sum("_n").alias("_n")).agg(F.sum(_pairs(F.col("_n"))))
-    columns = cells.groupBy("_b").agg(F.sum("_n").alias("_n")).agg(F.sum(_pairs(F.col("_n"))))
-    both = cells.agg(F.sum(_pairs(F.col("_n"))).alias("_ij"), F.sum("_n").alias("_n"))
-    held = both.withColumn("_i", rows.scalar()).withColumn("_j", columns.scalar())
+    # cell, row and column totals of the contingency table in one pass over the rows
+    totals = cells.cube("_a", "_b").agg(F.sum("_n").alias("_n"), F.grouping_id().alias("_level"))
+
+    def level(k: int, value: Column) -> Column:
+        return F.sum(F.when(F.col("_level") == k, value))
+
+    pairs = _pairs(F.col("_n"))
+    held = totals.agg(
+        level(0, pairs).alias("_ij"), level(1, pairs).alias("_i"), level(2, pairs).alias("_j"), level(3, F.col("_n")).alias("_n")
+    )
     expected = F.col("_i") * F.col("_j") / _pairs(F.col("_n"))
     most = (F.col("_i") + F.col("_j")) / 2
     # two labelings that are both all-equal or both all-different agree fully

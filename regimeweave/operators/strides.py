@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regimeweave.operators.baselines import majority, transition_map
+from regimeweave.operators.baselines import fit_rules
 from regimeweave.operators.lookups import class_map
 
 
@@ -26,17 +26,14 @@ def with_stride_baselines(
     label: str = "target_cluster_id",
 ) -> DataFrame:
     """Majority, persistence and transition predictions, fitted per stride on ``train``."""
-    best = class_map(majority(train, classes, label, ["stride"]), "stride", "majority_class", strides)
-    # at most strides x classes entries
-    moves = transition_map(train, classes, current, label, ["stride"]).groupBy("stride").agg(
-        F.map_from_entries(F.collect_list(F.struct("current_cluster_id", "predicted_cluster_id"))).alias("_m")
-    )
-    rules = class_map(moves, "stride", "_m", strides)
-    held = frames.withColumn("_best", best.scalar()).withColumn("_rules", rules.scalar())
+    # one entry per stride
+    fitted = fit_rules(train, classes, current, label, ["stride"])
+    rules = class_map(fitted, "stride", F.struct("majority_class", "next_class"), strides)
+    held = frames.withColumn("_all", rules.scalar()).withColumn("_rules", F.try_element_at("_all", F.col("stride")))
     return held.withColumns(
         {
-            "majority": F.try_element_at("_best", F.col("stride")),
+            "majority": F.col("_rules.majority_class"),
             "persistence": F.col(current),
-            "transition": F.try_element_at(F.try_element_at("_rules", F.col("stride")), F.col(current)),
+            "transition": F.try_element_at("_rules.next_class", F.col(current)),
         }
-    ).drop("_best", "_rules")
+    ).drop("_all", "_rules")
