@@ -17,8 +17,16 @@ def number(col: Column) -> Column:
 
 
 def timestamp_utc(col: Column) -> Column:
-    """UTC wall-clock timestamp of ISO text, ``Z`` and ``+00:00`` suffixes included; bad text gives null."""
-    return F.regexp_replace(col.cast("string"), r"(?i)\s*(z|utc|[+-]00:?00)$", "").try_cast("timestamp_ntz")
+    """UTC wall-clock timestamp of ISO text, whatever its offset; bad text gives null.
+
+    Text without an offset is taken as UTC.
+    """
+    text = F.regexp_replace(col.cast("string"), r"(?i)\s*(z|utc)$", "")
+    zone = F.regexp_extract(text, r"\d:\d{2}[\d:.]*\s*([+-]\d{2}:?\d{2})$", 1)
+    local = F.when(zone == "", text).otherwise(F.regexp_replace(text, r"\s*[+-]\d{2}:?\d{2}$", ""))
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int")
+    ahead = F.when(zone == "", 0).when(zone.startswith("-"), -minutes).otherwise(minutes)
+    return local.try_cast("timestamp_ntz") - F.make_dt_interval(mins=ahead)
 
 
 def any_of(predicates: list[Column]) -> Column:

@@ -47,7 +47,8 @@ def resolve_columns(
     lookup = {c.strip().lower(): c for c in available}
     found = {}
     for name in ("open_time", *PRICES):
-        wanted = [columns[name]] if columns and name in columns else list(aliases) if name == "open_time" else [name]
+        known = list(aliases) if name == "open_time" else [name]
+        wanted = [columns[name], *known] if columns and name in columns else known
         match = next((lookup[w.strip().lower()] for w in wanted if w.strip().lower() in lookup), None)
         if match is None:
             raise GateError(f"no column for {name}: expected one of {wanted}, found {list(available)}")

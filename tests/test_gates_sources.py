@@ -24,6 +24,19 @@ def test_coercion_turns_bad_values_into_null(spark):
     assert rows[0].t.isoformat() == "2024-01-01T00:00:00" and rows[1].t is None
 
 
+def test_offsets_are_converted_to_utc(spark):
+    texts = [
+        "2024-01-01T03:00:00+02:00", "2024-01-01 03:00:00.5 -0530", "2024-01-01T03:00Z", "2024-01-01", "2024-01-01 03:00:00 UTC",
+        "2024-01-01 03:00:00+00:00", "later",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0].isoformat() if r[0] else None for r in df.orderBy("i").select(P.timestamp_utc(F.col("t"))).collect()]
+    assert got == [
+        "2024-01-01T01:00:00", "2024-01-01T08:30:00.500000", "2024-01-01T03:00:00", "2024-01-01T00:00:00",
+        "2024-01-01T03:00:00", "2024-01-01T03:00:00", None,
+    ]
+
+
 def test_ohlc_rules(spark):
     rows = [(10.0, 12.0, 9.0, 11.0), (10.0, 9.0, 8.0, 9.5), (10.0, 12.0, 10.5, 11.0), (0.0, 1.0, 0.0, 1.0), (None, 1.0, 1.0, 1.0), (float("nan"), 1.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "open double, high double, low double, close double")
@@ -99,6 +112,7 @@ def test_csv_columns_by_alias_and_by_configuration(spark, tmp_path):
     assert rows[0].close == 1.5 and rows[1].open_time is None and rows[1].open is None
     named = C.read_ohlc(spark, str(tmp_path / "a.csv"), {"close": "settle"}).first()
     assert named.close == 9.0
+    assert C.resolve_columns(["TIME", "open", "high", "low", "close"], {"open_time": "when"})["open_time"] == "TIME"
     with pytest.raises(quality.GateError):
         C.resolve_columns(["open_time", "open", "high", "low"])
 
