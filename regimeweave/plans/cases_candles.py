@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from regimeweave.functions.predicates import not_finite, number, ohlc_invalid, parsed_flag, timestamp_utc
+from regimeweave.functions.predicates import not_finite, ohlc_invalid, parsed_flag
 from regimeweave.functions.timing import id_block, moment
 from regimeweave.operators import align, gaps, ordering, quality, reports
 from regimeweave.operators import windows as W

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from regimeweave.operators.quality import GateError, require_domain, require_finite, require_none, require_unique
+from regimeweave.operators.quality import GateError, require_domain, require_finite, require_unique
 
 # write policy names and the Spark save modes they stand for
 MODES = {"error": "errorifexists", "resume": "ignore", "overwrite": "overwrite"}
