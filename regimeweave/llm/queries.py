@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regimeweave.llm import exact_dedup, fair_mix, quality_rules, quote_links, url_filter
+from regimeweave.llm import exact_dedup, fair_mix, ngram_join, pieces, quality_model, quality_rules, quote_links, toxicity, url_filter
 from regimeweave.llm.common import table
 
 
@@ -12,10 +12,18 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.evaluate(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -27,15 +35,29 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.refine(table(spark, sf_dir, "documents"), digest_singles=True)
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_piece_encoding": op2_piece_encoding,
     "op3_chat_quotes": op3_chat_quotes,
+    "op4_ngram_join": op4_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality_model": op8_quality_model,
+    "op9_toxicity": op9_toxicity,
     "op10_fair_mix": op10_fair_mix,
 }
 SQL = {
