@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regimeweave.functions.vectors import let
 from regimeweave.llm.common import WORD, text_of
 
 SYMBOLS = "#*$%&|<>"
@@ -33,12 +34,12 @@ def occurrences(text: Column, chars: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, small: Column) -> Column:
     """Whether a line with a word fails one of the rules.
 
     Punctuation: no terminal mark at the end of a line of eight or more words, over one symbol
     for every ten characters, or an exclamation mark for every third word. Navigation: three or
-    more separators, at least one for every four words. Boilerplate: a fixed phrase.
+    more separators, at least one for every four words. Boilerplate: a fixed phrase in ``small``, the line in lower case.
     """
     bare = F.rtrim(F.translate(line, "\r\t\u000b\u000c", "    "))
     n_words = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
@@ -47,7 +48,6 @@ def line_fails(line: Column) -> Column:
     shouting = occurrences(line, "!") * 3 > n_words + 2
     separators = sum((F.char_length(line) - F.char_length(F.replace(line, F.lit(s), F.lit("")))) / len(s) for s in NAVIGATION)
     menu = (separators >= 3) & (separators * 4 >= n_words)
-    small = F.lower(line)
     phrase = F.lit(False)
     for p in BOILERPLATE:
         phrase = phrase | small.contains(p)
@@ -81,7 +81,7 @@ def evaluate(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataF
         "_g",
         F.when(
             F.col("n_words") >= GRAM,
-            F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - (GRAM - 1)), lambda i: F.xxhash64(F.slice("_h", i, GRAM))),
+            let(F.col("_h"), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(h, i, GRAM)))),
         ),
     ).drop("_h")
     pairs = grams.withColumn(
@@ -91,28 +91,29 @@ def evaluate(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataF
             F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))),
         ),
     ).drop("_g")
-    same = lambda p, k: F.coalesce(p["g"] == F.get("_p", k)["g"], F.lit(False))
-    at = pairs.withColumn(
-        "_at",
-        F.sort_array(F.transform(F.filter("_p", lambda p, k: same(p, k - 1) | same(p, k + 1)), lambda p: p["i"])),
-    ).drop("_p")
-    covered = F.aggregate(
-        F.transform("_at", lambda p, k: F.least(F.lit(GRAM), F.coalesce(F.get("_at", k + 1) - p, F.lit(GRAM)))), F.lit(0), lambda a, x: a + x
-    )
+    same = lambda a, p, k: F.coalesce(p["g"] == F.get(a, k)["g"], F.lit(False))
+    found = let(F.col("_p"), lambda a: F.filter(a, lambda p, k: same(a, p, k - 1) | same(a, p, k + 1)))
+    at = pairs.withColumn("_at", F.sort_array(F.transform(found, lambda p: p["i"]))).drop("_p")
+    step = let(F.col("_at"), lambda a: F.transform(a, lambda p, k: F.least(F.lit(GRAM), F.coalesce(F.get(a, k + 1) - p, F.lit(GRAM)))))
+    covered = F.aggregate(step, F.lit(0), lambda a, x: a + x)
     failed = at.withColumns(
         {
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("bigint"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-            "_bad": F.filter("_lines", line_fails),
+            "_judged": let(
+                F.split(F.lower("_t"), "\n", -1),
+                lambda small: F.transform(
+                    F.split("_t", "\n", -1),
+                    lambda x, i: F.struct(x.alias("line"), (x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x, F.get(small, i))).alias("bad")),
+                ),
+            ),
         }
     ).drop("_at", "_lines")
     judged = failed.withColumns(
         {
-            "lost_chars": F.char_length(F.array_join("_bad", "")).cast("bigint"),
+            "lost_chars": F.char_length(F.array_join(F.transform(F.filter("_judged", lambda j: j["bad"]), lambda j: j["line"]), "")).cast("bigint"),
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-            "cleaned": F.when(F.size("_bad") == 0, F.col("_t")).otherwise(
-                F.array_join(F.filter(F.split("_t", "\n", -1), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x))), "\n")
-            ),
+            "cleaned": F.array_join(F.transform(F.filter("_judged", lambda j: ~j["bad"]), lambda j: j["line"]), "\n"),
         }
     ).withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_percent * F.char_length("_t")))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "lost_chars", "kept"]
@@ -120,8 +121,12 @@ def evaluate(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataF
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Documents that pass, with their cleaned text; ``n_chars`` follows the text."""
-    kept = evaluate(docs).where("kept")
+    """Documents that pass, with their cleaned text; ``n_chars`` follows the text.
+
+    The row number keeps the optimizer from moving the filter below the steps of the
+    evaluation, which would repeat all of them inside its condition.
+    """
+    kept = evaluate(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept")
     new = {"text": F.col("cleaned"), "n_chars": F.char_length("cleaned").cast("bigint")}
     return kept.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
