@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regimeweave.llm import exact_dedup, fair_mix, ngram_join, pieces, quality_model, quality_rules, quote_links, toxicity, url_filter
+from regimeweave.llm import exact_dedup, fair_mix, ngram_join, pieces, quality_model, quality_rules, quote_links, repeats, toxicity, url_filter
 from regimeweave.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.evaluate(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_piece_encoding": op2_piece_encoding,
     "op3_chat_quotes": op3_chat_quotes,
     "op4_ngram_join": op4_ngram_join,
+    "op5_repeated_bytes": op5_repeated_bytes,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_model": op8_quality_model,
