@@ -14,8 +14,8 @@ from regimeweave.llm import common as C
 from regimeweave.llm.common import stage, text_of
 
 LENGTH = 400
-GRAM, WINDOW = 16, 64
-UNIT = 16
+GRAM, WINDOW = 16, 96
+UNIT = 32
 _SECOND = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE2 = 0xD1342543DE82EF95
 _BASE2_INVERSE = pow(_BASE2, -1, 2**64)
@@ -180,44 +180,48 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     A byte goes if a string of ``LENGTH`` bytes that covers it starts at another place too, in
     the same text or another; strings are judged on the input and never cross texts. A null or
-    shorter text loses nothing. Rows that repeat an id and a text are copies of each other.
+    shorter text loses nothing. Rows that repeat an id are texts of their own.
 
     Three refinements, each counting hashes as partial aggregates and carrying on with the
-    places whose hash occurs twice: cores between anchors (about one row for 32 bytes), units of neighbouring
+    places whose hash occurs twice: cores between anchors (about one row for 48 bytes), units of neighbouring
     starts (the part they share, the stretch they cover), single starts where a unit is only
     partly repeated. A core or shared part that occurs once proves its starts unique; covered
     stretches and single starts are compared by 128-bit hashes. Texts are hashed once per step and
-    no suffix is sorted; a string of any number of copies is one row of a count.
+    no suffix is sorted; a string of any number of copies is one row of a count. Equal texts are
+    one text here, and lose all their bytes if they are long enough and there are two of them.
     """
-    keyed = docs.select(F.xxhash64("doc_id").alias("_i"), F.hash(text_of()).alias("_t"), text_of().alias("text"))
-    long = keyed.where(F.octet_length("text") >= LENGTH)
+    keys = {"_i": F.xxhash64(text_of()), "_t": F.hash(text_of())}
+    long = docs.select(*[v.alias(k) for k, v in keys.items()], text_of().alias("text")).where(F.octet_length("text") >= LENGTH)
     cores = stage(long.mapInArrow(core_rows, "_i bigint, _t int, at int, core bigint"))
-    twice = cores.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select("core")
+    place = F.xxhash64("_i", "at")
+    twice = cores.groupBy("core").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a < _b").select("core")
     places = cores.join(twice, "core", "left_semi").groupBy(*KEYS).agg(F.collect_set("at").alias("places"))
-    texts = stage(long.dropDuplicates(KEYS).join(places, KEYS).select(*KEYS, "text", "places"))
-    copies = long.groupBy(*KEYS).agg(F.count("*").alias("_copies")).where("_copies > 1").select(*KEYS, "_copies")
-
-    units = texts.mapInArrow(unit_rows, "_i bigint, _t int, lo int, hi int, s1 bigint, s2 bigint, part bigint")
-    units = stage(units.join(copies, KEYS, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1))))
-    whole = units.groupBy("s1", "s2").agg(F.sum("_copies").alias("_n")).where("_n > 1").select("s1", "s2", F.lit(True).alias("_whole"))
-    marked = stage(units.join(whole, ["s1", "s2"], "left").select(*KEYS, "lo", "hi", "part", "_copies", F.col("_whole").isNotNull().alias("_whole")))
-    unsure = marked.groupBy("part").agg(F.sum("_copies").alias("_n"), F.count_if(~F.col("_whole")).alias("_open")).where("_n > 1 and _open > 0").select("part")
+    texts = stage(long.join(places, KEYS).dropDuplicates(KEYS).select(*KEYS, "text", "places"))
+
+    units = stage(texts.mapInArrow(unit_rows, "_i bigint, _t int, lo int, hi int, s1 bigint, s2 bigint, part bigint"))
+    whole = units.groupBy("s1", "s2").agg(F.count("*").alias("_n")).where("_n > 1").select("s1", "s2", F.lit(True).alias("_whole"))
+    marked = stage(units.join(whole, ["s1", "s2"], "left").select(*KEYS, "lo", "hi", "part", F.col("_whole").isNotNull().alias("_whole")))
+    unsure = marked.groupBy("part").agg(F.count("*").alias("_n"), F.count_if(~F.col("_whole")).alias("_open")).where("_n > 1 and _open > 0").select("part")
     open_units = marked.join(unsure, "part", "left_semi").groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
     singles = texts.drop("places").join(open_units, KEYS).select(*KEYS, "text", "places")
     starts = stage(singles.mapInArrow(start_rows, "_i bigint, _t int, at int, s1 bigint, s2 bigint"))
-    same = starts.join(copies, KEYS, "left").groupBy("s1", "s2").agg(F.sum(F.coalesce("_copies", F.lit(1))).alias("_n")).where("_n > 1").select("s1", "s2")
+    same = starts.groupBy("s1", "s2").agg(F.count("*").alias("_n")).where("_n > 1").select("s1", "s2")
     found = starts.join(same, ["s1", "s2"], "left_semi").select(*KEYS, F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
     found = found.unionByName(marked.where("_whole").select(*KEYS, "lo", (F.col("hi") + LENGTH).alias("hi")))
     ranges = found.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
     cut = texts.drop("places").join(ranges, KEYS).select(*KEYS, "text", "places")
-    cut = cut.mapInArrow(cut_rows, "_i bigint, _t int, spans array<struct<lo:int,hi:int>>, n_removed bigint, kept_sha256 string")
-
-    every = docs.select("doc_id", F.xxhash64("doc_id").alias("_i"), F.hash(text_of()).alias("_t"), F.octet_length(text_of()).cast("bigint").alias("n_bytes"), F.sha2(text_of(), 256).alias("_sha"))
-    return every.join(stage(cut), KEYS, "left").select(
+    cut = stage(cut.mapInArrow(cut_rows, "_i bigint, _t int, spans array<struct<lo:int,hi:int>>, n_removed bigint, kept_sha256 string"))
+
+    every = docs.select("doc_id", *[v.alias(k) for k, v in keys.items()], F.octet_length(text_of()).cast("bigint").alias("n_bytes"), F.sha2(text_of(), 256).alias("_sha"))
+    every = stage(every)
+    copies = every.where(F.col("n_bytes") >= LENGTH).groupBy(*KEYS).agg(F.count("*").alias("_n")).where("_n > 1").select(*KEYS, F.lit(True).alias("_copied"))
+    copied = F.col("_copied").isNotNull()
+    everything = F.array(F.struct(F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi")))
+    return every.join(cut, KEYS, "left").join(copies, KEYS, "left").withColumn("spans", F.when(copied, everything).otherwise(F.col("spans"))).select(
         "doc_id",
         "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.coalesce(F.size("spans"), F.lit(0)).cast("bigint").alias("n_spans"),
-        F.coalesce("kept_sha256", "_sha").alias("kept_sha256"),
+        F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
         "spans",
     )
