@@ -36,8 +36,9 @@ def anchors(data: np.ndarray, bounds: np.ndarray, prefix: np.ndarray) -> tuple[n
     low = h & np.uint64(0xFFFFFFFFF0000000) | np.arange(n, dtype=np.uint64)
     step = 1
     while step < WINDOW:
-        low = np.minimum(low[:-step], low[step:])
-        step *= 2
+        more = min(step, WINDOW - step)
+        low = np.minimum(low[:-more], low[more:])
+        step += more
     size = np.diff(bounds)
     valid = np.maximum(0, size - (WINDOW + GRAM - 2))
     text = np.repeat(np.arange(len(size)), valid)
