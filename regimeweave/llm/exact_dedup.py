@@ -16,8 +16,8 @@ def refine(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_singles: bo
     Texts are equal when identical after each run of white space became one space; null is the
     empty text. Adds ``keep_id`` (smallest doc_id of the group; null only if all are null),
     ``group_size``, ``kept`` and ``text_sha256``. Exactly one row of a group is kept, also among
-    rows that repeat a doc_id. Other columns are only returned with ``carry``; ``docs`` may have
-    any extra columns.
+    rows that repeat a doc_id. Other columns are only returned with ``carry``, as one struct
+    ``doc``, so names of ``docs`` may clash with the added ones.
 
     Lengths and prefix hashes are counted as partial aggregates. The full hash is computed only
     for rows whose (length, prefix hash) occurs twice; ``digest_singles`` fills it in for the
@@ -26,8 +26,9 @@ def refine(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_singles: bo
     """
     width = F.octet_length("_norm")
     prefix = F.xxhash64(F.substring("_norm", 1, prefix_chars))
-    own = docs.columns if carry else ["doc_id"]
-    normal = docs.select(*[F.col(f"`{c}`") for c in own], F.regexp_replace(text_of(), SPACE, " ").alias("_norm"))
+    own = ["doc_id", "doc"] if carry else ["doc_id"]
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
+    normal = docs.select("doc_id", *whole, F.regexp_replace(text_of(), SPACE, " ").alias("_norm"))
 
     # rounds 1 and 2 on narrow rows
     narrow = normal.select(width.alias("_len"), prefix.alias("_prefix")).groupBy("_len", "_prefix").agg(F.count("*").alias("_n"))
@@ -40,7 +41,7 @@ def refine(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_singles: bo
     joined = keyed.join(open_groups, ["_len", "_prefix"], "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
     full = F.sha2("_norm", 256)
     marked = stage(
-        joined.select(*[F.col(f"`{c}`") for c in own], "_row", "_open", (full if digest_singles else F.when(F.col("_open"), full)).alias("text_sha256"))
+        joined.select(*own, "_row", "_open", (full if digest_singles else F.when(F.col("_open"), full)).alias("text_sha256"))
     )
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("c"))
     groups = (
@@ -52,7 +53,7 @@ def refine(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_singles: bo
     )
     single = F.col("_size").isNull()
     return marked.join(groups, "text_sha256", "left").select(
-        *[F.col(f"`{c}`") for c in own],
+        *own,
         F.when(single, F.col("doc_id")).otherwise(F.col("_keep")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("bigint").alias("group_size"),
         (single | (F.col("_row") == F.col("_keep_row"))).alias("kept"),
@@ -62,7 +63,7 @@ def refine(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_singles: bo
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that repeat an earlier text."""
-    return refine(docs, carry=True).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return refine(docs, carry=True).where("kept").select("doc.*")
 
 
 SQL = r"""

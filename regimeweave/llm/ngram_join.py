@@ -240,8 +240,8 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     ``class_id`` is the smallest doc_id of the rows with an equal set, ``copies`` their number,
     ``group_id`` the smallest doc_id that links lead to, ``n_links`` the number of other rows linked to
     this one, equal sets included. A text without a word is linked to nothing and is its own class;
-    a null text is empty. Rows that repeat an id count as rows. Rows with a null id belong to their
-    class, but a class of such rows only is linked to no other.
+    a null text is empty. Rows that repeat an id count as rows. A class of rows with null ids only
+    has a null class_id.
 
     Equal sets become one node first. The forest proposes edges, never more than one per set,
     tree and prefix length; their connected parts are cut into blocks of bounded rows and
@@ -265,9 +265,10 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     n_blocks = F.greatest(F.ceil(F.col("_rows") / BLOCK_ROWS), F.ceil(F.col("_sum") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(extent.select("group", n_blocks.alias("n")), "group").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("n")).cast("int"))
     # one text per set, met by its key; a set of many copies keeps one row of them before texts move
-    keyed = marked.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    chosen = placed.join(keyed, "set_key").select("doc_id", "set_id", "set_key", F.col("copies").alias("weight"), "group", "block", "n")
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(chosen, "doc_id")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    keyed = marked.where("set_key is not null").groupBy("set_key").agg(F.min(name).alias("_id"))
+    chosen = placed.join(keyed, "set_key").select("_id", "set_id", "set_key", F.col("copies").alias("weight"), "group", "block", "n")
+    texts = docs.select(name.alias("_id"), "text").join(chosen, "_id")
     rows = shingle_rows(texts, size).dropDuplicates(["set_id"])
     other = F.sequence(F.lit(0), F.col("n") - 1)
     pairs = rows.withColumn("o", F.explode(other)).select(

@@ -126,9 +126,10 @@ def clean(docs: DataFrame) -> DataFrame:
     The row number keeps the optimizer from moving the filter below the steps of the
     evaluation, which would repeat all of them inside its condition.
     """
-    kept = evaluate(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    kept = evaluate(docs.select("text", others.alias("_doc"))).withColumn("_row", F.monotonically_increasing_id()).where("kept")
     new = {"text": F.col("cleaned"), "n_chars": F.char_length("cleaned").cast("bigint")}
-    return kept.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return kept.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:
