@@ -42,6 +42,14 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of a thousand rows, unless the session names another size: a batch of texts is held several times, on both sides."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(size) == "10000":
+        df.sparkSession.conf.set(size, "1000")
+    return df.mapInArrow(function, schema)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -85,11 +93,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    if column.null_count:
+        column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    bounds = np.zeros(1, np.int64)
+    if len(column):
+        bounds = np.frombuffer(offsets, kind, len(column) + 1, column.offset * np.dtype(kind).itemsize).astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 

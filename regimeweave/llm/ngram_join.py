@@ -117,7 +117,7 @@ def sketch(docs: DataFrame, trees: int, lengths: list[int], size: int) -> DataFr
     names = ["doc_id", "set_key", "n_shingles", *[f"p{d}" for d in lengths]]
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = ", ".join(f"p{d} array<bigint>" for d in lengths)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_key binary, n_shingles bigint, {kinds}")
+    return C.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, set_key binary, n_shingles bigint, {kinds}")
 
 
 def candidate_edges(sets: DataFrame, lengths: list[int]) -> DataFrame:
@@ -230,7 +230,7 @@ def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
 
     names = [*[c for c in docs.columns if c != "text"], "shingles"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names[:-1]).schema)
-    return docs.select(*names[:-1], "text").mapInArrow(run, f"{kinds}, shingles binary")
+    return C.map_arrow(docs.select(*names[:-1], "text"), run, f"{kinds}, shingles binary")
 
 
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> DataFrame:

@@ -353,7 +353,7 @@ def encode(docs: DataFrame, path: str = MODEL, k: int = NBEST) -> DataFrame:
 
     kind_of_edits = pa.list_(pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))])))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return C.map_arrow(docs.select("doc_id", "text"), 
         run, f"doc_id {kind}, ids array<int>, scores array<double>, edits array<array<struct<first:int,count:int,ids:array<int>>>>"
     )
 
@@ -369,7 +369,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return C.map_arrow(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, text string")
 
 
 def digest(docs: DataFrame, path: str = MODEL, k: int = NBEST) -> DataFrame:
@@ -395,5 +395,5 @@ def digest(docs: DataFrame, path: str = MODEL, k: int = NBEST) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_ids bigint, ids_sha256 string, scores array<double>, round_trip boolean")
+    out = C.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_ids bigint, ids_sha256 string, scores array<double>, round_trip boolean")
     return out.withColumn("best_score", F.get("scores", F.lit(0)))

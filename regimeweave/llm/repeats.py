@@ -193,25 +193,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     keys = {"_i": F.xxhash64(text_of()), "_t": F.hash(text_of())}
     long = docs.select(*[v.alias(k) for k, v in keys.items()], text_of().alias("text")).where(F.octet_length("text") >= LENGTH)
-    cores = stage(long.mapInArrow(core_rows, "_i bigint, _t int, at int, core bigint"))
+    cores = stage(C.map_arrow(long, core_rows, "_i bigint, _t int, at int, core bigint"))
     place = F.xxhash64("_i", "at")
     twice = cores.groupBy("core").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a < _b").select("core")
     places = cores.join(twice, "core", "left_semi").groupBy(*KEYS).agg(F.collect_set("at").alias("places"))
     texts = stage(long.join(places, KEYS).dropDuplicates(KEYS).select(*KEYS, "text", "places"))
 
-    units = stage(texts.mapInArrow(unit_rows, "_i bigint, _t int, lo int, hi int, s1 bigint, s2 bigint, part bigint"))
+    units = stage(C.map_arrow(texts, unit_rows, "_i bigint, _t int, lo int, hi int, s1 bigint, s2 bigint, part bigint"))
     whole = units.groupBy("s1", "s2").agg(F.count("*").alias("_n")).where("_n > 1").select("s1", "s2", F.lit(True).alias("_whole"))
     marked = stage(units.join(whole, ["s1", "s2"], "left").select(*KEYS, "lo", "hi", "part", F.col("_whole").isNotNull().alias("_whole")))
     unsure = marked.groupBy("part").agg(F.count("*").alias("_n"), F.count_if(~F.col("_whole")).alias("_open")).where("_n > 1 and _open > 0").select("part")
     open_units = marked.join(unsure, "part", "left_semi").groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
     singles = texts.drop("places").join(open_units, KEYS).select(*KEYS, "text", "places")
-    starts = stage(singles.mapInArrow(start_rows, "_i bigint, _t int, at int, s1 bigint, s2 bigint"))
+    starts = stage(C.map_arrow(singles, start_rows, "_i bigint, _t int, at int, s1 bigint, s2 bigint"))
     same = starts.groupBy("s1", "s2").agg(F.count("*").alias("_n")).where("_n > 1").select("s1", "s2")
     found = starts.join(same, ["s1", "s2"], "left_semi").select(*KEYS, F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
     found = found.unionByName(marked.where("_whole").select(*KEYS, "lo", (F.col("hi") + LENGTH).alias("hi")))
     ranges = found.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
     cut = texts.drop("places").join(ranges, KEYS).select(*KEYS, "text", "places")
-    cut = stage(cut.mapInArrow(cut_rows, "_i bigint, _t int, spans array<struct<lo:int,hi:int>>, n_removed bigint, kept_sha256 string"))
+    cut = stage(C.map_arrow(cut, cut_rows, "_i bigint, _t int, spans array<struct<lo:int,hi:int>>, n_removed bigint, kept_sha256 string"))
 
     every = docs.select("doc_id", *[v.alias(k) for k, v in keys.items()], F.octet_length(text_of()).cast("bigint").alias("n_bytes"), F.sha2(text_of(), 256).alias("_sha"))
     every = stage(every)

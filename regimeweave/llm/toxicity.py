@@ -187,7 +187,7 @@ def bucket_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(packed, pa.binary())], ["doc_id", "lang", "y", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.col("y").cast("int").alias("y")).mapInArrow(run, f"doc_id {kind}, lang string, y int, ids binary")
+    return C.map_arrow(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.col("y").cast("int").alias("y")), run, f"doc_id {kind}, lang string, y int, ids binary")
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -245,7 +245,7 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(p)], ["doc_id", "lang", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id {kind}, lang string, score double")
+    scored = C.map_arrow(docs.select("doc_id", "text", "lang"), run, f"doc_id {kind}, lang string, score double")
     limit = F.lit(threshold)
     for name, value in sorted(net.thresholds.items()):
         limit = F.when(F.col("lang") == name, F.lit(value)).otherwise(limit)
