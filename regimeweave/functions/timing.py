@@ -10,6 +10,8 @@ from pyspark.sql.types import DataType
 
 
 def seconds(every: timedelta) -> int:
+    if every <= timedelta(0) or every.microseconds:
+        raise ValueError("a step must be a whole number of seconds")
     return int(every.total_seconds())
 
 

@@ -99,17 +99,24 @@ def attach_labels(samples: DataFrame, labels: DataFrame, key: Sequence[str], lab
 
 
 def merge_labels(
-    original: DataFrame, corrected: DataFrame, keep: Sequence[str], time: str = "input_start_time", by: Sequence[str] = ("partition",)
+    original: DataFrame, corrected: DataFrame, keep: Sequence[str], time: str = "input_start_time", by: Sequence[str] | None = None
 ) -> DataFrame:
-    """Corrected columns joined to an older manifest by parsed timestamp; train keeps eligible rows only."""
+    """Corrected columns joined to an older manifest by parsed timestamp; train keeps eligible rows only.
+
+    Rows meet within the partition, and within the symbol where both sides have one. Several
+    corrected rows for one key stop the job.
+    """
+    if by is None:
+        by = [c for c in ("partition", "symbol") if c == "partition" or (c in original.columns and c in corrected.columns)]
     left = original.withColumn("_k", timestamp_utc(F.col(time))).drop(*keep)
     right = corrected.select(*by, timestamp_utc(F.col(time)).alias("_k"), *keep)
+    require_unique(right, [*by, "_k"], "several corrected rows for one time")
     merged = left.join(right, [*by, "_k"]).drop("_k")
     return merged.where((F.col("partition") != "train") | F.col("training_eligible"))
 
 
 def match_rate(merged: DataFrame, corrected: DataFrame, minimum: float = 0.98) -> DataFrame:
-    """Per partition: rows written, rows expected, their ratio, and whether it reaches ``minimum``."""
+    """Per partition: rows written, rows expected, their ratio, and whether it reaches ``minimum`` and is at most 1."""
     due = (F.col("partition") != "train") | F.col("training_eligible")
     expected = corrected.groupBy("partition").agg(F.count_if(due).alias("expected"))
     written = merged.groupBy("partition").agg(F.count(F.lit(1)).alias("written"))
@@ -118,7 +125,7 @@ def match_rate(merged: DataFrame, corrected: DataFrame, minimum: float = 0.98) -
         expected.join(written, "partition", "left")
         .na.fill(0, ["written"])
         .withColumn("match_rate", rate)
-        .withColumn("passed", F.col("match_rate") >= minimum)
+        .withColumn("passed", F.col("match_rate").between(minimum, 1.0))
     )
 
 

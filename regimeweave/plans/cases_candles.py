@@ -281,14 +281,14 @@ def duplicated_keys(spark, sf):
 
 @case(
     "B6_ohlc_invalid",
-    f"""WITH {S.bars(True, positive=False)}, bent AS (SELECT * REPLACE (CASE WHEN hour(open_time) = 3 THEN low - 1 ELSE high END AS high,
+    f"""WITH {S.bars(True, valid=False)}, bent AS (SELECT * REPLACE (CASE WHEN hour(open_time) = 3 THEN low - 1 ELSE high END AS high,
       CASE WHEN hour(open_time) = 5 THEN NULL ELSE close END AS close) FROM bars)
     SELECT symbol, {b('count(*)', 'rows')}, {b('count(*) FILTER (WHERE high IS NULL OR close IS NULL OR low <= 0 OR high < greatest(open, low, close) OR low > least(open, high, close))', 'invalid')}
     FROM bent GROUP BY 1""",
 )
 def ohlc_validity(spark, sf):
     hour = F.hour("open_time")
-    bent = I.bars(spark, sf, True, positive=False).withColumns(
+    bent = I.bars(spark, sf, True, valid=False).withColumns(
         {"high": F.when(hour == 3, F.col("low") - 1).otherwise(F.col("high")), "close": F.when(hour != 5, F.col("close"))}
     )
     return tidy(bent.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.count_if(ohlc_invalid()).alias("invalid")))
@@ -469,7 +469,7 @@ def user_ranges(spark, sf):
 
 @case(
     "C4_audit",
-    f"""WITH {S.bars(True, positive=False)},\n{S.idx().replace('ln(close / lag(close) OVER w)', '0.0')},\n{MISSING},
+    f"""WITH {S.bars(True, valid=False)},\n{S.idx().replace('ln(close / lag(close) OVER w)', '0.0')},\n{MISSING},
     c AS (SELECT *, sum(step_ok) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 1 FOLLOWING AND 29 FOLLOWING) AS oks FROM idx),
     m AS (SELECT symbol, count(*) AS missing FROM missing GROUP BY 1)
     SELECT c.symbol, {b('count(*)', 'rows')}, {t('min(open_time)', 'date_start')}, {t('max(open_time)', 'date_end')},
@@ -482,7 +482,7 @@ def user_ranges(spark, sf):
     FROM c LEFT JOIN m USING (symbol) GROUP BY c.symbol""",
 )
 def audit(spark, sf):
-    return tidy(gaps.audit_candles(I.candles(spark, sf, True, positive=False), N))
+    return tidy(gaps.audit_candles(I.candles(spark, sf, True, valid=False), N))
 
 
 @case("C5_valid_starts", f"{S.base(True, 'win')} SELECT symbol, {b('start_index')}, {t('start_time')} FROM win")

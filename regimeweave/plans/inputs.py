@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType, TimestampNTZType, TimestampType
 
+from regimeweave.functions.predicates import ohlc_invalid
 from regimeweave.operators import regimes
 from regimeweave.operators.gaps import HOUR, with_runs
 from regimeweave.operators.windows import build_windows
@@ -38,20 +39,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(
-    spark: SparkSession, sf_dir: str, by_type: bool = False, every: timedelta = HOUR, positive: bool = True
+    spark: SparkSession, sf_dir: str, by_type: bool = False, every: timedelta = HOUR, valid: bool = True
 ) -> DataFrame:
     """OHLC bars of the event values, one symbol per event type or one for all events.
 
     Events merge into partial bars before the shuffle, so a symbol with most of the events
-    costs no more than any other. Event order inside a bar is (time, id).
+    costs no more than any other. Event order inside a bar is (time, id). All events
+    enter; with ``valid``, bars that fail the price rules are left out, as ``B6_ohlc_invalid`` counts them.
     """
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
-    if positive:
-        events = events.where("value > 0")
     symbol = F.col("event_type") if by_type else F.lit("ALL")
     start = F.window("ts", f"{int(every.total_seconds())} seconds").start
     order = F.struct("ts", "event_id")
-    return (
+    made = (
         events.withColumn("symbol", symbol)
         .groupBy("symbol", start.alias("open_time"))
         .agg(
@@ -61,11 +61,12 @@ def bars(
             F.max_by("value", order).alias("close"),
         )
     )
+    return made.where(~ohlc_invalid()) if valid else made
 
 
-def candles(spark: SparkSession, sf_dir: str, by_type: bool = False, every: timedelta = HOUR, positive: bool = True) -> DataFrame:
+def candles(spark: SparkSession, sf_dir: str, by_type: bool = False, every: timedelta = HOUR, valid: bool = True) -> DataFrame:
     """Bars as a stage table: the events are scanned once, whatever follows."""
-    return stage(bars(spark, sf_dir, by_type, every, positive), "candles")
+    return stage(bars(spark, sf_dir, by_type, every, valid), "candles")
 
 
 def runs(spark: SparkSession, sf_dir: str, by_type: bool = False, every: timedelta = HOUR) -> DataFrame:

@@ -18,14 +18,14 @@ def t(expr: str, name: str | None = None) -> str:
     return f"CAST({expr} AS VARCHAR) AS {name or expr}"
 
 
-def bars(by_type: bool = False, hours: int = 1, positive: bool = True) -> str:
+def bars(by_type: bool = False, hours: int = 1, valid: bool = True) -> str:
     symbol = "event_type" if by_type else "'ALL'"
-    where = "WHERE value > 0" if positive else ""
+    having = "HAVING min(value) > 0" if valid else ""
     key = "struct_pack(a := ts, b := event_id)"
     return f"""bars AS (
   SELECT {symbol} AS symbol, time_bucket(INTERVAL '{hours} hours', ts) AS open_time,
          arg_min(value, {key}) AS open, max(value) AS high, min(value) AS low, arg_max(value, {key}) AS close
-  FROM events {where} GROUP BY 1, 2)"""
+  FROM events GROUP BY 1, 2 {having})"""
 
 
 def idx(hours: int = 1) -> str:

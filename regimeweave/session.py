@@ -24,9 +24,12 @@ def get_session(app: str = "regimeweave", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a session without one gets a temporary folder."""
+    """The cluster's shared folder. Without one, a single local JVM gets a temporary folder; a cluster is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="regimeweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -18,10 +18,13 @@ TIME_ALIASES = ("open_time", "timestamp", "datetime", "date", "time")
 def read_kline_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of positional rows, one JSON array of arrays per line; the first copy of a time stays.
 
-    Only five of the twelve fields are kept. Field 0 is the open time in milliseconds.
+    Only five of the twelve fields are kept. Field 0 is the open time in milliseconds. A line
+    that is no such array stops the job; blank lines are skipped.
     """
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    pages = text.select("_file", F.from_json("value", "array<array<string>>").alias("page")).where("page is not null")
+    parsed = F.from_json("value", "array<array<string>>")
+    stop = F.raise_error(F.concat(F.lit("unreadable page in "), F.col("_file")))
+    pages = text.where("trim(value) != ''").select("_file", F.coalesce(parsed, stop).alias("page"))
     # the order of pages inside a file is the order of their first candle
     rows = pages.select(
         "_file",

@@ -4,12 +4,14 @@ import hashlib
 import json
 import struct
 import zlib
+from datetime import timedelta
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from regimeweave.functions import predicates as P
+from regimeweave.functions import timing
 from regimeweave.operators import align, audits, lookups, quality, reports
 from regimeweave.sources import candles as C
 from regimeweave.sources import files as FS
@@ -236,3 +238,23 @@ def test_strict_label_join(spark):
     with pytest.raises(quality.GateError):
         align.attach_labels(samples, spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "k int, c int"), ["k"], "c")
     assert align.attach_labels(samples, spark.createDataFrame([(1, 0), (2, 1)], "k int, c int"), ["k"], "c").count() == 2
+
+
+def test_unreadable_page_stops(spark, tmp_path):
+    (tmp_path / "p.json").write_text('[["0", "1", "2", "0.5", "1"]]\n\nno page\n')
+    with pytest.raises(Exception, match="unreadable page"):
+        C.read_kline_pages(spark, str(tmp_path)).collect()
+
+
+def test_merge_needs_one_corrected_row_per_symbol_and_time(spark):
+    old = spark.createDataFrame([("train", "A", "2024-01-01 00:00:00"), ("train", "B", "2024-01-01 00:00:00")], "partition string, symbol string, input_start_time string")
+    new = old.selectExpr("*", "if(symbol = 'A', 1, 2) AS label", "true AS training_eligible")
+    merged = align.merge_labels(old, new, ["label", "training_eligible"])
+    assert {(r.symbol, r.label) for r in merged.collect()} == {("A", 1), ("B", 2)}
+    with pytest.raises(Exception, match="several corrected rows"):
+        align.merge_labels(old, new.union(new), ["label", "training_eligible"])
+
+
+def test_steps_are_whole_seconds():
+    with pytest.raises(ValueError):
+        timing.seconds(timedelta(milliseconds=500))
