@@ -16,6 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regimeweave.session import shared_dir
+
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,11 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names; an error where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{folder.rstrip('/')}/llm/{uuid.uuid4().hex}"
+    """A fresh path in the shared folder of the session."""
+    return f"{shared_dir(spark).rstrip('/')}/llm/{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
