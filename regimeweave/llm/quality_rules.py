@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimeweave.functions.vectors import let
-from regimeweave.llm.common import WORD, text_of
+from regimeweave.llm.common import WORD, stage, text_of
 
 SYMBOLS = "#*$%&|<>"
 GRAM = 8
@@ -100,20 +100,26 @@ def evaluate(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataF
         {
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("bigint"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-            "_judged": let(
-                F.split(F.lower("_t"), "\n", -1),
-                lambda small: F.transform(
-                    F.split("_t", "\n", -1),
-                    lambda x, i: F.struct(x.alias("line"), (x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x, F.get(small, i))).alias("bad")),
+            "_out": let(
+                let(
+                    F.split(F.lower("_t"), "\n", -1),
+                    lambda small: F.transform(
+                        F.split("_t", "\n", -1),
+                        lambda x, i: F.struct(x.alias("line"), (x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x, F.get(small, i))).alias("bad")),
+                    ),
+                ),
+                lambda judged: F.struct(
+                    F.char_length(F.array_join(F.transform(F.filter(judged, lambda j: j["bad"]), lambda j: j["line"]), "")).cast("bigint").alias("lost"),
+                    F.array_join(F.transform(F.filter(judged, lambda j: ~j["bad"]), lambda j: j["line"]), "\n").alias("cleaned"),
                 ),
             ),
         }
     ).drop("_at", "_lines")
     judged = failed.withColumns(
         {
-            "lost_chars": F.char_length(F.array_join(F.transform(F.filter("_judged", lambda j: j["bad"]), lambda j: j["line"]), "")).cast("bigint"),
+            "lost_chars": F.col("_out.lost"),
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-            "cleaned": F.array_join(F.transform(F.filter("_judged", lambda j: ~j["bad"]), lambda j: j["line"]), "\n"),
+            "cleaned": F.col("_out.cleaned"),
         }
     ).withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_percent * F.char_length("_t")))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "lost_chars", "kept"]
@@ -123,11 +129,11 @@ def evaluate(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataF
 def clean(docs: DataFrame) -> DataFrame:
     """Documents that pass, with their cleaned text; ``n_chars`` follows the text.
 
-    The row number keeps the optimizer from moving the filter below the steps of the
-    evaluation, which would repeat all of them inside its condition.
+    The verdicts are written before they filter: a filter would be moved below the steps of the
+    evaluation, and its condition would repeat all of them.
     """
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    kept = evaluate(docs.select("text", others.alias("_doc"))).withColumn("_row", F.monotonically_increasing_id()).where("kept")
+    kept = stage(evaluate(docs.select("text", others.alias("_doc"))).select("_doc", "cleaned", "kept")).where("kept")
     new = {"text": F.col("cleaned"), "n_chars": F.char_length("cleaned").cast("bigint")}
     return kept.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
