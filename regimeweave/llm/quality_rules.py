@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimeweave.functions.vectors import let
-from regimeweave.llm.common import WORD, stage, text_of
+from regimeweave.llm.common import WORD, text_of
 
 SYMBOLS = "#*$%&|<>"
 GRAM = 8
@@ -129,11 +129,12 @@ def evaluate(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataF
 def clean(docs: DataFrame) -> DataFrame:
     """Documents that pass, with their cleaned text; ``n_chars`` follows the text.
 
-    The verdicts are written before they filter: a filter would be moved below the steps of the
-    evaluation, and its condition would repeat all of them.
+    Rows that fail are left out by ``inline`` of no element instead of a filter: a filter would be
+    moved below the steps of the evaluation, and its condition would repeat all of them.
     """
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    kept = stage(evaluate(docs.select("text", others.alias("_doc"))).select("_doc", "cleaned", "kept")).where("kept")
+    judged = evaluate(docs.select("text", others.alias("_doc"))).select("_doc", "cleaned", "kept")
+    kept = judged.select(F.inline(F.when(F.col("kept"), F.array(F.struct("_doc", "cleaned")))))
     new = {"text": F.col("cleaned"), "n_chars": F.char_length("cleaned").cast("bigint")}
     return kept.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
