@@ -22,13 +22,15 @@ def refine(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_singles: bo
     Lengths and prefix hashes are counted as partial aggregates. The full hash is computed only
     for rows whose (length, prefix hash) occurs twice; ``digest_singles`` fills it in for the
     others too. No group is gathered: a group is one row (smallest id, count), joined back to
-    narrow rows, where adaptive execution splits a hot key.
+    the surviving rows, where adaptive execution splits a hot key. Other rows do not move again.
+    With ``carry`` a text moves once, inside ``doc``, and is normalised anew where its hash is due.
     """
+    spaced = lambda text: F.regexp_replace(text, SPACE, " ")
     width = F.octet_length("_norm")
     prefix = F.xxhash64(F.substring("_norm", 1, prefix_chars))
     own = ["doc_id", "doc"] if carry else ["doc_id"]
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
-    normal = docs.select("doc_id", *whole, F.regexp_replace(text_of(), SPACE, " ").alias("_norm"))
+    normal = docs.select("doc_id", *whole, spaced(text_of()).alias("_norm"))
 
     # rounds 1 and 2 on narrow rows
     narrow = normal.select(width.alias("_len"), prefix.alias("_prefix")).groupBy("_len", "_prefix").agg(F.count("*").alias("_n"))
@@ -39,7 +41,7 @@ def refine(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_singles: bo
     # round 3: the content of the surviving rows
     keyed = normal.withColumns({"_len": width, "_prefix": prefix, "_row": F.monotonically_increasing_id()})
     joined = keyed.join(open_groups, ["_len", "_prefix"], "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
-    full = F.sha2("_norm", 256)
+    full = F.sha2(spaced(text_of("doc.text")) if carry else F.col("_norm"), 256)
     marked = stage(
         joined.select(*own, "_row", "_open", (full if digest_singles else F.when(F.col("_open"), full)).alias("text_sha256"))
     )
@@ -52,13 +54,17 @@ def refine(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_singles: bo
         .select("text_sha256", F.col("_first.b").alias("_keep"), F.col("_first.c").alias("_keep_row"), "_size")
     )
     single = F.col("_size").isNull()
-    return marked.join(groups, "text_sha256", "left").select(
+    met = marked.where("_open").join(groups, "text_sha256", "left").select(
         *own,
         F.when(single, F.col("doc_id")).otherwise(F.col("_keep")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("bigint").alias("group_size"),
         (single | (F.col("_row") == F.col("_keep_row"))).alias("kept"),
         "text_sha256",
     )
+    alone = marked.where(~F.col("_open")).select(
+        *own, F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+    )
+    return met.unionByName(alone)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
