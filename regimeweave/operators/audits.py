@@ -76,14 +76,14 @@ def audit_boundaries(
     return report.withColumn("passed", (F.col("gap_seconds") > 0) & (F.col("index_violations") == 0))
 
 
-def index_boundaries(pairs: DataFrame, partitions: Sequence[str] = ORDER) -> DataFrame:
-    """Per partition: index range, and whether it begins after the previous partition's last target."""
-    ends = pairs.groupBy("partition").agg(
+def index_boundaries(pairs: DataFrame, partitions: Sequence[str] = ORDER, by: Sequence[str] = ()) -> DataFrame:
+    """Per source and partition: index range, and whether it begins after the source's previous partition's last target."""
+    ends = pairs.groupBy(*by, "partition").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("input_start_index").alias("first_input_index"),
         F.max("target_stop_index").alias("last_target_index"),
     )
-    before = Window.orderBy(_rank(partitions))  # one row per partition
+    before = Window.partitionBy(*by).orderBy(_rank(partitions))  # one row per partition
     previous = F.lag("last_target_index").over(before)
     return ends.where(_rank(partitions) > 0).withColumn(
         "separated", F.coalesce(F.col("first_input_index") > previous, F.lit(True))
@@ -98,10 +98,14 @@ def audit_spans(
     partitions: Sequence[str] = ORDER,
     rank: str = "chronological_rank",
     block_size: int = 1_000_000,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per partition and rule with the number of violations; all rules in one aggregation."""
+    """One row per partition and rule with the number of violations; all rules in one aggregation.
+
+    Order and overlap are judged inside a source (``by``, not null); each overlapping source counts once.
+    """
     followed = with_previous(
-        pairs, ["partition"], [rank], id_block(F.col(rank), block_size), "input_start_index", "_previous"
+        pairs, [*by, "partition"], [rank], id_block(F.col(rank), block_size), "input_start_index", "_previous"
     )
     label = F.col("target_cluster_id").isin(list(classes))
     rules = {
@@ -114,14 +118,15 @@ def audit_spans(
     if {"input_image", "target_image"} <= set(pairs.columns):
         # the target must never be its own predictor
         rules["input_equals_target"] = unix_path(F.col("input_image")) == unix_path(F.col("target_image"))
-    counted = followed.groupBy("partition").agg(
+    counted = followed.groupBy(*by, "partition").agg(
         F.min("input_start_index").alias("_first"),
         F.max("target_stop_index").alias("_last"),
         *[F.count_if(p).alias(name) for name, p in rules.items()],
     )
-    before = Window.orderBy(_rank(partitions))  # one row per partition
+    before = Window.partitionBy(*by).orderBy(_rank(partitions))  # one row per partition
     overlap = F.coalesce(F.col("_first") <= F.lag("_last").over(before), F.lit(False)).cast("bigint")
-    checked = counted.withColumn("overlaps_previous_partition", overlap).drop("_first", "_last")
+    marked = counted.withColumn("overlaps_previous_partition", overlap)
+    checked = marked.groupBy("partition").agg(*[F.sum(name).alias(name) for name in [*rules, "overlaps_previous_partition"]])
     return checked.unpivot(["partition"], [*rules, "overlaps_previous_partition"], "rule", "violations")
 
 

@@ -67,19 +67,27 @@ def split_by_source(pairs: DataFrame, bounds: Bounds, source: str = "source_id")
     return marked.withColumn("reason", F.when(F.col("partition").isNull(), reason))
 
 
-def _values_at(df: DataFrame, value: str, positions: dict[str, Column]) -> DataFrame:
-    """One row: the value at given positions of the sorted rows; positions may use ``_total``.
+def _attach(df: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds the facts of a row's source; without ``by`` there is one row of facts."""
+    names = [c for c in facts.columns if c not in by]
+    if by:
+        return df.drop(*names).join(facts, [*by], "left")
+    return df.withColumns({c: facts.select(c).scalar() for c in names})
+
+
+def _values_at(df: DataFrame, value: str, positions: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """One row per source: the value at given positions of its sorted rows; positions may use ``_total``.
 
     Copies of a value are counted before the running sum, so only distinct values are ordered.
     """
-    counts = df.groupBy(F.col(value).cast("bigint").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    cumulated = with_running_sums(counts, [], ["_v"], id_block(F.col("_v"), BLOCK_SIZE), {"_to": F.col("_n")})
-    held = cumulated.withColumn("_total", df.agg(F.count(F.lit(1))).scalar())
+    counts = df.groupBy(*by, F.col(value).cast("bigint").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cumulated = with_running_sums(counts, by, ["_v"], id_block(F.col("_v"), BLOCK_SIZE), {"_to": F.col("_n")})
+    held = _attach(cumulated, df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")), by)
     picks = []
     for name, position in positions.items():
         here = (F.col("_to") - F.col("_n") <= position) & (position < F.col("_to"))
         picks.append(F.max(F.when(here, F.col("_v"))).alias(name))
-    return held.agg(*picks)
+    return held.groupBy(*by).agg(*picks)
 
 
 def _bounded(position: Column, low: int | Column, high: Column) -> Column:
@@ -94,10 +102,13 @@ def split_embargo2(
     validation_start: int | None = None,
     start: str = "start_index",
     stop: str = "stop_index",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Train before ``validation start - embargo``, validation from there on, the rest purged.
 
     The validation start is a fixed index or the start of the row at position ``n * fraction``.
+    Row indices of different sources are unrelated: name the source in ``by``, and each is split alone.
+    A row with a null source is purged.
     """
     if embargo < 0:
         raise ValueError("embargo must not be negative")
@@ -105,8 +116,7 @@ def split_embargo2(
         if not 0 < fraction < 1:
             raise ValueError("fraction must lie between 0 and 1")
         n = F.col("_total")
-        at = _values_at(windows, start, {"at": _bounded(n * fraction, 1, n - 1)})
-        marked = windows.withColumn("validation_start_index", at.scalar())
+        marked = _attach(windows, _values_at(windows, start, {"validation_start_index": _bounded(n * fraction, 1, n - 1)}, by), by)
     else:
         marked = windows.withColumn("validation_start_index", F.lit(validation_start).cast("bigint"))
     v = F.col("validation_start_index")
@@ -124,15 +134,19 @@ def split_embargo3(
     embargo: int = 0,
     start: str = "input_start_index",
     stop: str = "target_stop_index",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Three parts by fraction; train and validation are bound by their target's end."""
+    """Three parts by fraction; train and validation are bound by their target's end.
+
+    Each source of ``by`` is split alone; a row with a null source is purged.
+    """
     if abs(sum(fractions) - 1.0) > 1e-9:
         raise ValueError("fractions must sum to 1")
     n = F.col("_total")
     first = _bounded(n * fractions[0], 1, n - 2)
     second = _bounded(n * (fractions[0] + fractions[1]), first + 1, n - 1)
-    at = _values_at(pairs, start, {"v": first, "t": second}).select(F.struct("v", "t"))
-    held = pairs.withColumn("_at", at.scalar())
+    at = _values_at(pairs, start, {"v": first, "t": second}, by).select(*by, F.struct("v", "t").alias("_at"))
+    held = _attach(pairs, at, by)
     v, t = F.col("_at.v"), F.col("_at.t")
     split = (
         F.when(F.col(stop) < v - embargo, F.lit("train"))
@@ -148,21 +162,23 @@ def split_purge_forward(
     fraction: float = 0.10,
     purge: int = 30,
     order: Sequence[str] = ("start_index", "stop_index"),
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """The last ``round(n * fraction)`` rows are candidates; those that start within ``purge`` of training are purged.
 
-    ``order`` must identify a row and begin with an integer index.
+    ``order`` must identify a row of its source and begin with an integer index. Each source of
+    ``by`` is split alone; its columns must not be null.
     """
     if not 0 < fraction < 1:
         raise ValueError("fraction must lie between 0 and 1")
     value, *tiebreak = order
-    placed = with_tied_position(windows, [], value, tiebreak, id_block(F.col(value), BLOCK_SIZE), "_i")
-    placed = placed.withColumn("_n", windows.agg(F.count(F.lit(1))).scalar())
+    placed = with_tied_position(windows, by, value, tiebreak, id_block(F.col(value), BLOCK_SIZE), "_i")
+    placed = _attach(placed, windows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
     n = F.col("_n")
     candidates = F.least(F.greatest(F.bround(n * F.lit(fraction)).cast("bigint"), F.lit(1)), n - 1)
     placed = placed.withColumn("_cut", n - candidates)
-    last_stop = placed.agg(F.max(F.when(F.col("_i") == F.col("_cut") - 1, F.col("stop_index"))))
-    held = placed.withColumn("_last", last_stop.scalar())
+    last_stop = placed.groupBy(*by).agg(F.max(F.when(F.col("_i") == F.col("_cut") - 1, F.col("stop_index"))).alias("_last"))
+    held = _attach(placed, last_stop, by)
     split = (
         F.when(F.col("_i") < F.col("_cut"), F.lit("train"))
         .when(F.col("start_index") <= F.col("_last") + purge, F.lit("purged"))
@@ -179,12 +195,12 @@ def require_parts(split: DataFrame, parts: Sequence[str], column: str = "split")
     return split
 
 
-def split_details(split: DataFrame) -> DataFrame:
-    """One row: boundary, sizes and outermost indices of a two-way split."""
+def split_details(split: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per source: boundary, sizes and outermost indices of a two-way split."""
     def part(name):
         return F.col("split") == name
 
-    return split.agg(
+    return split.groupBy(*by).agg(
         F.max("validation_start_index").alias("validation_start_index"),
         F.max(F.when(part("train"), F.col("start_index"))).alias("train_last_start_index"),
         F.max(F.when(part("train"), F.col("stop_index"))).alias("train_last_stop_index"),

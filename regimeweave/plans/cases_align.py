@@ -304,14 +304,14 @@ def split_by_source(spark, sf):
 
 @case(
     "H7_split_embargo2",
-    f"""{S.base(True, 'win')}, n AS (SELECT count(*) AS n FROM win), o AS (SELECT start_index, row_number() OVER (ORDER BY start_index) - 1 AS i FROM win),
-    v AS (SELECT start_index AS v FROM o, n WHERE i = least(greatest(floor(n * 0.9), 1), n - 1))
+    f"""{S.base(True, 'win')}, o AS (SELECT symbol, start_index, row_number() OVER (PARTITION BY symbol ORDER BY start_index) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM win),
+    v AS (SELECT symbol, start_index AS v FROM o WHERE i = least(greatest(floor(n * 0.9), 1), n - 1))
     SELECT symbol, {b('start_index')}, CASE WHEN stop_index < v - 30 THEN 'train' WHEN start_index >= v THEN 'validation' ELSE 'purged' END AS split,
-    {b('v', 'validation_start_index')} FROM win, v""",
+    {b('v', 'validation_start_index')} FROM win JOIN v USING (symbol)""",
 )
 def split_embargo2(spark, sf):
     found = stage(I.windows(spark, sf, True), "windows")
-    return tidy(splits.split_embargo2(found).select("symbol", "start_index", "split", "validation_start_index"))
+    return tidy(splits.split_embargo2(found, by=["symbol"]).select("symbol", "start_index", "split", "validation_start_index"))
 
 
 @case(
@@ -327,28 +327,28 @@ def split_details(spark, sf):
 
 @case(
     "H8_split_embargo3",
-    f"""{S.base(True, 'pair')}, n AS (SELECT count(*) AS n FROM pair), o AS (SELECT input_start_index AS s, row_number() OVER (ORDER BY input_start_index) - 1 AS i FROM pair),
-    p AS (SELECT least(greatest(floor(n * 0.7), 1), n - 2) AS a, n, least(greatest(floor(n * {0.70 + 0.15!r}), least(greatest(floor(n * 0.7), 1), n - 2) + 1), n - 1) AS z FROM n),
-    v AS (SELECT max(s) FILTER (WHERE i = a) AS v, max(s) FILTER (WHERE i = z) AS t FROM o, p)
+    f"""{S.base(True, 'pair')}, n AS (SELECT symbol, count(*) AS n FROM pair GROUP BY 1), o AS (SELECT symbol, input_start_index AS s, row_number() OVER (PARTITION BY symbol ORDER BY input_start_index) - 1 AS i FROM pair),
+    p AS (SELECT symbol, least(greatest(floor(n * 0.7), 1), n - 2) AS a, n, least(greatest(floor(n * {0.70 + 0.15!r}), least(greatest(floor(n * 0.7), 1), n - 2) + 1), n - 1) AS z FROM n),
+    v AS (SELECT symbol, max(s) FILTER (WHERE i = a) AS v, max(s) FILTER (WHERE i = z) AS t FROM o JOIN p USING (symbol) GROUP BY 1)
     SELECT pair_id, {b('v', 'validation_start_index')}, {b('t', 'test_start_index')}, CASE WHEN target_stop_index < v - 5 THEN 'train'
       WHEN input_start_index >= v AND target_stop_index < t - 5 THEN 'validation' WHEN input_start_index >= t THEN 'test' ELSE 'purged' END AS split
-    FROM pair, v""",
+    FROM pair JOIN v USING (symbol)""",
 )
 def split_embargo3(spark, sf):
-    rows = stage(I.all_pairs(spark, sf, True).select("pair_id", "input_start_index", "target_stop_index"), "all_pairs")
-    marked = splits.split_embargo3(rows, embargo=5)
+    rows = stage(I.all_pairs(spark, sf, True).select("symbol", "pair_id", "input_start_index", "target_stop_index"), "all_pairs")
+    marked = splits.split_embargo3(rows, embargo=5, by=["symbol"])
     return tidy(marked.select("pair_id", "validation_start_index", "test_start_index", "split"))
 
 
 @case(
     "H9_split_purge_forward",
-    f"""{S.base(True, 'win')}, o AS (SELECT *, row_number() OVER (ORDER BY start_index, stop_index, symbol) - 1 AS i, count(*) OVER () AS n FROM win),
-    c AS (SELECT *, n - least(greatest(round_even(n * 0.1, 0), 1), n - 1) AS cut FROM o), l AS (SELECT max(stop_index) AS l FROM c WHERE i = cut - 1)
-    SELECT symbol, {b('start_index')}, CASE WHEN i < cut THEN 'train' WHEN start_index <= l + 30 THEN 'purged' ELSE 'validation' END AS split FROM c, l""",
+    f"""{S.base(True, 'win')}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_index, stop_index) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM win),
+    c AS (SELECT *, n - least(greatest(round_even(n * 0.1, 0), 1), n - 1) AS cut FROM o), l AS (SELECT symbol, max(stop_index) AS l FROM c WHERE i = cut - 1 GROUP BY 1)
+    SELECT symbol, {b('start_index')}, CASE WHEN i < cut THEN 'train' WHEN start_index <= l + 30 THEN 'purged' ELSE 'validation' END AS split FROM c JOIN l USING (symbol)""",
 )
 def split_purge_forward(spark, sf):
     found = stage(I.windows(spark, sf, True), "windows")
-    marked = splits.split_purge_forward(found, order=("start_index", "stop_index", "symbol"))
+    marked = splits.split_purge_forward(found, by=["symbol"])
     return tidy(marked.select("symbol", "start_index", "split"))
 
 
@@ -441,6 +441,16 @@ def index_boundaries(spark, sf):
     return tidy(audits.index_boundaries(I.pairs(spark, sf)))
 
 
+@case(
+    "H11_index_boundaries_by_symbol",
+    f"""{S.base(True, 'parts')}, e AS (SELECT symbol, "partition", count(*) AS rows, min(input_start_index) AS a, max(target_stop_index) AS z FROM parts GROUP BY ALL)
+    SELECT symbol, "partition", rows, {b('a', 'first_input_index')}, {b('z', 'last_target_index')},
+    coalesce(a > lag(z) OVER (PARTITION BY symbol ORDER BY CASE "partition" WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END), true) AS separated FROM e""",
+)
+def index_boundaries_by_symbol(spark, sf):
+    return tidy(audits.index_boundaries(I.pairs(spark, sf, True), by=["symbol"]))
+
+
 @case(
     "H12_span_audit",
     f"""{S.base(upto='parts')}, e AS (SELECT *, lag(input_start_index) OVER (PARTITION BY "partition" ORDER BY chronological_rank) AS before FROM parts),

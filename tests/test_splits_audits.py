@@ -52,6 +52,24 @@ def test_forward_purge_depends_on_the_last_training_row(spark):
     assert marked[799] == "train" and marked[800] == "purged" and marked[858] == "purged" and marked[859] == "validation"
 
 
+@pytest.mark.parametrize("kind", ["embargo2", "embargo3", "purge"])
+def test_each_source_is_split_alone(spark, kind):
+    early, late = windows(spark, 800), windows(spark, 600).withColumns({c: F.col(c) + 50_000 for c in ("start_index", "stop_index")})
+    both = early.withColumn("symbol", F.lit("A")).unionByName(late.withColumn("symbol", F.lit("B")))
+    if kind == "embargo2":
+        marked = splits.split_embargo2(both, by=["symbol"])
+    elif kind == "embargo3":
+        marked = splits.split_embargo3(both, embargo=3, start="start_index", stop="stop_index", by=["symbol"])
+    else:
+        marked = splits.split_purge_forward(both, 0.2, by=["symbol"])
+    assert marked.count() == 1400
+    for symbol in "AB":
+        rows = marked.where(F.col("symbol") == symbol)
+        last = rows.where("split = 'train'").agg(F.max("stop_index")).first()[0]
+        first = rows.where("split = 'validation'").agg(F.min("start_index")).first()[0]
+        assert last is not None and first is not None and last < first
+
+
 def test_fixed_periods_are_inclusive(spark):
     rows = [(START, START + 5 * HOUR), (START, START + 6 * HOUR), (START + 6 * HOUR, START + 9 * HOUR)]
     df = spark.createDataFrame(rows, "input_start_time timestamp_ntz, target_stop_time timestamp_ntz")
