@@ -469,6 +469,26 @@ def span_audit(spark, sf):
     return tidy(audits.audit_spans(I.pairs(spark, sf), 30, 29, [0, 1]))
 
 
+@case(
+    "H12_span_audit_by_symbol",
+    f"""{S.base(True, 'parts')}, e AS (SELECT *, lag(input_start_index) OVER (PARTITION BY symbol, "partition" ORDER BY chronological_rank) AS before FROM parts),
+    ends AS (SELECT symbol, "partition", min(input_start_index) AS a, max(target_stop_index) AS z FROM parts GROUP BY ALL),
+    late AS (SELECT "partition", a <= lag(z) OVER (PARTITION BY symbol ORDER BY CASE "partition" WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END) AS late FROM ends),
+    c AS (SELECT "partition", count(*) FILTER (WHERE input_stop_index - input_start_index + 1 <> 30) AS wrong_input_length,
+      count(*) FILTER (WHERE target_stop_index - target_start_index + 1 <> 29) AS wrong_target_length,
+      count(*) FILTER (WHERE target_start_index <> input_stop_index + 1) AS overlap_or_gap,
+      count(*) FILTER (WHERE target_cluster_id NOT IN (0, 1)) AS label_outside_range,
+      count(*) FILTER (WHERE input_start_index < before) AS not_chronological, (SELECT count(*) FILTER (WHERE late) FROM late WHERE late."partition" = e."partition") AS overlaps_previous_partition FROM e GROUP BY 1)
+    SELECT "partition", rule, CAST(violations AS BIGINT) AS violations FROM (UNPIVOT (SELECT "partition", wrong_input_length::BIGINT AS wrong_input_length,
+      wrong_target_length::BIGINT AS wrong_target_length, overlap_or_gap::BIGINT AS overlap_or_gap, label_outside_range::BIGINT AS label_outside_range,
+      not_chronological::BIGINT AS not_chronological, overlaps_previous_partition::BIGINT AS overlaps_previous_partition FROM c)
+      ON wrong_input_length, wrong_target_length, overlap_or_gap, label_outside_range, not_chronological, overlaps_previous_partition
+      INTO NAME rule VALUE violations)""",
+)
+def span_audit_by_symbol(spark, sf):
+    return tidy(audits.audit_spans(I.pairs(spark, sf, True), 30, 29, [0, 1], by=["symbol"]))
+
+
 @case(
     "H13_grid_complete",
     f"""{S.base(True, 'parts')}, g AS (SELECT s, p FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'search']) AS s),
