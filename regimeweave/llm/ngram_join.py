@@ -88,9 +88,9 @@ def signatures(value: np.ndarray, counts: np.ndarray, trees: int, depth: int) ->
 
 
 def sketch(docs: DataFrame, trees: int, lengths: list[int], size: int) -> DataFrame:
-    """``doc_id, set_key, n_shingles`` and, per prefix length, the hashes of every tree's prefix.
+    """``doc_id, text_key, set_key, n_shingles`` and, per prefix length, the hashes of every tree's prefix.
 
-    ``set_key`` is a 128-bit digest of the set of shingles: equal keys are equal sets.
+    ``set_key`` is a 128-bit digest of the set of shingles: equal keys are equal sets. ``text_key`` is a hash of the text.
     """
     depth = lengths[0]
 
@@ -101,7 +101,7 @@ def sketch(docs: DataFrame, trees: int, lengths: list[int], size: int) -> DataFr
                 n, full = last - first, np.flatnonzero(counts)
                 keys = set_keys(value, counts)
                 sig = signatures(value, counts, trees, depth).reshape(len(full), trees, depth)
-                columns = [batch.column(0).slice(first, n), pa.array(keys, pa.binary()), pa.array(counts.astype(np.int64))]
+                columns = [*[batch.column(i).slice(first, n) for i in range(2)], pa.array(keys, pa.binary()), pa.array(counts.astype(np.int64))]
                 running = np.zeros((len(full), trees), np.uint64)
                 hashes = {}
                 for d in range(depth):
@@ -114,10 +114,10 @@ def sketch(docs: DataFrame, trees: int, lengths: list[int], size: int) -> DataFr
                     columns.append(pa.ListArray.from_arrays(offsets, pa.array(hashes[d].ravel().view(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "set_key", "n_shingles", *[f"p{d}" for d in lengths]]
+    names = ["doc_id", "text_key", "set_key", "n_shingles", *[f"p{d}" for d in lengths]]
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = ", ".join(f"p{d} array<bigint>" for d in lengths)
-    return C.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, set_key binary, n_shingles bigint, {kinds}")
+    return C.map_arrow(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), run, f"doc_id {kind}, text_key bigint, set_key binary, n_shingles bigint, {kinds}")
 
 
 def candidate_edges(sets: DataFrame, lengths: list[int]) -> DataFrame:
@@ -223,10 +223,7 @@ def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
                 cut = np.r_[0, np.cumsum(counts)]
                 packed = [value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 own = [batch.column(i).slice(first, last - first) for i in range(batch.num_columns - 1)]
-                out = pa.RecordBatch.from_arrays([*own, pa.array(packed, pa.binary())], names)
-                # an id may also belong to another text
-                same = [a == b for a, b in zip(set_keys(value, counts), own[names.index("set_key")].to_pylist(), strict=True)]
-                yield out.filter(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(packed, pa.binary())], names)
 
     names = [*[c for c in docs.columns if c != "text"], "shingles"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names[:-1]).schema)
@@ -264,12 +261,12 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     extent = members.groupBy("group").agg(F.count("*").alias("_rows"), F.sum("n_shingles").alias("_sum"))
     n_blocks = F.greatest(F.ceil(F.col("_rows") / BLOCK_ROWS), F.ceil(F.col("_sum") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(extent.select("group", n_blocks.alias("n")), "group").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("n")).cast("int"))
-    # one text per set, met by its key; a set of many copies keeps one row of them before texts move
+    # one text per set, met by the id and hash of one of its rows; equal rows are one before they are met, so shingles move once
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = marked.where("set_key is not null").groupBy("set_key").agg(F.min(name).alias("_id"))
-    chosen = placed.join(keyed, "set_key").select("_id", "set_id", "set_key", F.col("copies").alias("weight"), "group", "block", "n")
-    texts = docs.select(name.alias("_id"), "text").join(chosen, "_id")
-    rows = shingle_rows(texts, size).dropDuplicates(["set_id"])
+    keyed = full.groupBy("set_key").agg(F.min(F.struct(name.alias("_id"), F.col("text_key").alias("_key"))).alias("_row"))
+    chosen = placed.join(keyed, "set_key").select("_row._id", "_row._key", "set_id", F.col("copies").alias("weight"), "group", "block", "n")
+    texts = docs.select(name.alias("_id"), F.xxhash64("text").alias("_key"), "text").dropDuplicates(["_id", "_key"]).join(chosen, ["_id", "_key"])
+    rows = shingle_rows(texts, size)
     other = F.sequence(F.lit(0), F.col("n") - 1)
     pairs = rows.withColumn("o", F.explode(other)).select(
         "group", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), (F.col("block") > F.col("o")).cast("int").alias("side"), "set_id", "weight", "shingles"
