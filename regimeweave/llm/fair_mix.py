@@ -91,20 +91,19 @@ def queue(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCH
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each once for every copy.
 
-    The queue itself moves narrow rows only; texts move once, to meet the number of copies by
-    (doc_id, hash of the text, position among rows equal in both).
+    The queue itself moves narrow rows only; texts move once, dealt together with the queue's rows by
+    (doc_id, hash of the text, source). Among rows equal in these, the n-th meets the n-th of the queue.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    hashed = docs.withColumn("_hash", F.xxhash64(text_of())).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    same = Window.partitionBy("_id", "_hash")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    keys = ["_id", "_hash", "source"]
+    key_columns = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64(text_of()).alias("_hash"), F.col("source")]
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    copies = (
-        queue(hashed, carry=["_id", "_hash"])
-        .select("_id", "_hash", times.alias("_times"), F.row_number().over(same.orderBy("finish", "source_size")).alias("_n"))
-        .where("_times > 0")
-    )
-    placed = hashed.withColumn("_n", F.row_number().over(same.orderBy("source")))
-    return placed.join(copies, ["_id", "_hash", "_n"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*own)
+    queued = queue(docs.select("doc_id", "text", *key_columns), carry=keys).select(*keys, F.lit(0).alias("_kind"), times.alias("_times"), "finish")
+    rows = docs.select(*key_columns, F.lit(1).alias("_kind"), row)
+    met = queued.unionByName(rows, allowMissingColumns=True).repartition(*keys)
+    met = met.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_kind").orderBy("finish")))
+    met = met.withColumn("_take", F.lag("_times").over(Window.partitionBy(*keys).orderBy("_n", "_kind"))).where("_kind = 1 and _take > 0")
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take")))).select("_doc.*")
 
 
 SQL = rf"""
