@@ -20,7 +20,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id. Rows with a null id stay."""
+    """One row of each group of near copies stays: that with the smallest id, null last. Texts without a word stay."""
     return ngram_join.drop_near_copies(docs)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimeweave.llm import common as C
@@ -230,20 +230,15 @@ def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
     return C.map_arrow(docs.select(*names[:-1], "text"), run, f"{kinds}, shingles binary")
 
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> DataFrame:
-    """``doc_id, class_id, group_id, n_links, copies`` of every row of ``docs``.
+def row_order() -> Column:
+    """Rows by id, null last, then by their text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
 
-    Shingles are sets of ``size`` words; two rows are linked at Jaccard ``threshold`` or more.
-    ``class_id`` is the smallest doc_id of the rows with an equal set, ``copies`` their number,
-    ``group_id`` the smallest doc_id that links lead to, ``n_links`` the number of other rows linked to
-    this one, equal sets included. A text without a word is linked to nothing and is its own class;
-    a null text is empty. Rows that repeat an id count as rows. A class of rows with null ids only
-    has a null class_id.
 
-    Equal sets become one node first. The forest proposes edges, never more than one per set,
-    tree and prefix length; their connected parts are cut into blocks of bounded rows and
-    shingles, and every pair of blocks of one part is compared exactly, so no link among
-    candidates is lost and no pair of rows is ever written: tasks return counts and heads.
+def linked_rows(docs: DataFrame, threshold: float, size: int, trees: int, depth: int, target: float) -> DataFrame:
+    """``doc_id, text_key, set_key, class_id, copies, links, group_id, keeper`` of every row of ``docs``.
+
+    ``keeper`` is the first row (``row_order``) that links lead to; it is null for a text without a word.
     """
     lengths = prefix_lengths(trees, depth, threshold, target)
     marked = stage(sketch(docs, trees, lengths, size))
@@ -251,7 +246,7 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     full = marked.where("set_key is not null")
     sets = stage(
         full.groupBy("set_key")
-        .agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), *[F.max(c).alias(c) for c in columns])
+        .agg(F.min("doc_id").alias("class_id"), F.min(row_order()).alias("_first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), *[F.max(c).alias(c) for c in columns])
         .withColumn("set_id", F.xxhash64("set_key"))
     )
     edges = stage(candidate_edges(sets, lengths))
@@ -274,10 +269,29 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     checked = stage(verify(pairs, threshold))
     counts = checked.groupBy("set_id").agg(F.sum("links").alias("links"))
     groups = connected_components(checked.where("head != set_id").select(F.col("set_id").alias("a"), F.col("head").alias("b")).distinct())
-    named = sets.select("set_key", "set_id", "class_id", "copies").join(counts, "set_id", "left").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
+    named = sets.select("set_key", "set_id", "class_id", "_first", "copies").join(counts, "set_id", "left").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = stage(named.withColumn("component", F.coalesce("component", "set_id")))
-    firsts = named.groupBy("component").agg(F.min("class_id").alias("group_id"))
-    result = marked.select("doc_id", "set_key").join(named.join(firsts, "component").drop("set_id", "component"), "set_key", "left")
+    firsts = named.groupBy("component").agg(F.min("class_id").alias("group_id"), F.min("_first").alias("keeper"))
+    named = named.join(firsts, "component").drop("set_id", "component", "_first")
+    return marked.select("doc_id", "text_key", "set_key").join(named, "set_key", "left")
+
+
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> DataFrame:
+    """``doc_id, class_id, group_id, n_links, copies`` of every row of ``docs``.
+
+    Shingles are sets of ``size`` words; two rows are linked at Jaccard ``threshold`` or more.
+    ``class_id`` is the smallest doc_id of the rows with an equal set, ``copies`` their number,
+    ``group_id`` the smallest doc_id that links lead to, ``n_links`` the number of other rows linked to
+    this one, equal sets included. A text without a word is linked to nothing and is its own class;
+    a null text is empty. Rows that repeat an id count as rows. A class of rows with null ids only
+    has a null class_id.
+
+    Equal sets become one node first. The forest proposes edges, never more than one per set,
+    tree and prefix length; their connected parts are cut into blocks of bounded rows and
+    shingles, and every pair of blocks of one part is compared exactly, so no link among
+    candidates is lost and no pair of rows is ever written: tasks return counts and heads.
+    """
+    result = linked_rows(docs, threshold, size, trees, depth, target)
     return result.select(
         "doc_id",
         F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -287,12 +301,31 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     )
 
 
+def row_key(text_key: Column) -> list[Column]:
+    """Id and text hash of a row as join keys that are never null."""
+    return [F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), text_key.alias("_key")]
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of linked rows: that with the smallest doc_id.
+    """``docs`` with exactly one row of each group of linked rows: that with the smallest doc_id, null last.
 
-    Rows that repeat the id are told apart by their text's hash, so exactly one stays unless
-    they are equal throughout. Rows with a null id stay.
+    Rows that repeat the id are told apart by their text's hash, so a row goes only with its own
+    group; among rows equal in both, the one with the smallest hash of the whole row stays, and
+    one of those that are equal throughout. Texts without a word are in no group and all stay.
     """
-    groups = near_copies(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("group_id").alias("_group"))
-    dropped = groups.where("_group < doc_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    linked = linked_rows(docs, THRESHOLD, SHINGLE, TREES, DEPTH, TARGET_RECALL).where("keeper is not null")
+    first = F.col("keeper") == row_order()
+    # rows of one id and text share their group; only those of a set with several rows can be one too many
+    shared = linked.where(~first | (F.col("copies") > 1))
+    keys = shared.groupBy(*row_key(F.col("text_key"))).agg(F.bool_and(first).alias("_first"), F.count("*").alias("_n"))
+    extra = stage(keys.where("not _first or _n > 1"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = docs.select(carried, *row_key(F.xxhash64("text")))
+    names = ["_none", "_id", "_key"]
+    kept = keyed.join(extra.select(*names), names, "left_anti").select("doc.*")
+    tied = extra.where("_first").select(*names)
+    if tied.isEmpty():
+        return kept
+    whole = F.xxhash64(F.col("doc").cast("string"))  # as text, for a map has no hash
+    one = keyed.join(tied, names, "left_semi").groupBy(*names).agg(F.min_by("doc", whole).alias("doc"))
+    return kept.unionByName(one.select("doc.*"))

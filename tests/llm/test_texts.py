@@ -57,6 +57,33 @@ def test_near_copies(spark, docs, rows):
     assert ngram_join.near_copies(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, rows):
+    """Repeated and null ids: a row goes only with its own group, and every group keeps one row."""
+    same, alone = sentence(80), sentence(80)
+    odd = [(None, edited(same, 1), "x"), (None, edited(same, 1), "y"), (200, same, "p"), (200, edited(same, 2), "q"), (200, alone, "r")]
+    nulls = sentence(90)
+    odd += [(None, nulls, "a"), (None, edited(nulls, 2), "b"), (201, alone + " end", "t"), (202, "w " + nulls[::-1], "u"), (202, "w " + nulls[::-1], "v"), (203, alone, "r")]
+    table = spark.createDataFrame([*rows, *odd], "doc_id long, text string, shingles string")
+    given = [tuple(r) for r in table.selectExpr("doc_id", "text", "shingles", "xxhash64(text)").collect()]
+    sets = []
+    for _, text, _, _ in given:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    group = list(range(len(given)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 10 * len(a & sets[j]) >= 8 * len(a | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    members = defaultdict(list)
+    for g, r in zip(group, given, strict=True):
+        members[g].append(r)
+    order = lambda r: (r[0] is None, r[0] or 0, r[3])
+    want = sorted(str(min(m, key=order)[:2]) for m in members.values())
+    got = ngram_join.drop_near_copies(table).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got) == want
+    assert set(map(tuple, got)) <= {r[:3] for r in given}
+
+
 def test_blocks_and_recall():
     lengths = ngram_join.prefix_lengths()
     k = lengths[-1]
