@@ -11,8 +11,8 @@ from regimeweave.llm.common import ascii_lower, stage
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING = 0.85
-ROUNDS = 20
-TOLERANCE = 1e-6
+#: Rounds end when all moves of one together are this part of an even share of the scores.
+TOLERANCE = 1e-3
 #: A host is blocked if distrust is this share of both scores, and this many times an even share of all distrust.
 SHARE, FLOOR = 0.5, 0.1
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
@@ -57,15 +57,18 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def spread(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def spread(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: ``nodes`` (host, seed), ``edges`` (src, dst, share); returns (host, score).
 
     Score of hosts without an outgoing edge returns to the seeds. Each round is one join of the
     edges with the scores and one partial aggregate, written to shared storage; it stops when
-    no score moves by more than ``tolerance``.
+    the moves of all scores sum to at most ``tolerance`` even shares (1 / hosts). A round shrinks that sum by
+    ``damping`` at least, so rounds grow with the logarithm of the hosts, and no score is further
+    than ``tolerance * damping / (1 - damping)`` even shares from its limit.
     """
     scores = nodes.withColumn("score", F.col("seed"))
-    for _ in range(rounds):
+    least = tolerance / max(1, nodes.count())
+    while True:
         sent = edges.join(scores.select(F.col("host").alias("src"), "score"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("_in"))
         received = scores.join(sent, "host", "left").withColumn("_in", F.coalesce("_in", F.lit(0.0)))
         received = stage(received)
@@ -73,14 +76,13 @@ def spread(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
         back = (1 - damping) + damping * (F.col("_all") - F.col("_sent"))
         new = F.col("seed") * back + damping * F.col("_in")
         scores = stage(received.crossJoin(F.broadcast(total)).select("host", "seed", new.alias("score"), F.abs(new - F.col("score")).alias("_moved")))
-        moved = scores.agg(F.max("_moved")).first()[0]
+        moved = scores.agg(F.sum("_moved")).first()[0]
         scores = scores.drop("_moved")
-        if not moved or moved <= tolerance:
-            break
-    return scores.select("host", "score")
+        if not moved or moved <= least:
+            return scores.select("host", "score")
 
 
-def judge(pages: DataFrame, rules: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, share: float = SHARE, floor: float = FLOOR) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, damping: float = DAMPING, share: float = SHARE, floor: float = FLOOR) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` of every row of ``pages``.
 
     ``rules`` (rule, verdict) look like ``host/path``; the longest that fits the host (or a domain above
@@ -114,8 +116,8 @@ def judge(pages: DataFrame, rules: DataFrame, damping: float = DAMPING, rounds:
     into = edges.groupBy("dst").agg(F.sum("links").alias("_all"))
     forward = stage(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("_all")).alias("share")))
     backward = stage(edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("links") / F.col("_all")).alias("share")))
-    trust = spread(seeds.select("host", F.col("good").alias("seed")), forward, damping, rounds).withColumnRenamed("score", "trust")
-    distrust = spread(seeds.select("host", F.col("bad").alias("seed")), backward, damping, rounds).withColumnRenamed("score", "distrust")
+    trust = spread(seeds.select("host", F.col("good").alias("seed")), forward, damping).withColumnRenamed("score", "trust")
+    distrust = spread(seeds.select("host", F.col("bad").alias("seed")), backward, damping).withColumnRenamed("score", "distrust")
     bad = (F.col("distrust") > share * (F.col("trust") + F.col("distrust"))) & (F.col("distrust") * F.col("n") > floor)
     verdicts = (
         fitted.join(seeds.select("host", "n"), "host")

@@ -107,6 +107,28 @@ def test_url_rules_and_links(spark):
     assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_distrust_goes_as_far_as_it_counts(spark):
+    """On a chain of 30 hosts distrust fades by the damping alone, past 20 links too."""
+    pages = [(i, f"http://{'h0.net' if i == 0 else f'h{i}.com'}/", "" if i == 0 else f'<a href="http://{"h0.net" if i == 1 else f"h{i - 1}.com"}/">l</a>') for i in range(30)]
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), url_filter.rule_table(spark)).collect()
+    whole = sum(0.85**i for i in range(30))
+    for r in rows:
+        want = 0.85**r.page_id / whole
+        assert abs(r.distrust - want) <= 6e-3 / 30
+        assert r.verdict == ("block" if want * 30 > 0.1 else "allow")
+    assert {r.page_id: r.verdict for r in rows}[22] == "block"
+
+
+def test_spread_does_not_depend_on_the_number_of_seeds(spark):
+    """Seeds of less than a millionth each reach as many links as few large ones."""
+    n = 1_200_000
+    nodes = spark.range(n).selectExpr("concat('s', id) as host", f"1D / {n} as seed").union(spark.sql("select concat('c', id), 0D from range(5)"))
+    edges = spark.sql("select if(id = 0, 's0', concat('c', id - 1)) as src, concat('c', id) as dst, 1D as share from range(5)")
+    got = {r.host: r.score * n for r in url_filter.spread(nodes, edges).where("host like 'c%'").collect()}
+    for i in range(5):
+        assert abs(got[f"c{i}"] - 0.85 ** (i + 1)) < 0.01
+
+
 def test_quotes(spark):
     rows = [
         ("c", 0, "u", "First line.\nsecond Line"),
