@@ -16,15 +16,19 @@ def held_out() -> F.col:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
+def agreed(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, y`` of labelled documents outside the held-out fold; one with contradicting or null labels is left out."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_y"))
+    return known.where("y = _y").select("doc_id", F.col("y").cast("int").alias("y"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """``text`` and ``y`` of at most ``max_rows`` labelled rows outside the held-out fold, of every label value alike.
 
     Rows come in the order of a hash of their id, so the sample does not depend on partitions.
     A document with contradicting or null labels is left out.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_y"))
-    key = F.xxhash64("doc_id", F.lit("sample"))
-    known = known.where("y = _y").select("doc_id", F.col("y").cast("int").alias("y"), key.alias("_key"))
+    known = agreed(labels, label).withColumn("_key", F.xxhash64("doc_id", F.lit("sample")))
     half = max_rows // 2
     chosen = None
     for value in (0, 1):

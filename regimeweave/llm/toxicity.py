@@ -22,6 +22,8 @@ RATE = 0.02
 BATCH = 64
 #: Least number of steps; a small sample is read in more epochs.
 MIN_STEPS = 600
+#: Candidate thresholds.
+GRID = np.linspace(0.05, 0.95, 37)
 #: Words of a labelled text that one training step reads: of a longer text, a window drawn anew in each epoch.
 TRAIN_WORDS = 600
 
@@ -175,7 +177,7 @@ def scores(net: Network, taps: list[list[np.ndarray]], ids: np.ndarray, counts:
 
 
 def bucket_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, y, ids`` of labelled texts."""
+    """``doc_id, y, ids`` of labelled texts."""
 
     def run(batches):
         for batch in batches:
@@ -184,56 +186,82 @@ def bucket_rows(docs: DataFrame) -> DataFrame:
                 cut = np.r_[0, np.cumsum(counts)]
                 packed = [ids[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(packed, pa.binary())], ["doc_id", "lang", "y", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(packed, pa.binary())], ["doc_id", "y", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return C.map_arrow(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.col("y").cast("int").alias("y")), run, f"doc_id {kind}, lang string, y int, ids binary")
+    return C.map_arrow(docs.select("doc_id", "text", F.col("y").cast("int").alias("y")), run, f"doc_id {kind}, y int, ids binary")
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Threshold of the highest F1; among equals the one nearest to 0.5."""
+def best_threshold(counts: np.ndarray) -> float:
+    """Threshold of the highest F1; among equals the one nearest to 0.5.
+
+    ``counts`` (2, len(GRID) + 1) has the rows of each label by the number of thresholds their score reaches.
+    """
+    reach = counts[:, ::-1].cumsum(1)[:, ::-1]
     best, at = -1.0, 0.5
-    for t in np.linspace(0.05, 0.95, 37):
-        hit = (p >= t) & (y == 1)
-        f1 = 2 * hit.sum() / max(1, (p >= t).sum() + (y == 1).sum())
+    for k, t in enumerate(GRID):
+        f1 = 2 * reach[1, k + 1] / max(1, reach[:, k + 1].sum() + reach[1, 0])
         if f1 > best + 1e-12 or (abs(f1 - best) <= 1e-12 and abs(t - 0.5) < abs(at - 0.5)):
             best, at = f1, float(t)
     return at
 
 
+def label_counts(docs: DataFrame, known: DataFrame, trained: DataFrame, net: Network) -> dict[str, np.ndarray]:
+    """By language, rows of ``known`` (doc_id, y) by training (no, yes), label and number of thresholds reached.
+
+    Scores are taken before the join, so no text is shuffled; null is the empty language.
+    """
+    scored = raw_scores(docs.where(F.col("doc_id").isNotNull() & ~features.held_out()), net)
+    reached = F.size(F.filter(F.array(*[F.lit(float(t)) for t in GRID]), lambda t: t <= F.col("score")))
+    marked = known.join(trained.withColumn("_trained", F.lit(1)), "doc_id", "left")
+    rows = scored.join(marked, "doc_id").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("_trained", F.lit(0)).alias("trained"), "y", reached.alias("reached")).count()
+    out: dict[str, np.ndarray] = {}
+    for r in rows.where("y in (0, 1)").collect():  # 4 * (len(GRID) + 1) rows a language at most
+        out.setdefault(r["lang"], np.zeros((2, 2, len(GRID) + 1)))[r["trained"], r["y"], r["reached"]] = r["count"]
+    return out
+
+
+def calibrate(counts: dict[str, np.ndarray]) -> dict[str, float]:
+    """Threshold of each language that has both labels.
+
+    Only rows outside the training set count, each label weighted to its share in all labelled
+    rows, for training takes more of the rare one. A language whose rows of one label were all
+    trained on is read from all its rows.
+    """
+    out = {}
+    for name, cells in sorted(counts.items()):
+        every, new = cells.sum(0), cells[0]
+        sizes, left = every.sum(1), new.sum(1)
+        if sizes.all():
+            out[name] = best_threshold(new * (sizes / left)[:, None] if left.all() else every)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Network:
-    """Trains on at most ``max_rows`` labelled rows, half of each class; a fifth of them sets the threshold of each language.
+    """Trains on four fifths of at most ``max_rows`` labelled rows, half of each class; all other labelled rows set the threshold of each language.
 
     Language is read for the thresholds only, never for a score. Without both classes every
     score is near 0.5.
     """
-    known = features.labelled(docs, labels, label, max_rows)
-    langs = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    sample = bucket_rows(known.join(langs, "doc_id")).toArrow().to_pydict()
+    sample = bucket_rows(features.labelled(docs, labels, label, max_rows)).toArrow().to_pydict()
     order = sorted(range(len(sample["y"])), key=lambda i: (str(sample["doc_id"][i]), sample["ids"][i]))
     texts = [np.frombuffer(sample["ids"][i], "<i4").reshape(-1, 3) for i in order]
-    lang = np.array([sample["lang"][i] for i in order], object)
     y = np.array([sample["y"][i] for i in order], float)
     if len(set(y)) < 2:
         return Network.new()
-    last = np.arange(len(y)) % 5 == 4
-    rows = np.flatnonzero(~last)
+    # rows of one id are trained on together or not at all
+    names = [sample["doc_id"][i] for i in order]
+    place = {name: k for k, name in enumerate(dict.fromkeys(names))}
+    rows = [i for i, name in enumerate(names) if place[name] % 5 != 4]
     net = train([texts[i] for i in rows], y[rows])
-    taps = tap_tables(net)
-    for name in sorted(set(lang)):
-        own = np.flatnonzero(last & (lang == name))
-        if len(own) and 0 < y[own].sum() < len(own):
-            p = scores(net, taps, np.concatenate([texts[i] for i in own]), np.array([len(texts[i]) for i in own]))
-            net.thresholds[name] = best_threshold(p, y[own])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    trained = docs.sparkSession.createDataFrame([(name,) for name, k in place.items() if k % 5 != 4], f"doc_id {kind}")
+    net.thresholds = calibrate(label_counts(docs, features.agreed(labels, label), trained, net))
     return net
 
 
-def score(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
-    """``doc_id, held_out, score, predicted, flagged`` of every row; whole texts, no shuffle.
-
-    ``predicted`` uses ``threshold``; ``flagged`` that of the row's language, or ``threshold`` where a
-    language has none. An empty or null text has no word and gets the score of the bias.
-    """
+def raw_scores(docs: DataFrame, net: Network) -> DataFrame:
+    """``doc_id, lang, score`` of every row; whole texts, no shuffle."""
     taps = tap_tables(net)
 
     def run(batches):
@@ -245,8 +273,17 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(p)], ["doc_id", "lang", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = C.map_arrow(docs.select("doc_id", "text", "lang"), run, f"doc_id {kind}, lang string, score double")
+    return C.map_arrow(docs.select("doc_id", "text", "lang"), run, f"doc_id {kind}, lang string, score double")
+
+
+def score(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
+    """``doc_id, held_out, score, predicted, flagged`` of every row; whole texts, no shuffle.
+
+    ``predicted`` uses ``threshold``; ``flagged`` that of the row's language, or ``threshold`` where a
+    language has none; null is the empty language. An empty or null text has no word and gets the score of the bias.
+    """
+    scored = raw_scores(docs, net)
     limit = F.lit(threshold)
     for name, value in sorted(net.thresholds.items()):
-        limit = F.when(F.col("lang") == name, F.lit(value)).otherwise(limit)
+        limit = F.when(F.coalesce("lang", F.lit("")) == name, F.lit(value)).otherwise(limit)
     return scored.select("doc_id", features.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= limit).alias("flagged"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regimeweave.llm import quality_model, toxicity
+from regimeweave.llm import features, quality_model, toxicity
 
 WORDS = [f"w{i}" for i in range(200)]
 
@@ -44,6 +44,39 @@ def test_one_class_gives_even_scores(spark, docs, module, label):
     assert module.score(texts.limit(5), model).where("abs(score - 0.5) > 0.3").count() == 0
 
 
+def test_thresholds_count_every_untrained_row(spark, docs):
+    """Of all 480 labelled rows outside the held-out fold, those not trained on set the thresholds, at their real shares."""
+    texts, labels = docs
+    net = toxicity.fit(texts, labels, max_rows=100)
+    small = toxicity.label_counts(texts, features.agreed(labels, "toxic"), spark.range(0).toDF("doc_id"), net)
+    known = features.agreed(labels, "toxic").join(texts, "doc_id")
+    assert sum(c.sum() for c in small.values()) == known.count() > 400
+    assert set(net.thresholds) == {"de", "en"}
+    scored = {r.doc_id: r for r in toxicity.raw_scores(texts, net).join(features.agreed(labels, "toxic"), "doc_id").collect()}
+    for name in ("de", "en"):
+        p, y = np.array([(r.score, r.y) for r in scored.values() if r.lang == name]).T
+        f1 = lambda t: 2 * ((p >= t) & (y == 1)).sum() / max(1, (p >= t).sum() + (y == 1).sum())
+        assert f1(net.thresholds[name]) >= max(map(f1, toxicity.GRID)) - 0.03
+
+
+def test_threshold_weighs_labels_as_all_rows():
+    """One language at 10 % toxic of which training took half, one whose toxic rows were all trained on, one without any."""
+    n = len(toxicity.GRID) + 1
+    cells = np.zeros((2, 2, n))
+    cells[0, 0, 10], cells[0, 0, 25] = 800, 90
+    cells[0, 1, 25], cells[0, 1, 35] = 20, 30
+    cells[1, 1, 30], cells[1, 0, 5] = 50, 10
+    rare = np.zeros((2, 2, n))
+    rare[1, 1, 30], rare[0, 0, 8], rare[0, 0, 28] = 2, 50, 1
+    clean = np.zeros((2, 2, n))
+    clean[0, 0, 3] = 9
+    got = toxicity.calibrate({"a": cells, "b": rare, "c": clean})
+    weighted = cells[0] * (cells.sum((0, 2)) / cells[0].sum(1))[:, None]
+    f1 = [2 * weighted[1, k + 1 :].sum() / (weighted[:, k + 1 :].sum() + weighted[1].sum()) for k in range(n - 1)]
+    assert got["a"] == toxicity.GRID[[k for k in range(n - 1) if f1[k] >= max(f1) - 1e-12][0]] > 0.6
+    assert toxicity.GRID[28] <= got["b"] <= toxicity.GRID[29] and "c" not in got
+
+
 def test_dual_coordinates_reach_the_optimum():
     """No step along a dual coordinate improves the solution: projected gradients vanish."""
     rng = np.random.default_rng(3)
