@@ -124,48 +124,62 @@ def silhouette(
     vector: str,
     label: str,
     key: str,
-    max_n: int = 5000,
+    max_n: int | None = None,
     seed: int = 42,
     rank_expr: Column | None = None,
+    block_rows: int = 1024,
 ) -> DataFrame:
-    """Mean Euclidean silhouette of a repeatable sample of at most ``max_n`` rows; NaN for one label.
+    """Mean Euclidean silhouette of all rows; NaN for one label. A row without a label is in no cluster.
 
-    Sampling is part of the measure. The sample, bounded by ``max_n``, goes to every task as one
-    matrix; each task compares its own rows with it, so no pair of rows is ever materialised.
+    With ``max_n``, of a repeatable sample of at most so many rows. Every row is compared with every
+    other: rows are packed into blocks by a hash of ``key``, and each pair of blocks returns the sums of
+    distances per row and label, so tasks hold two blocks and no pair of rows is ever written. The
+    work grows with the square of the rows.
     """
     order = F.xxhash64(F.col(key), F.lit(seed)) if rank_expr is None else rank_expr
-    picked = df.orderBy(order, key).limit(max_n)
-    sample = picked.select(F.col(key), F.col(label).cast("int").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    local = sample.toPandas()  # at most max_n rows
-    spark = df.sparkSession
-    if local["label"].nunique() < 2:
-        return spark.range(1).select(F.lit(len(local)).alias("sampled"), F.lit(float("nan")).alias("silhouette"))
-    shared = spark.sparkContext.broadcast((local["label"].to_numpy(), local["v"].tolist()))
+    picked = df if max_n is None else df.orderBy(order, key).limit(max_n)
+    rows = picked.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    rows = rows.where("label is not null")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per cluster
+    n = sum(counts.values())
+    if len(counts) < 2:
+        return df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("sampled"), F.lit(float("nan")).alias("silhouette"))
+    ids = sorted(counts)
+    sizes = [counts[c] for c in ids]
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        labels, rows = shared.value
-        matrix = np.asarray(rows, dtype=float)
-        ids = np.unique(labels)
-        members = np.stack([labels == c for c in ids]).astype(float)
-        sizes = members.sum(axis=1)
         for batch in batches:
-            scores = []
-            for own, v in zip(batch["label"], batch["v"]):
-                far = np.sqrt(((matrix - np.asarray(v, dtype=float)) ** 2).sum(axis=1))
-                sums = members @ far
-                at = int(np.searchsorted(ids, own))
-                if sizes[at] == 1:
-                    scores.append(0.0)
-                    continue
-                inside = sums[at] / (sizes[at] - 1)
-                outside = np.delete(sums / sizes, at).min()
-                scores.append((outside - inside) / max(inside, outside))
-            yield pd.DataFrame({"s": scores})
-
-    spread = spark.createDataFrame(local[["label", "v"]], "label int, v array<double>").repartition(
-        spark.sparkContext.defaultParallelism
-    )
-    return spread.mapInPandas(compare, "s double").agg(F.count("s").alias("sampled"), F.avg("s").alias("silhouette"))
+            out = []
+            for labels, left, others, right in zip(batch["labels"], batch["left"], batch["others"], batch["right"]):
+                matrix = np.stack([np.asarray(v, dtype=float) for v in right])
+                members = np.stack([np.asarray(others) == c for c in ids], axis=1).astype(float)
+                far = np.stack([np.sqrt(((matrix - np.asarray(v, dtype=float)) ** 2).sum(axis=1)) for v in left])
+                out.append((far @ members).ravel())
+            yield pd.DataFrame({"x": batch["x"], "labels": batch["labels"], "sums": out})
+
+    def total(frame):
+        import numpy as np
+        import pandas as pd
+
+        own = np.searchsorted(ids, np.asarray(frame["labels"].iloc[0]))
+        sums = np.sum([np.asarray(v) for v in frame["sums"]], axis=0).reshape(len(own), len(ids))
+        n_of, at = np.asarray(sizes, dtype=float), np.arange(len(own))
+        alone = n_of[own] == 1
+        inside = sums[at, own] / np.where(alone, 1.0, n_of[own] - 1)
+        means = sums / n_of
+        means[at, own] = np.inf
+        outside = means.min(axis=1)
+        with np.errstate(invalid="ignore"):
+            scores = (outside - inside) / np.maximum(inside, outside)
+        return pd.DataFrame({"s": np.where(alone, 0.0, scores)})
+
+    block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(-(-n // block_rows))).alias("x")
+    packed = rows.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("id", "label", "v"))).alias("r"))
+    left = packed.select("x", F.col("r.label").alias("labels"), F.col("r.v").alias("left"))
+    right = packed.select(F.col("r.label").alias("others"), F.col("r.v").alias("right"))
+    pairs = left.crossJoin(right).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    sums = pairs.mapInPandas(compare, "x bigint, labels array<int>, sums array<double>")
+    return sums.groupBy("x").applyInPandas(lambda f: total(f), "s double").agg(F.count("s").alias("sampled"), F.avg("s").alias("silhouette"))

@@ -76,10 +76,11 @@ def _best_fit(features: DataFrame, k: int, n_init: int, seed: int, max_iter: int
 
 
 def stability(
-    df: DataFrame, vector: str, k: int, key: str, repeats: int = 5, max_n: int = 4000, n_init: int = 10, seed: int = 42
+    df: DataFrame, vector: str, k: int, key: str, repeats: int = 5, max_n: int | None = None, n_init: int = 10, seed: int = 42
 ) -> DataFrame:
-    """Mean adjusted Rand index between repeated fits on one repeatable sample."""
-    sample = df.orderBy(F.xxhash64(F.col(key), F.lit(seed + 1000 + k)), key).limit(max_n).select(key, vector)
+    """Mean adjusted Rand index between repeated fits on all rows, or on one repeatable sample of ``max_n``."""
+    sample = df if max_n is None else df.orderBy(F.xxhash64(F.col(key), F.lit(seed + 1000 + k)), key).limit(max_n)
+    sample = sample.select(key, vector)
     sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         labelled = sample
@@ -101,8 +102,8 @@ def sweep_k(
     ks: Sequence[int],
     n_init: int = 10,
     repeats: int = 5,
-    silhouette_n: int = 5000,
-    stability_n: int = 4000,
+    silhouette_n: int | None = None,
+    stability_n: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """One row of quality measures per candidate K. The loop over K only drives Spark jobs."""

@@ -173,7 +173,7 @@ RANK = "(vec_id * 7919 + 42) % 1000003"
     SELECT {b('count(*)', 'sampled')}, {r('avg(CASE WHEN n = 1 THEN 0 ELSE (z - a) / greatest(a, z) END)', 'silhouette')} FROM ab""",
 )
 def silhouette(spark, sf):
-    return tidy(M.silhouette(embeddings(spark, sf), "embedding", "label", "vec_id", rank_expr=F.expr(RANK)))
+    return tidy(M.silhouette(embeddings(spark, sf), "embedding", "label", "vec_id", 5000, rank_expr=F.expr(RANK)))
 
 
 @case(

@@ -184,3 +184,27 @@ def test_quantile_of_one_row_and_of_none(spark):
     one = spark.createDataFrame([(5.0,)], "x double")
     assert exact_quantile(one, "x", 0.99).first()[0] == 5.0
     assert exact_quantile(one.where("x < 0"), "x", 0.5).count() == 0
+
+
+def test_silhouette_reads_all_rows(spark):
+    """More rows than the former cap of 5,000, in several blocks, against brute force."""
+    import numpy as np
+
+    from regimeweave.operators import cluster_metrics
+
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 3, 5200)
+    labels[0] = 9  # a cluster of one row
+    x = rng.normal(0, 1, (5200, 2)) + labels[:, None]
+    rows = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(labels, x))], "id long, c int, v array<double>")
+    far = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    kinds, sizes = np.unique(labels, return_counts=True)
+    sums = np.stack([far[:, labels == c].sum(1) for c in kinds], 1)
+    own = np.searchsorted(kinds, labels)
+    inside = sums[np.arange(5200), own] / np.maximum(1, sizes[own] - 1)
+    means = sums / sizes
+    means[np.arange(5200), own] = np.inf
+    want = np.where(sizes[own] == 1, 0, (means.min(1) - inside) / np.maximum(inside, means.min(1))).mean()
+    got = cluster_metrics.silhouette(rows, "v", "c", "id").first()
+    assert got.sampled == 5200 and abs(got.silhouette - want) < 1e-9
+    assert cluster_metrics.silhouette(rows, "v", "c", "id", 100).first().sampled == 100
