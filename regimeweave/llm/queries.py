@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regimeweave.llm import exact_dedup, fair_mix, ngram_join, pieces, quality_model, quality_rules, quote_links, repeats, toxicity, url_filter
+from regimeweave.llm import (
+    exact_dedup,
+    fair_mix,
+    ngram_join,
+    phrases,
+    pieces,
+    quality_model,
+    quality_rules,
+    quote_links,
+    repeats,
+    token_cache,
+    toxicity,
+    url_filter,
+    word_runs,
+)
 from regimeweave.llm.common import table
 
 
@@ -53,6 +67,18 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_cache.report(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_piece_encoding": op2_piece_encoding,
@@ -64,10 +90,14 @@ QUERIES = {
     "op8_quality_model": op8_quality_model,
     "op9_toxicity": op9_toxicity,
     "op10_fair_mix": op10_fair_mix,
+    "op11_token_counts": op11_token_counts,
+    "op12_phrases": op12_phrases,
+    "op13_word_runs": op13_word_runs,
 }
 SQL = {
     "op3_chat_quotes": quote_links.SQL,
     "op6_quality_rules": quality_rules.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op10_fair_mix": fair_mix.SQL,
+    "op12_phrases": phrases.SQL,
 }
