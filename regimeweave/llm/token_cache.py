@@ -18,13 +18,17 @@ from regimeweave.llm import common as C
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
 HOT_KEYS = 10_000
-WINDOW = 1 << 16  # characters of a text that are encoded at a time
+WINDOW = 1 << 20  # characters of a text that are taken apart at a time
 BATCH = 1 << 20
+MEMO = 1_000_000  # parts whose counts a task keeps
+MEMO_CHARS = 64
 ENTRY = "digest binary, n_tokens bigint"
 
-# A byte-level pre-token is white space, or one optional space and a run of one kind. So it never holds
-# white space behind a visible character, and a run of letters ends before a mark; neither side is read for the other.
-CUT = re.compile(r"(?<=[!-~])[ \n]|(?<=[A-Za-z一-鿿ぁ-ゖァ-ヺ])[.,。、，！？]")
+# A byte-level pre-token is white space, or one optional space and a run of one kind. So it never holds white space
+# behind a visible character, and neither side of such a place is read for the other. Likewise a run of letters ends before a mark.
+VISIBLE = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PART = re.compile(rf"(?<=[{VISIBLE}])(?=[ \n])")
+CUT = re.compile(rf"(?<=[{VISIBLE}])[ \n]|(?<=[A-Za-z\u4e00-\u9fff\u3041-\u3096\u30a1-\u30fa])[.,\u3002\u3001\uff0c\uff01\uff1f]")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -49,9 +53,10 @@ class Counter:
             added = [t for t in spec.get("added_tokens", []) if CUT.search(t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]]
             self.cuts = bool(plain and not added)
         self.encoder = None
+        self.memo: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"encoder": None}
+        return self.__dict__ | {"encoder": None, "memo": {}}
 
     def windows(self, text: str, size: int = WINDOW) -> list[str]:
         """Parts of a long text whose counts add up to the text's; one part if the file's rules do not promise that."""
@@ -85,21 +90,38 @@ class Counter:
             return [len(e) for e in self.encoder.encode_batch_fast(parts, add_special_tokens=False)]
         return [len(ids) for ids in self.encoder.encode(parts, num_threads=1)]
 
+    def sums(self, windows: list[str]) -> list[int]:
+        """Counts of the windows; a part that several of them hold, a word and the space before it, is encoded once."""
+        if not self.cuts:
+            return self.count(windows)
+        parts = [PART.split(w) for w in windows]
+        new = list(set().union(*parts) - self.memo.keys())
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = list(set().union(*parts))
+        known = dict(zip(new, self.count(new), strict=True))
+        self.memo.update(known)
+        out = [sum(map(self.memo.__getitem__, p)) for p in parts]
+        for part in new:
+            if len(part) > MEMO_CHARS:
+                del self.memo[part]
+        return out
+
     def totals(self, texts: Iterator[str]) -> Iterator[int]:
         """Counts of the texts in their order; about ``BATCH`` characters are encoded at a time."""
-        parts, of, size, sums = [], [], 0, []
+        windows, of, size, sums = [], [], 0, []
         for text in texts:
             sums.append(0)
-            for part in self.windows(text):
-                parts.append(part)
+            for window in self.windows(text):
+                windows.append(window)
                 of.append(len(sums) - 1)
-                size += len(part)
+                size += len(window)
                 if size >= BATCH:
-                    for k, c in zip(of, self.count(parts), strict=True):
+                    for k, c in zip(of, self.sums(windows), strict=True):
                         sums[k] += c
                     yield from sums[:-1]
-                    sums, parts, of, size = sums[-1:], [], [], 0
-        for k, c in zip(of, self.count(parts) if parts else [], strict=True):
+                    sums, windows, of, size = sums[-1:], [], [], 0
+        for k, c in zip(of, self.sums(windows) if windows else [], strict=True):
             sums[k] += c
         yield from sums
 
@@ -148,8 +170,8 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None, hot_keys:
     folder of Parquet files, one subfolder for each digest of library, its version and the tokenizer file.
     Stored counts are never changed: files are only added, so a run that breaks off leaves right rows
     behind, and two runs at a time at worst store a digest twice. Repeated rows and ids get a row each; other columns are
-    not returned. Long texts are encoded in windows between which no token can lie (byte-level files;
-    the rest whole), so memory follows ``BATCH`` and the longest text.
+    not returned. Texts are encoded in parts between which no token can lie (byte-level files; the rest
+    whole), equal parts of a megabyte once, so memory follows ``BATCH``, ``MEMO`` and the longest text.
 
     The ``hot_keys`` texts with the most copies are looked up without a shuffle, from a broadcast of at
     most that many digests; every other text has at most ``rows / hot_keys`` copies.
