@@ -3,9 +3,10 @@
 Each word opens one window: itself and its lead words, up to four, padded where its piece ends. Every
 occurrence of a phrase is the beginning of exactly one window, so the sums over the windows' prefixes,
 which one ROLLUP gives, are the counts of all phrases of one to four words; no shorter n-gram is ever
-exploded. Before windows are built, a table of fixed size counts hashed words and word pairs. A bucket holds
-at least the count of each of its entries, so a window may end where a word or pair lies in a bucket
-below the least count: no phrase that reaches it can be a candidate, nor part of one.
+exploded. Before windows are built, tables of fixed size count hashed words and pairs, then the triples whose pairs
+may be frequent, and so on. A bucket holds at least the count of each of its entries, so a window may end
+where its next longer beginning lies in a bucket below the least count: no phrase that reaches so far can be
+a candidate, nor part of one.
 """
 
 from __future__ import annotations
@@ -70,69 +71,113 @@ def _hashes(data: np.ndarray, bounds: np.ndarray, names: list[str], lang: np.nda
     return data, start, end, row, joined, own
 
 
-def _pair_hashes(own: np.ndarray) -> np.ndarray:
-    return C.mix64(own[:-1] * np.uint64(3) + own[1:])
+class Grams:
+    """Which n-grams of some rows may be frequent, by the tables of one and two words, of three, and so on."""
 
+    def __init__(self, own: np.ndarray, joined: np.ndarray):
+        self.own, self.joined, self.size = own, joined, 1
+        self.key = own  # of the n-gram that starts at a word
+        self.may = np.ones(len(own), bool)  # all its words belong to one piece and it passed so far
 
-def frequent_buckets(docs: DataFrame, min_count: int = MIN_COUNT, bits: int = TABLE_BITS) -> bytes:
-    """One bit for each bucket of hashed words and word pairs: whether it holds ``min_count`` or more of them.
+    def judge(self, table: np.ndarray, bits: int) -> None:
+        bucket = (self.key[self.may] >> np.uint64(64 - bits)).astype(np.int64)
+        self.may[self.may] = (table[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 == 1
 
-    A task counts its rows in ``2^bits`` bytes that stop at 255 and sends the blocks that are not empty; blocks are
-    added up as they arrive. The result has ``2^bits / 8`` bytes whatever the size of ``docs``.
+    def longer(self) -> None:
+        """One more word: both shorter n-grams must have passed."""
+        k, self.size = self.size, self.size + 1
+        may = np.zeros(len(self.own), bool)
+        may[:-k] = self.may[:-k] & self.may[1 : len(self.own) - k + 1] & self.joined[k - 1 : -1]
+        key = self.key.copy()
+        key[:-k] = C.mix64(self.key[:-k] * np.uint64(3) + self.own[k:])
+        self.key, self.may = key, may
+
+    def keys(self) -> np.ndarray:
+        return self.key[self.may]
+
+
+def _add_table(docs: DataFrame, shared: list, min_count: int, bits: int) -> bytes:
+    """The next table: one bit for each bucket, whether it holds ``min_count`` or more n-grams.
+
+    The first takes words and pairs, the next the triples, and so on, if the tables before let their parts
+    pass. A task counts its rows in ``2^bits`` bytes that stop at 255 and sends the blocks that are not empty, sparse ones
+    as places and counts; blocks are added up as they arrive. The result has ``2^bits / 8`` bytes whatever the size of ``docs``.
     """
-    if not 2 <= min_count <= 255:
-        raise ValueError("min_count from 2 to 255")
-    block_bits = min(BLOCK_BITS, bits)
+    block = 1 << min(BLOCK_BITS, bits)
+    size = len(shared) + 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.uint8)
-        shift = np.uint64(64 - bits)
+        masks = [np.frombuffer(m.value, np.uint8) for m in shared]
         for batch in batches:
             names, lang = _languages(batch.column(1))
             for first, last, data, bounds in C.text_chunks(batch, "text", CHUNK):
                 *_, joined, own = _hashes(data, bounds, names, lang[first:last])
-                keys = np.concatenate([own >> shift, (_pair_hashes(own) >> shift)[joined[:-1]]]).astype(np.int64)
-                bucket, n = np.unique(keys, return_counts=True)
-                table[bucket] = np.minimum(table[bucket] + n, 255)
-        blocks = table.reshape(-1, 1 << block_bits)
+                if not len(own):
+                    continue
+                grams, found = Grams(own, joined), []
+                if not masks:
+                    found.append(grams.keys())
+                else:
+                    grams.judge(masks[0], bits)
+                while grams.size < min(size, len(own)):
+                    grams.longer()
+                    if grams.size < size:
+                        grams.judge(masks[grams.size - 2], bits)
+                if grams.size == size:
+                    found.append(grams.keys())
+                if found:
+                    bucket, n = np.unique(np.concatenate(found) >> np.uint64(64 - bits), return_counts=True)
+                    table[bucket.astype(np.int64)] = np.minimum(table[bucket.astype(np.int64)] + n, 255)
+        blocks = table.reshape(-1, block)
         for at in np.flatnonzero(blocks.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([blocks[at].tobytes()], pa.binary())], ["block", "counts"])
+            places = np.flatnonzero(blocks[at]).astype(np.uint16)
+            sparse = 3 * len(places) < block
+            counts = blocks[at][places] if sparse else blocks[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at], pa.int32()), pa.array([places.tobytes() if sparse else b""], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["block", "places", "counts"]
+            )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts = np.frombuffer(raw.as_buffer(), np.uint8).astype(np.uint16)
-                sums[at] = np.minimum(sums[at] + counts, 255) if at in sums else counts
+            for at, places, raw in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                held = sums.setdefault(at, np.zeros(block, np.uint8))
+                where = np.frombuffer(places.as_buffer(), np.uint16) if len(places.as_buffer()) else slice(None)
+                counts = np.frombuffer(raw.as_buffer(), np.uint8)
+                held[where] += np.minimum(counts, 255 - held[where])
         packed = [np.packbits(s >= min_count).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
 
-    blocks = C.map_arrow(docs.select("text", "lang"), count, "block int, counts binary").repartition("block")
-    out = bytearray((1 << bits) // 8)
-    size = (1 << block_bits) // 8
+    blocks = C.map_arrow(docs.select("text", "lang"), count, "block int, places binary, counts binary").repartition("block")
+    out = bytearray(-(-(1 << bits) // 8))
     for r in blocks.mapInArrow(add, "block int, bits binary").collect():  # at most 2^bits / 8 bytes
-        out[r.block * size : (r.block + 1) * size] = r.bits
+        out[r.block * block // 8 : r.block * block // 8 + len(r.bits)] = r.bits
     return bytes(out)
 
 
-def windows(docs: DataFrame, frequent: bytes, longest: int = LONGEST) -> DataFrame:
+def frequent_buckets(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, bits: int = TABLE_BITS) -> list[bytes]:
+    """The tables of 1 and 2, of 3, ... and of ``longest`` words, each of ``2^bits`` bits."""
+    if not 2 <= min_count <= 255 or longest < 2 or bits < 3:
+        raise ValueError("min_count from 2 to 255, phrases of 2 words or more, 8 buckets or more")
+    shared = []
+    for _ in range(2, longest + 1):
+        shared.append(docs.sparkSession.sparkContext.broadcast(_add_table(docs, shared, min_count, bits)))
+    return [m.value for m in shared]
+
+
+def windows(docs: DataFrame, tables: list[bytes]) -> DataFrame:
     """``lang, w1, ..., n``: padded windows and how often a task met them; '' pads.
 
     The first word of a window is padded too where it is infrequent, so all windows of a language together
     are its words.
     """
-    bits = (len(frequent) * 8).bit_length() - 1
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # 2^bits / 8 bytes
+    bits, longest = (len(tables[0]) * 8).bit_length() - 1, len(tables) + 1
+    shared = [docs.sparkSession.sparkContext.broadcast(t) for t in tables]  # 2^bits / 8 bytes each
     lead = [f"w{k + 1}" for k in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.frombuffer(shared.value, np.uint8)
-        shift = np.uint64(64 - bits)
-
-        def often(keys: np.ndarray) -> np.ndarray:
-            bucket = (keys >> shift).astype(np.int64)
-            return (mask[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 == 1
-
+        masks = [np.frombuffer(m.value, np.uint8) for m in shared]
         for batch in batches:
             names, lang = _languages(batch.column(1))
             for first, last, data, bounds in C.text_chunks(batch, "text", CHUNK):
@@ -140,24 +185,27 @@ def windows(docs: DataFrame, frequent: bytes, longest: int = LONGEST) -> DataFra
                 total = len(start)
                 if not total:
                     continue
-                present = often(own)
-                follows = np.zeros(total, bool)
-                follows[:-1] = joined[:-1] & present[:-1] & present[1:] & often(_pair_hashes(own))
+                grams = Grams(own, joined)
+                grams.judge(masks[0], bits)
                 # words as numbers from 1; 0 pads
+                present = np.flatnonzero(grams.may)
                 _, example, code = np.unique(own[present], return_index=True, return_inverse=True)
-                number = np.zeros(total + longest, np.int64)
-                number[:total][present] = code + 1
-                at, reach = np.arange(total), present
-                columns = [lang[first:last][row], np.where(reach, number[:total], 0)]
+                number = np.zeros(total, np.int64)
+                number[present] = code + 1
+                columns = [lang[first:last][row], number]
                 for k in range(1, longest):
-                    reach = reach & np.r_[follows, np.zeros(longest, bool)][at + k - 1]
-                    columns.append(np.where(reach, number[at + k], 0))
+                    ahead = np.zeros(total, np.int64)
+                    if k < total:
+                        grams.longer()
+                        grams.judge(masks[k - 1], bits)
+                        ahead[:-k] = np.where(grams.may[:-k], number[k:], 0)
+                    columns.append(ahead)
                 # equal windows of the chunk become one row
                 key = columns[0]
                 for c in columns[1:]:
                     key = np.unique(key, return_inverse=True)[1] * (len(example) + 1) + c
                 _, chosen, n = np.unique(key, return_index=True, return_counts=True)
-                which = np.flatnonzero(present)[example]
+                which = present[example]
                 texts = _spans(data, start[which], end[which])
                 own_words = [texts.take(pa.array(c[chosen])) for c in columns[1:]]
                 own_lang = pa.array(names, pa.string()).take(pa.array(columns[0][chosen]))
@@ -179,7 +227,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     """``lang, size, words, f``: every phrase of 1 to ``longest`` words that occurs ``min_count`` times, and per language
     its number of words, at size 0. Words count within pieces, overlaps included."""
     lead = [f"w{k + 1}" for k in range(longest)]
-    longest_windows = windows(docs, frequent_buckets(docs, min_count, bits), longest).groupBy("lang", *lead).agg(F.sum("n").alias("n"))
+    longest_windows = windows(docs, frequent_buckets(docs, min_count, longest, bits)).groupBy("lang", *lead).agg(F.sum("n").alias("n"))
     sums = longest_windows.rollup("lang", *lead).agg(F.sum("n").alias("f"), F.grouping_id().alias("_open"))
     size = F.lit(longest) - F.length(F.regexp_replace(F.bin("_open"), "0", ""))
     sums = sums.where(F.col("lang").isNotNull()).withColumn("size", size.cast("int"))
@@ -204,8 +252,9 @@ def collocations(
     its count goes. Order: score and ``a`` descending, phrase ascending by bytes. Products have 38 digits.
 
     Words are told apart by their text from the shuffle on, and by a 64-bit hash within four megabytes of texts. The tasks
-    exchange windows that they have counted; nothing else than the table of ``2^bits`` bits is broadcast by size of
-    the corpus, and the first ``top`` of a language are found in parts before they meet.
+    exchange windows that they have counted; the tables of ``2^bits`` bits that are broadcast have that size for any
+    corpus, and the first ``top`` of a language are found in parts before they meet. The texts are read once for each
+    table and once for the windows. Tables that fill up let more windows pass and change no result.
     """
     counts = C.stage(phrase_counts(docs, min_count, longest, bits))
     totals = counts.where("size = 0").select("lang", F.col("f").alias("n"))

@@ -67,8 +67,11 @@ def test_a_full_table_loses_nothing(spark, rows):
 
 def test_buckets_hold_at_least_the_counts(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
-    mask = np.unpackbits(np.frombuffer(phrases.frequent_buckets(docs, 30, 12), np.uint8))
-    assert 0 < mask.sum() < len(mask)
+    tables = phrases.frequent_buckets(docs, 30, 4, 12)
+    bits = [int(np.unpackbits(np.frombuffer(t, np.uint8)).sum()) for t in tables]
+    assert len(bits) == 3 and 0 < bits[2] and max(bits) < 4096
+    exact = phrases.phrase_counts(docs, 30, 4, 12).where("size > 0").groupBy("size").count().collect()
+    assert all(bits[max(0, r["size"] - 2)] > 0 for r in exact) and len(exact) == 4
     with pytest.raises(ValueError):
         phrases.frequent_buckets(docs, 300)
 
