@@ -25,9 +25,9 @@ MIN_COUNT = 30
 COVERED = 80  # percent
 TOP = 2000
 SCALE = 2_000_000
-TABLE_BITS = 24
+TABLE_BITS = 26
 BLOCK_BITS = 16
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 TOP_PARTS = 64
 NO_LANG = "und"
 LEAD = [f"w{k + 1}" for k in range(LONGEST)]
@@ -251,7 +251,7 @@ def collocations(
     ties to the shorter first part. A phrase whose words lie inside a longer candidate with at least ``covered`` percent of
     its count goes. Order: score and ``a`` descending, phrase ascending by bytes. Products have 38 digits.
 
-    Words are told apart by their text from the shuffle on, and by a 64-bit hash within four megabytes of texts. The tasks
+    Words are told apart by their text from the shuffle on, and by a 64-bit hash within a megabyte of texts. The tasks
     exchange windows that they have counted; the tables of ``2^bits`` bits that are broadcast have that size for any
     corpus, and the first ``top`` of a language are found in parts before they meet. The texts are read once for each
     table and once for the windows. Tables that fill up let more windows pass and change no result.
