@@ -1,5 +1,7 @@
 """Soft targets, confidence filter, balancing, and exact quantiles."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -174,12 +176,38 @@ def test_quantile_equals_numpy(spark, p):
     values = np.concatenate([rng.normal(size=4000), np.full(3000, 0.25), rng.exponential(size=500) * 1e6])
     groups = (np.arange(len(values)) % 7 == 0).astype(int)
     df = spark.createDataFrame(list(zip(groups.tolist(), values.tolist())), "g int, x double").repartition(8)
-    # a coarse sketch forces the bracket; the result must not notice
-    got = {r.g: r.quantile for r in exact_quantile(df, "x", p, "g", [0, 1], accuracy=200).collect()}
+    got = {r.g: r.quantile for r in exact_quantile(df, "x", p, "g", [0, 1]).collect()}
     for g in (0, 1):
         assert got[g] == pytest.approx(np.percentile(values[groups == g], 100 * p), rel=1e-12)
 
 
+@pytest.mark.parametrize("p", [0.0, 0.13, 0.5, 0.777, 1.0])
+def test_quantile_of_values_that_are_hard_to_tell_apart(spark, p):
+    """Neighbouring doubles, denormals, both zeros, signs, infinities and not-a-number; nulls are ignored."""
+    rng = np.random.default_rng(8)
+    near = np.frombuffer((np.float64(1.7).view(np.int64) + rng.integers(0, 3000, 4000)).tobytes(), np.float64)
+    tiny = np.frombuffer(rng.integers(1, 1 << 44, 2000).tobytes(), np.float64)
+    wide = rng.choice([-1.0, 1.0], 3000) * 2.0 ** rng.uniform(-1000, 1000, 3000)
+    parts = {0: near, 1: np.r_[-tiny, tiny, 0.0, -0.0], 2: wide, 3: np.r_[wide, np.inf, -np.inf, -np.inf], 4: np.full(5000, 3.25), 5: np.r_[near, np.full(2000, np.nan)]}
+    rows = [(g, float(x)) for g, v in parts.items() for x in v] + [(0, None), (2, None), (9, 1.0)]
+    got = {r.g: r.q for r in exact_quantile(spark.createDataFrame(rows, "g int, x double").repartition(5), "x", p, "g", range(7), "q").collect()}
+    assert set(got) == set(parts)
+    for g, v in parts.items():
+        v = np.sort(v)  # not-a-number last
+        at = p * (len(v) - 1)
+        low, high = v[int(np.floor(at))], v[min(int(np.floor(at)) + 1, len(v) - 1)]
+        want = low if at == np.floor(at) else low + (high - low) * (at - np.floor(at))
+        assert got[g] == want or np.isnan(got[g]) and np.isnan(want)
+
+
+def test_quantile_plan_reads_its_rows_once_and_sorts_no_group(spark):
+    df = spark.range(200_000).selectExpr("id % 2 as g", "rand(3) as x")
+    quantile = exact_quantile(df, "x", 0.5, "g", [0, 1])
+    quantile.collect()
+    plan = quantile._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 3 and not re.search(r"Sort \[[^\]]*_x#", plan)
+
+
 def test_quantile_of_one_row_and_of_none(spark):
     one = spark.createDataFrame([(5.0,)], "x double")
     assert exact_quantile(one, "x", 0.99).first()[0] == 5.0
