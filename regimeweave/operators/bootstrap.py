@@ -124,6 +124,36 @@ def bootstrap_draws(
     return scored.withColumn("difference", mean / len(models) - F.col(f"f1_{baseline}"))
 
 
+def bootstrap_scores(
+    rows: DataFrame,
+    starts: DataFrame,
+    length: int,
+    k: int,
+    by: Sequence[str],
+    position: str = "position",
+    actual: str = "actual",
+    predicted: str = "predicted",
+    block_size: int = BLOCK_SIZE,
+) -> DataFrame:
+    """``draw, *by, macro_f1`` for any number of models: one row per model and position, not one column per model.
+
+    ``rows`` holds the positions 0..n-1 of every model named by ``by``. All models share the draws of ``starts``, so their
+    scores can be compared draw by draw.
+    """
+    cells = {f"c_{a}_{p}": F.coalesce(((F.col(actual) == a) & (F.col(predicted) == p)).cast("bigint"), F.lit(0).cast("bigint")) for a in range(k) for p in range(k)}
+    slim = rows.select(*by, F.col(position).cast("bigint").alias("_p"), actual, predicted)
+    sums = with_running_sums(slim, list(by), ["_p"], id_block(F.col("_p"), block_size), cells)
+    prefix = sums.select(*by, (F.col("_p") + 1).alias("at"), *cells)
+    n = rows.agg((F.max(position) + 1).cast("bigint"))
+    held = starts.withColumn("_n", n.scalar())
+    size = F.least(F.lit(length), F.col("_n") - F.col("block") * length, F.col("_n") - F.col("start"))
+    edges = F.array(F.struct((F.col("start") + size).alias("at"), F.lit(1).alias("sign")), F.struct(F.col("start").alias("at"), F.lit(-1).alias("sign")))
+    # many draws share an edge: its sign is added up before it meets the models
+    ends = held.select("draw", F.inline(edges)).where("at > 0").groupBy("draw", "at").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+    drawn = ends.join(prefix, "at").groupBy("draw", *by).agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in cells])
+    return drawn.select("draw", *by, macro_f1(F.array(*cells), k).alias("macro_f1"))
+
+
 def interval(draws: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile interval and share of positive differences; one row per draw was made above."""
     return draws.agg(

@@ -148,9 +148,10 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def macro_f1(cells: np.ndarray) -> float:
-    """Unweighted mean over the classes of a confusion matrix; a class without rows and predictions scores 0."""
+    """Unweighted mean F1 over the classes of a confusion matrix that occur as actual or predicted."""
     both = cells.sum(axis=0) + cells.sum(axis=1)
-    return float(np.mean(np.where(both > 0, 2 * np.diag(cells) / np.maximum(both, 1), 0.0)))
+    seen = both > 0
+    return float(np.mean(2 * np.diag(cells)[seen] / both[seen])) if seen.any() else 0.0
 
 
 def _evaluate(rows: DataFrame, networks: list[Network], params: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
