@@ -1,4 +1,4 @@
-"""Quality of a labelling of vectors. All but the silhouette are aggregates over the whole table."""
+"""Quality of a labelling of vectors, as aggregates over the whole table; the Euclidean silhouette is that of a named sample."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,67 +122,77 @@ def mean_pairwise_rand(df: DataFrame, labelings: Sequence[str]) -> DataFrame:
     return scores.agg(F.avg("adjusted_rand").alias("stability_ari_mean"))
 
 
-def silhouette(
-    df: DataFrame,
-    vector: str,
-    label: str,
-    key: str,
-    max_n: int | None = None,
-    seed: int = 42,
-    rank_expr: Column | None = None,
-    block_rows: int = 1024,
+def silhouette(df: DataFrame, vector: str, label: str, classes: Sequence[int]) -> DataFrame:
+    """Mean silhouette of all rows by squared Euclidean distance: ``rows, unlabelled, silhouette``; NaN for one label.
+
+    The mean squared distance of a row to a cluster is its squared distance to the cluster's mean plus the cluster's
+    variance, so one mergeable aggregate (count, mean and variance per cluster, one expression for any dimension) and one
+    pass give the exact value. Rows without a label are counted as ``unlabelled`` and are in no cluster; a label that
+    ``classes`` does not declare stops the job. A row alone in its cluster scores 0.
+    """
+    known = df.select(F.col(label).cast("int").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    summary = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("v")).alias("s")
+    stats = known.where("label is not null").groupBy("label").agg(summary)
+    spread = (F.col("s.count") - 1) / F.col("s.count") * V.total(vector_to_array("s.variance"))
+    entry = F.struct(F.col("label").alias("id"), F.col("s.count").alias("n"), F.coalesce(spread, F.lit(0.0)).alias("spread"), vector_to_array("s.mean").alias("mean"))
+    table = stats.where(F.col("label").isin(list(classes))).agg(F.sort_array(F.collect_list(entry)).alias("t"))  # one entry per class
+    held = known.withColumn("_t", table.scalar())
+
+    def score(far: Column) -> Column:
+        own = F.filter(far, lambda e: e["id"] == F.col("label"))[0]
+        nearest = F.array_min(F.transform(F.filter(far, lambda e: e["id"] != F.col("label")), lambda e: e["d"]))
+        inside = own["d"] * own["n"] / (own["n"] - 1)
+        return F.when(own["n"] == 1, 0.0).otherwise(F.coalesce(F.try_divide(nearest - inside, F.greatest(inside, nearest)), F.lit(0.0)))
+
+    def distances(v: Column) -> Column:
+        return F.transform(
+            "_t", lambda e: V.let(V.euclidean(v, e["mean"]), lambda d: F.struct(e["id"].alias("id"), e["n"].alias("n"), (d * d + e["spread"]).alias("d")))
+        )
+
+    undeclared = F.raise_error(F.concat(F.lit("label without a declared class: "), F.col("label")))
+    value = F.when(F.col("label").isin(list(classes)), V.let(distances(F.col("v")), score)).when(F.col("label").isNotNull(), undeclared)
+    scored = held.select("label", F.size("_t").alias("_k"), value.alias("s"))
+    return scored.agg(
+        F.count("label").alias("rows"),
+        F.count_if(F.col("label").isNull()).alias("unlabelled"),
+        F.when(F.max("_k") < 2, float("nan")).otherwise(F.avg("s")).alias("silhouette"),
+    )
+
+
+def sampled_silhouette(
+    df: DataFrame, vector: str, label: str, key: str, max_n: int, seed: int = 42, rank_expr: Column | None = None, block_rows: int = 512
 ) -> DataFrame:
-    """Mean Euclidean silhouette of all rows; NaN for one label. A row without a label is in no cluster.
+    """Mean Euclidean silhouette within a repeatable sample of at most ``max_n`` rows: ``sampled, silhouette``; NaN for one label.
 
-    With ``max_n``, of a repeatable sample of at most so many rows. Every row is compared with every
-    other: rows are packed into blocks by a hash of ``key``, and each pair of blocks returns the sums of
-    distances per row and label, so tasks hold two blocks and no pair of rows is ever written. The
-    work grows with the square of the rows.
+    The sample, which its caller bounds, is sent to every task as one matrix; tasks compare blocks of its rows with it. A row without a label is
+    in no cluster and not drawn.
     """
     order = F.xxhash64(F.col(key), F.lit(seed)) if rank_expr is None else rank_expr
-    picked = df if max_n is None else df.orderBy(order, key).limit(max_n)
-    rows = picked.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    rows = rows.where("label is not null")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per cluster
-    n = sum(counts.values())
-    if len(counts) < 2:
-        return df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("sampled"), F.lit(float("nan")).alias("silhouette"))
-    ids = sorted(counts)
-    sizes = [counts[c] for c in ids]
+    picked = df.where(F.col(label).isNotNull()).orderBy(order, key).limit(max_n)
+    rows = picked.select(F.col(label).cast("int").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v")).collect()  # at most max_n
+    spark = df.sparkSession
+    if len({r.label for r in rows}) < 2:
+        return spark.range(1).select(F.lit(len(rows)).cast("bigint").alias("sampled"), F.lit(float("nan")).alias("silhouette"))
+    sent = spark.sparkContext.broadcast((np.array([r.v for r in rows]), np.unique([r.label for r in rows], return_inverse=True)[1]))
 
     def compare(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for labels, left, others, right in zip(batch["labels"], batch["left"], batch["others"], batch["right"]):
-                matrix = np.stack([np.asarray(v, dtype=float) for v in right])
-                members = np.stack([np.asarray(others) == c for c in ids], axis=1).astype(float)
-                far = np.stack([np.sqrt(((matrix - np.asarray(v, dtype=float)) ** 2).sum(axis=1)) for v in left])
-                out.append((far @ members).ravel())
-            yield pd.DataFrame({"x": batch["x"], "labels": batch["labels"], "sums": out})
-
-    def total(frame):
-        import numpy as np
-        import pandas as pd
-
-        own = np.searchsorted(ids, np.asarray(frame["labels"].iloc[0]))
-        sums = np.sum([np.asarray(v) for v in frame["sums"]], axis=0).reshape(len(own), len(ids))
-        n_of, at = np.asarray(sizes, dtype=float), np.arange(len(own))
-        alone = n_of[own] == 1
-        inside = sums[at, own] / np.where(alone, 1.0, n_of[own] - 1)
-        means = sums / n_of
-        means[at, own] = np.inf
-        outside = means.min(axis=1)
-        with np.errstate(invalid="ignore"):
-            scores = (outside - inside) / np.maximum(inside, outside)
-        return pd.DataFrame({"s": np.where(alone, 0.0, scores)})
-
-    block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(-(-n // block_rows))).alias("x")
-    packed = rows.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("id", "label", "v"))).alias("r"))
-    left = packed.select("x", F.col("r.label").alias("labels"), F.col("r.v").alias("left"))
-    right = packed.select(F.col("r.label").alias("others"), F.col("r.v").alias("right"))
-    pairs = left.crossJoin(right).repartition(df.sparkSession.sparkContext.defaultParallelism)
-    sums = pairs.mapInPandas(compare, "x bigint, labels array<int>, sums array<double>")
-    return sums.groupBy("x").applyInPandas(lambda f: total(f), "s double").agg(F.count("s").alias("sampled"), F.avg("s").alias("silhouette"))
+        points, own = sent.value
+        hot = np.eye(own.max() + 1)[own]
+        sizes = hot.sum(axis=0)
+        for frame in batches:
+            for first in frame["id"]:
+                at = np.arange(first, min(first + block_rows, len(points)))
+                # differences, not products, so that equal points are at distance zero
+                far = np.stack([np.sqrt(((points - p) ** 2).sum(axis=1)) for p in points[at]])
+                sums, here = far @ hot, (np.arange(len(at)), own[at])
+                alone = sizes[own[at]] == 1
+                inside = sums[here] / np.where(alone, 1.0, sizes[own[at]] - 1)
+                means = sums / sizes
+                means[here] = np.inf
+                outside = means.min(axis=1)
+                with np.errstate(invalid="ignore"):
+                    scores = np.where(alone, 0.0, (outside - inside) / np.maximum(inside, outside))
+                yield type(frame)({"s": np.nan_to_num(scores)})
+
+    blocks = spark.range(0, len(rows), block_rows, -(-len(rows) // block_rows))
+    return blocks.mapInPandas(compare, "s double").agg(F.count("s").alias("sampled"), F.avg("s").alias("silhouette"))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
+from regimeweave.functions import vectors as V
 from regimeweave.operators import cluster_metrics as M
 from regimeweave.operators.lookups import class_map, class_rows
 from regimeweave.operators.regimes import assign, centroid_table
+from regimeweave.operators.restarts import fit_kmeans_many
+from regimeweave.session import stage
 
 # weight of each score in the choice of K
 SCORE_WEIGHTS = {
@@ -57,22 +58,15 @@ def fit_pca(train: DataFrame, vector: str, dim: int, components: int | float) ->
 
 
 def fit_kmeans(df: DataFrame, vector: str, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
-    """Centroid table of the best of ``n_init`` seeded restarts."""
-    return _best_fit(_as_vector(df, vector), k, n_init, seed, max_iter, tol)
+    """Centroid table of the best of ``n_init`` seeded restarts, all of them fitted side by side."""
+    starts = [(k, seed + restart) for restart in range(n_init)]
+    fitted = fit_kmeans_many(df, vector, starts, max_iter, tol)
+    return centroid_table(df.sparkSession, min(fitted, key=lambda f: f.cost).centers)
 
 
-def _best_fit(features: DataFrame, k: int, n_init: int, seed: int, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
-    held = features.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        best = None
-        for restart in range(n_init):
-            model = KMeans(k=k, seed=seed + restart, maxIter=max_iter, tol=tol).fit(held)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, [c.tolist() for c in model.clusterCenters()])
-    finally:
-        held.unpersist()
-    return centroid_table(features.sparkSession, best[1])
+def _nearest(vector: str, centers: list[list[float]]) -> Column:
+    distances = V.distances_to(F.col(vector), F.array(*[F.array(*[F.lit(x) for x in c]) for c in centers]))
+    return V.let(distances, lambda d: (F.array_position(d, F.array_min(d)) - 1).cast("int"))
 
 
 def stability(
@@ -80,18 +74,10 @@ def stability(
 ) -> DataFrame:
     """Mean adjusted Rand index between repeated fits on all rows, or on one repeatable sample of ``max_n``."""
     sample = df if max_n is None else df.orderBy(F.xxhash64(F.col(key), F.lit(seed + 1000 + k)), key).limit(max_n)
-    sample = sample.select(key, vector)
-    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        labelled = sample
-        for repeat in range(repeats):
-            fitted = _best_fit(_as_vector(sample, vector), k, n_init, seed + repeat)
-            once = assign(labelled, vector, fitted)
-            labelled = once.select(*labelled.columns, F.col("cluster_id").alias(f"run_{repeat}"))
-        score = M.mean_pairwise_rand(labelled, [f"run_{r}" for r in range(repeats)]).first()[0]
-    finally:
-        sample.unpersist()
-    return df.sparkSession.range(1).select(F.lit(float(score)).alias("stability_ari_mean"))
+    fitted = fit_kmeans_many(sample, vector, [(k, seed + repeat + restart) for repeat in range(repeats) for restart in range(n_init)])
+    best = [min(fitted[r * n_init : (r + 1) * n_init], key=lambda f: f.cost).centers for r in range(repeats)]
+    runs = [_nearest(vector, centers).alias(f"run_{r}") for r, centers in enumerate(best)]
+    return M.mean_pairwise_rand(stage(sample.select(*runs), "stability"), [f"run_{r}" for r in range(repeats)])
 
 
 def sweep_k(
@@ -106,30 +92,73 @@ def sweep_k(
     stability_n: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """One row of quality measures per candidate K. The loop over K only drives Spark jobs."""
+    """One row of quality measures per candidate K, of all rows; see ``sweep_fits``."""
+    return sweep_fits(df, vector, dim, key, ks, n_init, repeats, silhouette_n, stability_n, seed)[0]
+
+
+def sweep_fits(
+    df: DataFrame,
+    vector: str,
+    dim: int,
+    key: str,
+    ks: Sequence[int],
+    n_init: int = 10,
+    repeats: int = 5,
+    silhouette_n: int | None = None,
+    stability_n: int | None = None,
+    seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """Quality measures per candidate K, and the written assignment ``key, vector, k, cluster_id, distance_to_centroid, runs``
+    they come from.
+
+    The restarts of every K, and those of the repeated fits whose agreement is the stability, are all fitted side by
+    side, one job per iteration. The silhouette takes squared distances of all rows, or with ``silhouette_n`` the Euclidean ones of
+    a repeatable sample; ``stability_n`` names a sample for the repeated fits.
+    """
+    ks = [k for k in ks if k >= 2]
+    if not ks:
+        raise ValueError("no valid K to evaluate")
+    whole = [(k, seed + restart) for k in ks for restart in range(n_init)]
+    again = [(k, seed + repeat + restart) for k in ks for repeat in range(repeats) for restart in range(n_init)]
+    if stability_n is None:
+        fitted = fit_kmeans_many(df, vector, whole + again)
+    else:
+        sample = df.orderBy(F.xxhash64(F.col(key), F.lit(seed + 1000)), key).limit(stability_n)
+        fitted = fit_kmeans_many(df, vector, whole) + fit_kmeans_many(sample, vector, again)
+
+    def best(start: int) -> list[list[float]]:
+        return min(fitted[start : start + n_init], key=lambda f: f.cost).centers
+
+    parts = []
+    for i, k in enumerate(ks):
+        runs = [best(len(whole) + (i * repeats + repeat) * n_init) for repeat in range(repeats)]
+        placed = assign(df.select(key, vector), vector, centroid_table(df.sparkSession, best(i * n_init)))
+        nearest = F.array(*[_nearest(vector, centers) for centers in runs])
+        parts.append(placed.select(key, vector, F.lit(k).alias("k"), "cluster_id", "distance_to_centroid", nearest.alias("runs")))
+    written = stage(reduce(DataFrame.unionByName, parts), "sweep")
+
     rows = []
     for k in ks:
-        if k < 2:
-            continue
-        classes = list(range(k))
-        fitted = fit_kmeans(df, vector, k, n_init, seed)
-        labelled = assign(df, vector, fitted)
-        parts = [
-            M.silhouette(labelled, vector, "cluster_id", key, silhouette_n, seed).select(F.col("silhouette").alias("silhouette_score")),
+        classes, labelled = list(range(k)), written.where(F.col("k") == k)
+        if silhouette_n is None:
+            score = M.silhouette(labelled, vector, "cluster_id", classes)
+        else:
+            score = M.sampled_silhouette(labelled, vector, "cluster_id", key, silhouette_n, seed)
+        agree = labelled.select(*[F.col("runs")[r].alias(f"run_{r}") for r in range(repeats)])
+        measures = [
+            score.select(F.col("silhouette").alias("silhouette_score")),
             M.davies_bouldin(labelled, vector, "cluster_id", dim, classes).select(F.col("davies_bouldin").alias("davies_bouldin_score")),
             M.calinski_harabasz(labelled, vector, "cluster_id", dim, classes).select(
                 F.col("calinski_harabasz").alias("calinski_harabasz_score")
             ),
             M.inertia(labelled),
-            stability(df, vector, k, key, repeats, stability_n, n_init, seed),
+            M.mean_pairwise_rand(agree, agree.columns),
         ]
         row = M.cluster_balance(labelled, classes).drop("sizes").withColumn("k", F.lit(k))
-        for part in parts:
-            row = row.withColumn(part.columns[0], part.scalar())
+        for measure in measures:
+            row = row.withColumn(measure.columns[0], measure.scalar())
         rows.append(row)
-    if not rows:
-        raise ValueError("no valid K to evaluate")
-    return reduce(DataFrame.unionByName, rows)
+    return reduce(DataFrame.unionByName, rows), written
 
 
 def min_max(value: Column, reverse: bool = False) -> Column:

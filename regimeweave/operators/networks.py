@@ -1,8 +1,7 @@
 """Linear models and perceptrons with row weights, many of them fitted side by side.
 
 One step of a fit is one job over the rows, whatever the number of models: every task adds up the
-gradients of all models over its rows in numpy, a shuffle by model and slice of the gradient sums
-the tasks' parts as they arrive, and the driver moves each model's parameters (as many numbers as the
+gradients of all models over its rows in numpy, their sums meet by model and slice, and the driver moves each model's parameters (as many numbers as the
 models have) by a limited-memory quasi-Newton step. Rows never leave the executors. The functions
 that run in tasks are sent by value, so executors need no installed copy of the library.
 """
@@ -20,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from regimeweave.operators.lockstep import matrix, sums_over_rows
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE = 1 << 16
 MEMORY = 10
 
 
@@ -138,15 +138,6 @@ class _Descent:
         return True
 
 
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a value, and their arrays as a matrix."""
-    held = np.flatnonzero(~column.is_null().to_numpy(zero_copy_only=False))
-    flat = column.drop_null().flatten()
-    if len(flat) != len(held) * width or flat.null_count:
-        raise ValueError(f"every array must hold {width} numbers")
-    return held, flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-
-
 def macro_f1(cells: np.ndarray) -> float:
     """Unweighted mean F1 over the classes of a confusion matrix that occur as actual or predicted."""
     both = cells.sum(axis=0) + cells.sum(axis=1)
@@ -156,52 +147,31 @@ def macro_f1(cells: np.ndarray) -> float:
 
 def _evaluate(rows: DataFrame, networks: list[Network], params: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """For each model of ``params``: summed loss, mass, confusion cells of the validation rows, gradient."""
-    sent = rows.sparkSession.sparkContext.broadcast(params)  # as many numbers as the models have
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            names = batch.schema.names
-            part = batch.column(names.index("_part")).to_numpy(zero_copy_only=False)
-            actual = batch.column(names.index("_actual")).to_numpy(zero_copy_only=False)
-            features = {c: _matrix(batch.column(names.index(c)), next(n.inputs for n in networks if n.features == c)) for c in {networks[i].features for i in sent.value}}
-            for i, flat in sent.value.items():
-                net = networks[i]
-                member, mass = _matrix(batch.column(names.index(net.target)), net.classes)
-                seen, x = features[net.features]
-                both, at, of = np.intersect1d(seen, member, return_indices=True)
-                x, mass, role = x[at], mass[of], part[both]
-                k, total = net.classes, sums.setdefault(i, np.zeros(2 + net.classes**2 + len(flat)))
-                train, check = role == 0, role == 1
-                if train.any():
-                    loss, gradient = net.gradient(flat, x[train], mass[train])
-                    total[0] += loss
-                    total[1] += mass[train].sum()
-                    total[2 + k * k :] += gradient
-                if check.any():
-                    guess = net.forward(flat, x[check])[1].argmax(axis=1)
-                    total[2 : 2 + k * k] += np.bincount(actual[both][check].astype(int) * k + guess, minlength=k * k)
-        for i, total in sums.items():
-            for at in range(0, len(total), SLICE):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at], pa.int32()), pa.array([total[at : at + SLICE].tobytes()], pa.binary())], ["net", "at", "sums"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for i, at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                part = np.frombuffer(raw.as_buffer())
-                sums[i, at] = sums[i, at] + part if (i, at) in sums else part
-        for (i, at), total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["net", "at", "sums"])
-
-    kind = "net int, at int, sums binary"
-    parts = rows.mapInArrow(add, kind).repartition("net", "at").mapInArrow(merge, kind).collect()  # the models' size
-    sent.unpersist()
-    out = {i: np.zeros(2 + networks[i].classes ** 2 + len(flat)) for i, flat in params.items()}
-    for r in parts:
-        piece = np.frombuffer(r.sums)
-        out[r.net][r.at : r.at + len(piece)] = piece
-    return out
+    def add(batch: pa.RecordBatch, params: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        names = batch.schema.names
+        part = batch.column(names.index("_part")).to_numpy(zero_copy_only=False)
+        actual = batch.column(names.index("_actual")).to_numpy(zero_copy_only=False)
+        widths = {networks[i].features: networks[i].inputs for i in params}
+        features = {c: matrix(batch.column(names.index(c)), width) for c, width in widths.items()}
+        for i, flat in params.items():
+            net = networks[i]
+            member, mass = matrix(batch.column(names.index(net.target)), net.classes)
+            seen, x = features[net.features]
+            both, at, of = np.intersect1d(seen, member, return_indices=True)
+            x, mass, role = x[at], mass[of], part[both]
+            k, total = net.classes, np.zeros(2 + net.classes**2 + len(flat))
+            train, check = role == 0, role == 1
+            if train.any():
+                total[0], total[2 + k * k :] = net.gradient(flat, x[train], mass[train])
+                total[1] = mass[train].sum()
+            if check.any():
+                guess = net.forward(flat, x[check])[1].argmax(axis=1)
+                total[2 : 2 + k * k] = np.bincount(actual[both][check].astype(int) * k + guess, minlength=k * k)
+            yield i, total
+
+    found = sums_over_rows(rows, params, add)
+    return {i: found.get(i, np.zeros(2 + networks[i].classes ** 2 + len(flat))) for i, flat in params.items()}
 
 
 def fit_networks(
@@ -269,7 +239,7 @@ def predict_networks(df: DataFrame, fitted: Sequence[Fitted], out: str = "probab
             names, n = batch.schema.names, batch.num_rows
             answers = []
             for net, flat in zip(networks, sent.value, strict=True):
-                held, x = _matrix(batch.column(names.index(net.features)), net.inputs)
+                held, x = matrix(batch.column(names.index(net.features)), net.inputs)
                 p = np.exp(net.forward(flat, x)[1]) if len(held) else np.zeros((0, net.classes))
                 rows: list[list[float] | None] = [None] * n
                 for at, row in zip(held.tolist(), p.tolist(), strict=True):

@@ -116,7 +116,7 @@ def apply_pca(spark, sf):
 )
 def fit_kmeans(spark, sf):
     rows = embeddings(spark, sf)
-    labelled = R.assign(rows, "embedding", D.fit_kmeans(rows, "embedding", 4, n_init=3, max_iter=100, tol=1e-9)).drop("label")
+    labelled = R.assign(rows, "embedding", D.fit_kmeans(rows, "embedding", 4, tol=1e-9)).drop("label")
     labelled = labelled.withColumnRenamed("cluster_id", "label")
     means_now = R.mean_vectors(labelled, "embedding", "label", DIM, range(4))
     again = R.assign(labelled.select("vec_id", "embedding", "label", F.col("distance_to_centroid").alias("d")), "embedding", means_now)
@@ -173,7 +173,20 @@ RANK = "(vec_id * 7919 + 42) % 1000003"
     SELECT {b('count(*)', 'sampled')}, {r('avg(CASE WHEN n = 1 THEN 0 ELSE (z - a) / greatest(a, z) END)', 'silhouette')} FROM ab""",
 )
 def silhouette(spark, sf):
-    return tidy(M.silhouette(embeddings(spark, sf), "embedding", "label", "vec_id", 5000, rank_expr=F.expr(RANK)))
+    return tidy(M.sampled_silhouette(embeddings(spark, sf), "embedding", "label", "vec_id", 5000, rank_expr=F.expr(RANK)))
+
+
+@case(
+    "E9_squared_silhouette",
+    f"""WITH {EM}, sq AS (SELECT x.vec_id, x.label AS own, y.label AS other, sum(list_distance(x.v, y.v) ** 2) AS s, count(*) AS n
+      FROM em x, em y WHERE x.label IS NOT NULL AND y.label IS NOT NULL GROUP BY 1, 2, 3),
+    ab AS (SELECT vec_id, max(CASE WHEN own = other THEN n END) AS n, max(CASE WHEN own = other THEN s / nullif(n - 1, 0) END) AS a,
+      min(CASE WHEN own <> other THEN s / n END) AS z FROM sq GROUP BY 1)
+    SELECT {b('count(*)', 'rows')}, (SELECT count(*) FROM em WHERE label IS NULL) AS unlabelled,
+    {r('avg(CASE WHEN n = 1 THEN 0 ELSE (z - a) / greatest(a, z) END)', 'silhouette')} FROM ab""",
+)
+def squared_silhouette(spark, sf):
+    return tidy(M.silhouette(embeddings(spark, sf), "embedding", "label", LABELS))
 
 
 @case(
@@ -263,7 +276,7 @@ def score_candidates(spark, sf):
 @case("E16_sweep_k")
 def sweep_k(spark, sf):
     rows = embeddings(spark, sf).select("vec_id", "embedding")
-    return tidy(D.sweep_k(rows, "embedding", DIM, "vec_id", [2, 3], n_init=1, repeats=2))
+    return tidy(D.sweep_k(rows, "embedding", DIM, "vec_id", range(2, 9)))
 
 
 @case(

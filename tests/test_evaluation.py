@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from regimeweave.operators import models as ML
 from regimeweave.operators import regimes as R
 from regimeweave.operators import strides
 from regimeweave.operators.quality import GateError
+from regimeweave.operators.restarts import fit_kmeans_many, spread_start
 
 
 def f1_macro(y, p, k=3, observed=True):
@@ -117,7 +119,56 @@ def blobs(spark):
 def test_kmeans_finds_the_blobs(spark, blobs):
     labelled = R.assign(blobs, "v", D.fit_kmeans(blobs, "v", 3, n_init=2))
     assert M.adjusted_rand(labelled, "label", "cluster_id").first()[0] == pytest.approx(1.0)
-    assert M.silhouette(labelled, "v", "cluster_id", "id").first().silhouette > 0.8
+    assert M.silhouette(labelled, "v", "cluster_id", range(3)).first().silhouette > 0.8
+    assert M.sampled_silhouette(labelled, "v", "cluster_id", "id", 1000).first().silhouette > 0.8
+
+
+def test_restarts_equal_lloyd(spark, blobs):
+    """Every start runs on its own, whatever runs beside it, and equals plain iterations from the same rows."""
+    points = [r.v for r in blobs.collect()]
+    x = np.array(points)
+    starts = [(2, 1), (3, 1), (3, 2), (5, 7)]
+    together = fit_kmeans_many(blobs.repartition(4), "v", starts)
+    sample = np.array([r.v for r in blobs.orderBy(F.xxhash64("v"), "v").collect()])
+    for (k, seed), f in zip(starts, together, strict=True):
+        c = spread_start(sample, k, seed)
+        for _ in range(300):
+            own = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+            c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
+        assert np.array(f.centers) == pytest.approx(c, abs=1e-6)
+        assert f.cost == pytest.approx(((x[:, None] - c) ** 2).sum(2).min(1).sum())
+    with pytest.raises(ValueError, match="no rows"):
+        fit_kmeans_many(blobs.limit(0), "v", starts)
+    same = spark.createDataFrame([([1.0, 2.0],)] * 5 + [(None,)], "v array<double>")
+    assert fit_kmeans_many(same, "v", [(3, 0)])[0].cost == pytest.approx(0.0)
+
+
+def test_sweep_measures_come_from_its_written_assignment(spark, blobs, tmp_path):
+    measures, written = D.sweep_fits(blobs, "v", 3, "id", range(2, 5), n_init=3, repeats=3)
+    got = {r.k: r for r in measures.collect()}
+    written.write.parquet(str(tmp_path / "w"))
+    con = duckdb.connect()
+    con.execute(f"create table w as select * from '{tmp_path}/w/*.parquet'")
+    assert sorted(got) == [2, 3, 4] and max(got, key=lambda k: got[k].silhouette_score) == 3
+    for k, r in got.items():
+        inertia, smallest = con.execute("select sum(d), min(n) from (select cluster_id, sum(distance_to_centroid ** 2) d, count(*) n from w where k = ? group by 1)", [k]).fetchone()
+        assert r.inertia == pytest.approx(inertia) and r.minimum_cluster_size == smallest
+        want = con.execute("""with p as (select x.id, x.cluster_id own, y.cluster_id other, sum(list_distance(x.v, y.v) ** 2) s, count(*) n from w x, w y where x.k = ? and y.k = ? group by all),
+          s as (select id, sum(s) filter (own = other) / (max(n) filter (own = other) - 1) a, min(s / n) filter (own <> other) b from p group by 1) select avg((b - a) / greatest(a, b)) from s""", [k, k]).fetchone()[0]
+        assert r.silhouette_score == pytest.approx(want)
+        runs = np.array([x[0] for x in con.execute("select runs from w where k = ? order by id", [k]).fetchall()])
+        ari = np.mean([adjusted_rand_by_pairs(runs[:, i], runs[:, j]) for i in range(3) for j in range(i)])
+        assert r.stability_ari_mean == pytest.approx(ari)
+    assert D.stability(blobs, "v", 3, "id", repeats=2, n_init=3).first()[0] == pytest.approx(1.0)
+
+
+def adjusted_rand_by_pairs(a, b):
+    i, j = np.triu_indices(len(a), 1)
+    same_a, same_b = a[i] == a[j], b[i] == b[j]
+    both, n = (same_a & same_b).sum(), len(i)
+    expected = same_a.sum() * same_b.sum() / n
+    most = (same_a.sum() + same_b.sum()) / 2
+    return 1.0 if most == expected else (both - expected) / (most - expected)
 
 
 def test_cluster_metrics_equal_numpy(spark, blobs):
@@ -133,8 +184,10 @@ def test_cluster_metrics_equal_numpy(spark, blobs):
 
 
 def test_silhouette_of_one_label_is_nan(spark, blobs):
-    row = M.silhouette(blobs.withColumn("label", F.lit(0)), "v", "label", "id", max_n=50).first()
+    one = blobs.withColumn("label", F.lit(0))
+    row = M.sampled_silhouette(one, "v", "label", "id", max_n=50).first()
     assert row.sampled == 50 and math.isnan(row.silhouette)
+    assert math.isnan(M.silhouette(one, "v", "label", [0]).first().silhouette)
 
 
 def test_adjusted_rand_edges(spark):

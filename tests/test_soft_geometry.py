@@ -215,7 +215,7 @@ def test_quantile_of_one_row_and_of_none(spark):
 
 
 def test_silhouette_reads_all_rows(spark):
-    """More rows than the former cap of 5,000, in several blocks, against brute force."""
+    """All rows by squared distances, and the Euclidean form in several blocks, against brute force."""
     import numpy as np
 
     from regimeweave.operators import cluster_metrics
@@ -225,14 +225,21 @@ def test_silhouette_reads_all_rows(spark):
     labels[0] = 9  # a cluster of one row
     x = rng.normal(0, 1, (5200, 2)) + labels[:, None]
     rows = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(labels, x))], "id long, c int, v array<double>")
-    far = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    far = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
     kinds, sizes = np.unique(labels, return_counts=True)
-    sums = np.stack([far[:, labels == c].sum(1) for c in kinds], 1)
-    own = np.searchsorted(kinds, labels)
-    inside = sums[np.arange(5200), own] / np.maximum(1, sizes[own] - 1)
-    means = sums / sizes
-    means[np.arange(5200), own] = np.inf
-    want = np.where(sizes[own] == 1, 0, (means.min(1) - inside) / np.maximum(inside, means.min(1))).mean()
-    got = cluster_metrics.silhouette(rows, "v", "c", "id").first()
-    assert got.sampled == 5200 and abs(got.silhouette - want) < 1e-9
-    assert cluster_metrics.silhouette(rows, "v", "c", "id", 100).first().sampled == 100
+    own, at = np.searchsorted(kinds, labels), np.arange(5200)
+
+    def brute(far):
+        sums = np.stack([far[:, labels == c].sum(1) for c in kinds], 1)
+        inside = sums[at, own] / np.maximum(1, sizes[own] - 1)
+        means = sums / sizes
+        means[at, own] = np.inf
+        return np.where(sizes[own] == 1, 0, (means.min(1) - inside) / np.maximum(inside, means.min(1))).mean()
+
+    got = cluster_metrics.silhouette(rows.unionByName(rows.limit(3).withColumn("c", F.lit(None).cast("int"))), "v", "c", [0, 1, 2, 9]).first()
+    assert (got.rows, got.unlabelled) == (5200, 3) and abs(got.silhouette - brute(far)) < 1e-9
+    sampled = cluster_metrics.sampled_silhouette(rows, "v", "c", "id", 6000).first()
+    assert sampled.sampled == 5200 and abs(sampled.silhouette - brute(np.sqrt(far))) < 1e-9
+    assert cluster_metrics.sampled_silhouette(rows, "v", "c", "id", 100).first().sampled == 100
+    with pytest.raises(Exception, match="label without a declared class"):
+        cluster_metrics.silhouette(rows, "v", "c", [0, 1, 2]).collect()
