@@ -74,7 +74,7 @@ def stability(
 ) -> DataFrame:
     """Mean adjusted Rand index between repeated fits on all rows, or on one repeatable sample of ``max_n``."""
     sample = df if max_n is None else df.orderBy(F.xxhash64(F.col(key), F.lit(seed + 1000 + k)), key).limit(max_n)
-    fitted = fit_kmeans_many(sample, vector, [(k, seed + repeat + restart) for repeat in range(repeats) for restart in range(n_init)])
+    fitted = fit_kmeans_many(sample, vector, [(k, seed + 1000 * (repeat + 1) + restart) for repeat in range(repeats) for restart in range(n_init)])
     best = [min(fitted[r * n_init : (r + 1) * n_init], key=lambda f: f.cost).centers for r in range(repeats)]
     runs = [_nearest(vector, centers).alias(f"run_{r}") for r, centers in enumerate(best)]
     return M.mean_pairwise_rand(stage(sample.select(*runs), "stability"), [f"run_{r}" for r in range(repeats)])
@@ -119,7 +119,7 @@ def sweep_fits(
     if not ks:
         raise ValueError("no valid K to evaluate")
     whole = [(k, seed + restart) for k in ks for restart in range(n_init)]
-    again = [(k, seed + repeat + restart) for k in ks for repeat in range(repeats) for restart in range(n_init)]
+    again = [(k, seed + 1000 * (repeat + 1) + restart) for k in ks for repeat in range(repeats) for restart in range(n_init)]
     if stability_n is None:
         fitted = fit_kmeans_many(df, vector, whole + again)
     else:
