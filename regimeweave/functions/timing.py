@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,8 +21,20 @@ def interval(every: timedelta, times: int = 1) -> Column:
 
 
 def time_block(time: Column, width: timedelta) -> Column:
-    """Start of the fixed-width block that holds ``time``: a coarse, order-preserving key."""
-    return F.window(time, f"{seconds(width)} seconds").start
+    """Start of the fixed-width block that holds ``time``: a coarse, order-preserving key.
+
+    ``window`` alone would drop rows without a time; here such a row stops the job.
+    """
+    stop = F.raise_error(F.lit("a row without a time has no place in time order"))
+    return F.window(F.coalesce(time, stop), f"{seconds(width)} seconds").start
+
+
+def packed_order(time: Column, number: Column) -> Column:
+    """``(time, number)`` as one 38-digit decimal of the same order, which hash aggregates can hold; ``number`` is a bigint."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), time).cast("decimal(18,0)")
+    # a bigint moved above zero stays below the step of a microsecond
+    shifted = number.cast("decimal(19,0)") + F.lit(Decimal(2**63))
+    return (micros * F.lit(Decimal(2 * 10**19)) + shifted).cast("decimal(38,0)")
 
 
 def elapsed_seconds(later: Column, earlier: Column) -> Column:

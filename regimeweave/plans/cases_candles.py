@@ -70,6 +70,20 @@ def ohlc_csv(spark, sf):
     return tidy(C.read_ohlc(spark, path))
 
 
+@case("A2_ohlc_layouts", f"{BARS} SELECT {t('open_time')}, {PRICES_SQL} FROM bars")
+def ohlc_layouts(spark, sf):
+    """Two layouts side by side: other names, another order, a further column."""
+    path = stage_path(spark, "layouts")
+    text = F.concat(F.replace(F.col("open_time").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+    rows = I.candles(spark, sf)
+    early = F.col("open_time") < F.expr("timestamp_ntz'2024-01-16 00:00:00'")
+    one = rows.where(early).select(text.alias("date"), "open", "high", "low", "close")
+    two = rows.where(~early).select(F.lit("x").alias("note"), "close", F.col("low").alias("Low"), "high", F.col("open").alias("OPEN"), text.alias("time"))
+    for name, part in (("one", one), ("two", two)):
+        part.write.option("header", True).csv(f"{path}/layout={name}")
+    return tidy(C.read_ohlc(spark, path).select("open_time", "open", "high", "low", "close"))
+
+
 @case(
     "A3_union_sources",
     f"""WITH {S.bars()}, tagged AS (SELECT 'old' AS source_id, 0 AS k, * FROM bars WHERE open_time < TIMESTAMP '2024-01-16'

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType, TimestampNTZType, TimestampType
 
 from regimeweave.functions.predicates import ohlc_invalid
+from regimeweave.functions.timing import packed_order
 from regimeweave.operators import regimes
 from regimeweave.operators.gaps import HOUR, with_runs
 from regimeweave.operators.windows import build_windows
@@ -50,7 +51,7 @@ def bars(
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     symbol = F.col("event_type") if by_type else F.lit("ALL")
     start = F.window("ts", f"{int(every.total_seconds())} seconds").start
-    order = F.struct("ts", "event_id")
+    order = packed_order(F.col("ts"), F.col("event_id"))
     made = (
         events.withColumn("symbol", symbol)
         .groupBy("symbol", start.alias("open_time"))

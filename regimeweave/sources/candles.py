@@ -59,14 +59,34 @@ def resolve_columns(
     return found
 
 
+def header_census(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line of every CSV file below ``path``, and the files that have it: one entry per layout."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    # lines of a split are numbered in their order
+    numbered = lines.where("at = 0").withColumn("line", F.monotonically_increasing_id())
+    first = numbered.groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    return {r.header: r.files for r in first.groupBy("header").agg(F.sort_array(F.collect_set("file")).alias("files")).collect()}
+
+
 def read_ohlc(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
-    """CSV candles under canonical names; unparseable cells become null."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    found = resolve_columns(raw.columns, columns)
-    return raw.select(
-        timestamp_utc(F.col(f"`{found['open_time']}`")).alias("open_time"),
-        *[number(F.col(f"`{found[p]}`")).alias(p) for p in PRICES],
-    )
+    """CSV candles under canonical names; unparseable cells become null.
+
+    Files may differ in the names, order and number of their columns: each layout is read on its own and all meet under the canonical
+    names. A layout that lacks one of them stops before anything is read.
+    """
+    parts = []
+    for _, files in sorted(header_census(spark, path).items()):
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(files)
+        found = resolve_columns(raw.columns, columns)
+        parts.append(
+            raw.select(
+                timestamp_utc(F.col(f"`{found['open_time']}`")).alias("open_time"),
+                *[number(F.col(f"`{found[p]}`")).alias(p) for p in PRICES],
+            )
+        )
+    if not parts:
+        raise GateError(f"no CSV lines below {path}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def union_sources(sources: dict[str, DataFrame], merge: bool = False) -> DataFrame:

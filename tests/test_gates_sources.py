@@ -4,7 +4,7 @@ import hashlib
 import json
 import struct
 import zlib
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -258,3 +258,31 @@ def test_merge_needs_one_corrected_row_per_symbol_and_time(spark):
 def test_steps_are_whole_seconds():
     with pytest.raises(ValueError):
         timing.seconds(timedelta(milliseconds=500))
+
+
+def test_csv_files_of_different_layouts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,open,high,low,close\n2024-01-01T00:00:00Z,1,4,0,2\n2024-01-01T01:00:00Z,5,8,4,6\n")
+    (tmp_path / "b.csv").write_text("Close,note,LOW,High,Open,timestamp\n12,x,10,14,11,2024-01-01T02:00:00Z\n")
+    (tmp_path / "c.csv").write_text("date,open,high,low,close\n2024-01-01T03:00:00Z,21,24,20,22\n")
+    rows = C.read_ohlc(spark, str(tmp_path)).orderBy("open_time").collect()
+    assert [(r.open, r.high, r.low, r.close) for r in rows] == [(1, 4, 0, 2), (5, 8, 4, 6), (11, 14, 10, 12), (21, 24, 20, 22)]
+    assert len(C.header_census(spark, str(tmp_path))) == 2
+    (tmp_path / "d.csv").write_text("date,open,high,low\n2024-01-01T03:00:00Z,21,24,20\n")
+    with pytest.raises(quality.GateError, match="no column for close"):
+        C.read_ohlc(spark, str(tmp_path))
+
+
+def test_rows_without_a_time_stop_the_numbering(spark):
+    rows = spark.createDataFrame([("A", datetime(2024, 1, 1), "p"), ("A", None, "q")], "symbol string, open_time timestamp_ntz, pair_id string")
+    with pytest.raises(Exception, match="without a time"):
+        quality.with_row_index(rows).collect()
+    assert quality.with_row_index(rows.where("open_time is not null")).first().row_index == 0
+
+
+def test_packed_order_keeps_the_order(spark):
+    rows = [(datetime(*d), i) for d in ((1969, 12, 31, 23, 59, 59), (1970, 1, 1), (2024, 5, 6, 7, 8, 9, 123456), (9999, 12, 31)) for i in (-(2**63), -1, 0, 7, 2**63 - 1)]
+    made = spark.createDataFrame(rows, "ts timestamp_ntz, id bigint").withColumn("packed", timing.packed_order(F.col("ts"), F.col("id")))
+    got = [(r.ts, r.id) for r in made.orderBy("packed").collect()]
+    assert got == sorted(rows) and made.where("packed is null").count() == 0
+    grouped = made.groupBy().agg(F.min_by("id", "packed"))
+    assert "SortAggregate" not in grouped._jdf.queryExecution().executedPlan().toString()
