@@ -229,10 +229,13 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     lead = [f"w{k + 1}" for k in range(longest)]
     longest_windows = windows(docs, frequent_buckets(docs, min_count, longest, bits)).groupBy("lang", *lead).agg(F.sum("n").alias("n"))
     sums = longest_windows.rollup("lang", *lead).agg(F.sum("n").alias("f"), F.grouping_id().alias("_open"))
-    size = F.lit(longest) - F.length(F.regexp_replace(F.bin("_open"), "0", ""))
-    sums = sums.where(F.col("lang").isNotNull()).withColumn("size", size.cast("int"))
+    sums = sums.where(F.col("lang").isNotNull())
+    # a prefix that ends in a pad is a shorter phrase once more; these conditions go before the sums, so such rows never move
+    level = {k: F.col("_open") == 2 ** (longest - k) - 1 for k in range(longest + 1)}
     for k, w in enumerate(lead):
-        sums = sums.where((F.col("size") != k + 1) | (F.col(w) != "") & (F.col("f") >= min_count))
+        sums = sums.where(~level[k + 1] | (F.col(w) != ""))
+    size = F.coalesce(*[F.when(level[k], k) for k in range(longest + 1)])
+    sums = sums.withColumn("size", size.cast("int")).where((F.col("size") == 0) | (F.col("f") >= min_count))
     return sums.select("lang", "size", F.slice(F.array(*lead), 1, F.col("size")).alias("words"), "f")
 
 
