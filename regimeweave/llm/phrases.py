@@ -11,6 +11,7 @@ a candidate, nor part of one.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,6 @@ BLOCK_BITS = 16
 CHUNK = 1 << 20
 TOP_PARTS = 64
 NO_LANG = "und"
-LEAD = [f"w{k + 1}" for k in range(LONGEST)]
 
 _KIND = np.zeros(256, np.uint8)  # 0 word, 1 between words, 2 between pieces
 _KIND[[9, 32]] = 1
@@ -100,8 +100,8 @@ def _add_table(docs: DataFrame, shared: list, min_count: int, bits: int) -> byte
     """The next table: one bit for each bucket, whether it holds ``min_count`` or more n-grams.
 
     The first takes words and pairs, the next the triples, and so on, if the tables before let their parts
-    pass. A task counts its rows in ``2^bits`` bytes that stop at 255 and sends the blocks that are not empty, sparse ones
-    as places and counts; blocks are added up as they arrive. The result has ``2^bits / 8`` bytes whatever the size of ``docs``.
+    pass. A task counts its rows in ``2^bits`` bytes that stop at 255 and sends the places that are not zero, block by
+    block and packed; blocks are added up as they arrive. The result has ``2^bits / 8`` bytes whatever the size of ``docs``.
     """
     block = 1 << min(BLOCK_BITS, bits)
     size = len(shared) + 2
@@ -131,25 +131,23 @@ def _add_table(docs: DataFrame, shared: list, min_count: int, bits: int) -> byte
                     table[bucket.astype(np.int64)] = np.minimum(table[bucket.astype(np.int64)] + n, 255)
         blocks = table.reshape(-1, block)
         for at in np.flatnonzero(blocks.any(axis=1)).tolist():
-            places = np.flatnonzero(blocks[at]).astype(np.uint16)
-            sparse = 3 * len(places) < block
-            counts = blocks[at][places] if sparse else blocks[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([at], pa.int32()), pa.array([places.tobytes() if sparse else b""], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["block", "places", "counts"]
-            )
+            places = np.flatnonzero(blocks[at])
+            steps = np.diff(places, prepend=0).astype("<u2")  # low bytes, then high bytes, then counts
+            raw = steps.view(np.uint8).reshape(-1, 2).T.tobytes() + blocks[at][places].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(raw, 1)], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at, places, raw in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for at, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = sums.setdefault(at, np.zeros(block, np.uint8))
-                where = np.frombuffer(places.as_buffer(), np.uint16) if len(places.as_buffer()) else slice(None)
-                counts = np.frombuffer(raw.as_buffer(), np.uint8)
-                held[where] += np.minimum(counts, 255 - held[where])
+                low, high, counts = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, -1)
+                places = np.cumsum(low.astype(np.int64) + 256 * high.astype(np.int64))
+                held[places] += np.minimum(counts, 255 - held[places])
         packed = [np.packbits(s >= min_count).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
 
-    blocks = C.map_arrow(docs.select("text", "lang"), count, "block int, places binary, counts binary").repartition("block")
+    blocks = C.map_arrow(docs.select("text", "lang"), count, "block int, counts binary").repartition("block")
     out = bytearray(-(-(1 << bits) // 8))
     for r in blocks.mapInArrow(add, "block int, bits binary").collect():  # at most 2^bits / 8 bytes
         out[r.block * block // 8 : r.block * block // 8 + len(r.bits)] = r.bits
@@ -227,7 +225,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     """``lang, size, words, f``: every phrase of 1 to ``longest`` words that occurs ``min_count`` times, and per language
     its number of words, at size 0. Words count within pieces, overlaps included."""
     lead = [f"w{k + 1}" for k in range(longest)]
-    longest_windows = windows(docs, frequent_buckets(docs, min_count, longest, bits)).groupBy("lang", *lead).agg(F.sum("n").alias("n"))
+    longest_windows = windows(docs, frequent_buckets(docs, min_count, longest, bits))
     sums = longest_windows.rollup("lang", *lead).agg(F.sum("n").alias("f"), F.grouping_id().alias("_open"))
     sums = sums.where(F.col("lang").isNotNull())
     # a prefix that ends in a pad is a shorter phrase once more; these conditions go before the sums, so such rows never move
