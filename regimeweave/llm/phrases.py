@@ -71,6 +71,11 @@ def _hashes(data: np.ndarray, bounds: np.ndarray, names: list[str], lang: np.nda
     return data, start, end, row, joined, own
 
 
+def _marks(own: np.ndarray) -> np.ndarray:
+    """Keys that say in the table of triples that a word belongs to a pair that passed."""
+    return C.mix64(own ^ np.uint64(0x2545F4914F6CDD1D))
+
+
 class Grams:
     """Which n-grams of some rows may be frequent, by the tables of one and two words, of three, and so on."""
 
@@ -100,7 +105,7 @@ def _add_table(docs: DataFrame, shared: list, min_count: int, bits: int) -> byte
     """The next table: one bit for each bucket, whether it holds ``min_count`` or more n-grams.
 
     The first takes words and pairs, the next the triples, and so on, if the tables before let their parts
-    pass. A task counts its rows in ``2^bits`` bytes that stop at 255 and sends the places that are not zero, block by
+    pass; the triples' table also marks the words of the pairs that passed. A task counts its rows in ``2^bits`` bytes that stop at 255 and sends the places that are not zero, block by
     block and packed; blocks are added up as they arrive. The result has ``2^bits / 8`` bytes whatever the size of ``docs``.
     """
     block = 1 << min(BLOCK_BITS, bits)
@@ -124,6 +129,9 @@ def _add_table(docs: DataFrame, shared: list, min_count: int, bits: int) -> byte
                     grams.longer()
                     if grams.size < size:
                         grams.judge(masks[grams.size - 2], bits)
+                    if size == 3 and grams.size == 2:
+                        pairs = np.flatnonzero(grams.may)
+                        table[(_marks(np.unique(own[np.r_[pairs, pairs + 1]])) >> np.uint64(64 - bits)).astype(np.int64)] = 255
                 if grams.size == size:
                     found.append(grams.keys())
                 if found:
@@ -167,7 +175,7 @@ def frequent_buckets(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
 def windows(docs: DataFrame, tables: list[bytes]) -> DataFrame:
     """``lang, w1, ..., n``: padded windows and how often a task met them; '' pads.
 
-    The first word of a window is padded too where it is infrequent, so all windows of a language together
+    The first word of a window is padded too where no pair of it may be frequent, so all windows of a language together
     are its words.
     """
     bits, longest = (len(tables[0]) * 8).bit_length() - 1, len(tables) + 1
@@ -185,6 +193,9 @@ def windows(docs: DataFrame, tables: list[bytes]) -> DataFrame:
                     continue
                 grams = Grams(own, joined)
                 grams.judge(masks[0], bits)
+                if longest > 2:  # a word without such a pair is part of no candidate
+                    useful = (_marks(own[grams.may]) >> np.uint64(64 - bits)).astype(np.int64)
+                    grams.may[grams.may] = (masks[1][useful >> 3] >> (7 - (useful & 7)).astype(np.uint8)) & 1 == 1
                 # words as numbers from 1; 0 pads
                 present = np.flatnonzero(grams.may)
                 _, example, code = np.unique(own[present], return_index=True, return_inverse=True)
@@ -222,8 +233,8 @@ def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, bits: int = TABLE_BITS) -> DataFrame:
-    """``lang, size, words, f``: every phrase of 1 to ``longest`` words that occurs ``min_count`` times, and per language
-    its number of words, at size 0. Words count within pieces, overlaps included."""
+    """``lang, size, words, f``: every phrase of 2 to ``longest`` words that occurs ``min_count`` times, the words of such
+    phrases, and per language its number of words, at size 0. Words count within pieces, overlaps included."""
     lead = [f"w{k + 1}" for k in range(longest)]
     longest_windows = windows(docs, frequent_buckets(docs, min_count, longest, bits))
     sums = longest_windows.rollup("lang", *lead).agg(F.sum("n").alias("f"), F.grouping_id().alias("_open"))
