@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from regimeweave.functions.predicates import timestamp_utc, unix_path
 from regimeweave.functions.timing import interval
 from regimeweave.operators.gaps import HOUR
-from regimeweave.operators.quality import require_none, require_unique
+from regimeweave.operators.quality import GateError, require_none, require_unique
 from regimeweave.operators.skew import skew_join
 
 
@@ -161,6 +161,26 @@ def pick_image_column(df: DataFrame) -> DataFrame:
     return shares.where("image_share > 0").orderBy(F.col("image_share").desc(), order).limit(1)
 
 
+def require_merge_columns(df: DataFrame, wanted: DataFrame, key: str = "input_start_time", least: float = 0.5) -> tuple[str, str]:
+    """Names of the time and the image column of an older manifest; a best column below ``least`` of its rows stops the job."""
+    found = []
+    for kind, share, best in (("time", "hit_share", pick_time_column(df, wanted, key)), ("image", "image_share", pick_image_column(df))):
+        row = best.first()  # one row
+        if row is None or row[share] < least:
+            at = "none" if row is None else f"{row['column']} at {row[share]:.3f}"
+            raise GateError(f"no {kind} column with a share of {least}: best {at}, columns {df.columns}")
+        found.append(row["column"])
+    return found[0], found[1]
+
+
+def require_match(merged: DataFrame, corrected: DataFrame, minimum: float = 0.98) -> DataFrame:
+    """``merged``, or an error that names every partition whose ``match_rate`` does not pass."""
+    failed = match_rate(merged, corrected, minimum).where(~F.col("passed")).orderBy("partition").collect()  # one row per partition
+    if failed:
+        raise GateError("match rate low: " + ", ".join(f"{r['partition']} {r['written']} of {r['expected']}" for r in failed))
+    return merged
+
+
 def _sum(value: str | Column) -> Column:
     """Sum that is zero for no rows."""
     return F.coalesce(F.sum(value), F.lit(0))

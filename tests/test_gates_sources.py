@@ -286,3 +286,20 @@ def test_packed_order_keeps_the_order(spark):
     assert got == sorted(rows) and made.where("packed is null").count() == 0
     grouped = made.groupBy().agg(F.min_by("id", "packed"))
     assert "SortAggregate" not in grouped._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_gates(spark):
+    wanted = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("2024-01-01T01:00:00Z",)], "input_start_time string")
+    names = [("2024-01-01T00:00:00Z", "a.png"), ("2024-01-01T01:00:00Z", "b.jpg"), ("2024-02-01T00:00:00Z", "c.png")]
+    df = spark.createDataFrame(names, "t string, f string")
+    assert align.require_merge_columns(df, wanted) == ("t", "f")
+    with pytest.raises(quality.GateError, match="no time column"):
+        align.require_merge_columns(df, wanted, least=0.7)
+    with pytest.raises(quality.GateError, match="no image column"):
+        align.require_merge_columns(df.withColumn("f", F.lit("x")), wanted)
+    rows = "partition string, training_eligible boolean"
+    corrected = spark.createDataFrame([("train", True), ("train", False), ("test", False), ("test", False)], rows)
+    merged = spark.createDataFrame([("train", True), ("test", False), ("test", False)], rows)
+    assert align.require_match(merged, corrected).count() == 3
+    with pytest.raises(quality.GateError, match="test 1 of 2"):
+        align.require_match(merged.limit(2), corrected)
