@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ NBEST = 4
 UNKNOWN_PENALTY = 10.0
 SPACE, NEWLINE = 0x20, 0x0A
 SLOT_BITS = 18
+#: A longer chunk is segmented alone, in windows of as many bytes.
+WINDOW = 1 << 15
 
 
 @dataclass
@@ -108,7 +111,9 @@ class Lattice:
         padded = np.r_[data, np.zeros(int(size.max(initial=1)), np.uint8)]
         longest = np.maximum(3, np.ceil(np.log2(np.maximum(size, 1))).astype(int)) if n else size
         for step in np.unique(longest):
-            group = np.flatnonzero(longest == step)
+            group = np.flatnonzero((longest == step) & (size <= WINDOW))
+            if not len(group):
+                continue
             width = int(size[group].max())
             rows_at_once = max(1, (1 << 17) // width)
             for a in range(0, len(group), rows_at_once):
@@ -116,6 +121,10 @@ class Lattice:
                 ids, per_row, score[rows], gap[rows] = self._block(padded, prefix, start[rows], size[rows], width)
                 count[rows] = per_row
                 parts.append((rows, ids))
+        for row in np.flatnonzero(size > WINDOW):
+            ids, per_row, score[row : row + 1], gap[row : row + 1] = self._long(padded, prefix, int(start[row]), int(size[row]))
+            count[row] = per_row[0]
+            parts.append((np.array([row]), ids))
         first = np.r_[0, np.cumsum(count)]
         out = np.empty(first[-1], np.int32)
         for rows, ids in parts:
@@ -177,33 +186,91 @@ class Lattice:
             flat[unknown] = self.v.byte_ids[data[at]]
         return flat, np.bincount(r, times, m).astype(np.int64), total, total - second
 
+    def _long(self, data, prefix, start, n):
+        """One chunk of any length, window by window: only the scores, one byte of way back and the path grow with it."""
+        lengths = np.array([x for x in self.lengths if x <= n])
+        reach = int(lengths[-1])
+        alpha, beta = np.full(n + reach + 1, -np.inf), np.full(n + reach + 1, -np.inf)
+        back = np.zeros(n + reach + 1, np.int8)
+        alpha[0] = beta[n] = 0.0
+
+        def window(a: int) -> tuple[np.ndarray, np.ndarray]:
+            """Ids and scores by place and length of the pieces that start in the window."""
+            place = np.arange(a, min(n, a + WINDOW))
+            text = data[start + place]
+            lead = np.where(text < 0x80, 1, np.where(text < 0xC0, 0, np.where(text < 0xE0, 2, np.where(text < 0xF0, 3, 4))))
+            found = np.full((len(place), len(lengths)), -1, np.int32)
+            value = np.full((len(place), len(lengths)), -np.inf)
+            for k, x in enumerate(lengths.tolist()):
+                p = np.flatnonzero((lead > 0) & (place + x <= n))
+                at = start + place[p]
+                ids = self.look_up(C.span_hash(prefix, at, at + x))
+                found[p, k] = ids
+                value[p, k] = np.where(ids >= 0, self.v.scores[ids], np.where(lead[p] == x, self.v.unknown, -np.inf))
+            return found, value
+
+        for a in range(0, n, WINDOW):
+            _, value = window(a)
+            for i, row in enumerate(value, a):
+                if alpha[i] > -np.inf:
+                    to = i + lengths
+                    into = alpha[i] + row
+                    better = np.flatnonzero((into >= alpha[to]) & (into > -np.inf))
+                    alpha[to[better]] = into[better]
+                    back[to[better]] = better
+        on_path, at = np.full(n, -1, np.int8), n
+        while at:
+            k = back[at]
+            at -= int(lengths[k])
+            on_path[at] = k
+        second, parts = -np.inf, []
+        for a in range((n - 1) // WINDOW * WINDOW, -1, -WINDOW):
+            found, value = window(a)
+            for i in range(len(value) - 1, -1, -1):
+                beta[a + i] = (beta[a + i + lengths] + value[i]).max()
+            path = np.flatnonzero(on_path[a : a + len(value)] >= 0)
+            kinds = on_path[a + path]
+            ids = found[path, kinds]
+            value[path, kinds] = -np.inf
+            place = np.arange(a, a + len(value))
+            second = max(second, max(float((alpha[place] + value[:, k] + beta[place + x]).max()) for k, x in enumerate(lengths.tolist())))
+            times = np.where(ids < 0, lengths[kinds], 1)
+            flat = np.repeat(ids, times)
+            unknown = np.flatnonzero(flat < 0)
+            flat[unknown] = self.v.byte_ids[data[start + spread(a + path, times)[unknown]]]
+            parts.append(flat)
+        flat = np.concatenate(parts[::-1])
+        return flat, np.array([len(flat)]), alpha[n : n + 1], alpha[n : n + 1] - second
+
     def nbest(self, chunk: bytes, k: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``k`` best segmentations, best first.
 
         The forward pass gives every position the exact score of the best way to reach it; a
         search from the end that orders partial paths by (own score + that score) therefore
-        completes paths in the order of their total scores.
+        completes paths in the order of their total scores. Of equal ones, that nearest the start
+        goes on first. Every open path completes to a path of its own with just that total, so no
+        more of them are kept open than paths are still wanted: the search takes at most ``k``
+        steps a position, however many paths tie.
         """
         n = len(chunk)
-        alpha, into = [float("-inf")] * (n + 1), [[] for _ in range(n + 1)]
+        alpha = array("d", [float("-inf")]) * (n + 1)
         alpha[0] = 0.0
+        get, unknown, none = self.by_surface.get, (-1, self.v.unknown), float("-inf")
         for i in range(n):
-            if alpha[i] == float("-inf"):
+            here = alpha[i]
+            if here == none:
                 continue
             b = chunk[i]
             char = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
             for x in self.lengths:
                 if i + x > n:
                     break
-                piece = self.by_surface.get(chunk[i : i + x])
-                if piece is None and x == char:
-                    piece = (-1, self.v.unknown)
-                if piece is not None:
-                    into[i + x].append((i, piece))
-                    alpha[i + x] = max(alpha[i + x], alpha[i] + piece[1])
-        heap, serial, out = [(-alpha[n], 0, n, 0.0, None)], 1, []
-        while heap and len(out) < k:
-            f, _, at, score, tail = heapq.heappop(heap)
+                piece = get(chunk[i : i + x]) or (unknown if x == char else None)
+                if piece is not None and here + piece[1] > alpha[i + x]:
+                    alpha[i + x] = here + piece[1]
+        opened, serial, out = [(-alpha[n], n, 0, 0.0, None)], 1, []
+        while opened and len(out) < k:
+            f, at, _, score, tail = heapq.heappop(opened)
             if at == 0:
                 ids, link = [], tail
                 while link is not None:
@@ -212,9 +279,19 @@ class Lattice:
                     link = link[1]
                 out.append((-f, tuple(ids)))
                 continue
-            for i, (piece, value) in into[at]:
-                heapq.heappush(heap, (-(score + value + alpha[i]), serial, i, score + value, ((i, at, piece), tail)))
-                serial += 1
+            for x in self.lengths:
+                i = at - x
+                if i < 0:
+                    break
+                if alpha[i] == none:
+                    continue
+                b = chunk[i]
+                char = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
+                piece = get(chunk[i:at]) or (unknown if x == char else None)
+                if piece is not None:
+                    opened.append((-(score + piece[1] + alpha[i]), i, serial, score + piece[1], ((i, at, piece[0]), tail)))
+                    serial += 1
+            opened = heapq.nsmallest(k - len(out), opened)
         return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:

@@ -97,6 +97,16 @@ def test_blocks_and_recall():
             assert linked[i, j] == (both * 10 >= 4 * (len(x) + len(y) - both))
 
 
+@pytest.mark.parametrize("size", [4, 20_000, 60_001])
+def test_ties_at_the_threshold_are_links(size):
+    """``9 * common = 4 * (a + b)`` links, one shingle less does not, whatever the size."""
+    both = 4 * size
+    a = np.arange(both + size // 2, dtype=np.uint64)
+    b = np.r_[np.arange(both), 10**9 + np.arange(size - size // 2)].astype(np.uint64)
+    assert ngram_join.compare([a], [b], 0.8)[0, 0]
+    assert not ngram_join.compare([a], [np.r_[b, 10**12].astype(np.uint64)], 0.8)[0, 0]
+
+
 def test_repeated_bytes(docs, rows):
     got = repeats.repeated_spans(docs).collect()
     assert len(got) == len(rows)
@@ -160,6 +170,38 @@ def test_nbest_against_every_path(text):
     assert lattice.decode(e.ids).tobytes()[1:] == raw
 
 
+@pytest.mark.parametrize("text", ["aaaaaaaaa", "abababab", "xyxyxyxyx", "\u65e5\u65e5\u65e5a\u65e5", "qzqzqzqzq"])
+def test_tied_paths_are_exact(text):
+    """Many equal scores: totals of the best paths are those of every path, and no path comes twice."""
+    lattice = pieces.Lattice(pieces.Vocabulary.load())
+    want = every_path(lattice, text.encode())
+    for k in (1, 4, 9):
+        got = lattice.nbest(text.encode(), k)
+        assert [s for s, _ in got] == [s for s, _ in want[:k]]
+        scores = dict((i, s) for s, i in want)
+        assert len({i for _, i in got}) == len(got) and all(scores[i] == s for s, i in got)
+
+
+def test_windows_of_a_long_chunk(monkeypatch):
+    """A chunk read window by window has the path, score and gap of one read at once."""
+    lattice = pieces.Lattice(pieces.Vocabulary.load())
+    texts = ["".join(RNG.choice("etaoinshr\u65e5\u00e9qx0") for _ in range(n)) for n in (3, 40, 64, 65, 700, 2_000)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    end = np.cumsum([len(t.encode()) for t in texts])
+    start = np.r_[0, end[:-1]]
+    whole = lattice.segment(raw, start, end)
+    monkeypatch.setattr(pieces, "WINDOW", 64)
+    for a, b in zip(whole, lattice.segment(raw, start, end), strict=True):
+        assert (a == b).all()
+
+
+def test_text_without_spaces(spark):
+    """A text of half a megabyte that is one chunk: encoded and decoded whole, with the totals of its best paths in order."""
+    long = "".join(RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500_000))
+    got = pieces.digest(spark.createDataFrame([(1, long), (2, "a " + long[:1_000])], "doc_id long, text string")).collect()
+    assert len(got) == 2 and all(r.round_trip and len(r.scores) == 4 and r.scores == sorted(r.scores, reverse=True) for r in got)
+
+
 def test_encoding_round_trip(docs, rows):
     encoded = pieces.encode(docs)
     texts = sorted((str(r.doc_id), r.text) for r in pieces.decode(encoded).collect())
