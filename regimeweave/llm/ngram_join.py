@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -155,11 +157,10 @@ def compare(own: list[np.ndarray], other: list[np.ndarray] | None, threshold: fl
     b, ib = b[shared], at[shared]
     order_a, order_b = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
     a, ia, b, ib = a[order_a], ia[order_a], b[order_b], ib[order_b]
-    common = np.zeros((len(own), len(other)), np.float32)
+    common = np.zeros((len(own), len(other)), np.int64)
     used = np.unique(ib)
     if one:
         used = used[np.bincount(ib, minlength=len(kinds))[used] > 1]
-        common[np.arange(len(own)), np.arange(len(own))] = 0
     for first in range(0, len(used), 2048):
         part = used[first : first + 2048]
         left, right = np.zeros((len(own), len(part)), np.float32), np.zeros((len(other), len(part)), np.float32)
@@ -168,11 +169,12 @@ def compare(own: list[np.ndarray], other: list[np.ndarray] | None, threshold: fl
             slot = np.searchsorted(part, kind[lo:hi])
             good = part[np.minimum(slot, len(part) - 1)] == kind[lo:hi]
             matrix[rows[lo:hi][good], slot[good]] = 1
-        common += left @ right.T
-    sizes_a = np.array([len(x) for x in own], np.float32)[:, None]
-    sizes_b = np.array([len(x) for x in other], np.float32)[None, :]
-    # in whole numbers: common / (a + b - common) >= threshold
-    linked = common * (1 + threshold) >= threshold * (sizes_a + sizes_b) - 1e-3
+        common += (left @ right.T).astype(np.int64)  # at most 2048, exact as a float
+    sizes_a = np.array([len(x) for x in own], np.int64)[:, None]
+    sizes_b = np.array([len(x) for x in other], np.int64)[None, :]
+    # common / (a + b - common) >= p / q in whole numbers
+    share = Fraction(str(threshold))
+    linked = common * (share.numerator + share.denominator) >= share.numerator * (sizes_a + sizes_b)
     if one:
         np.fill_diagonal(linked, False)
     return linked
