@@ -16,8 +16,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimeweave.session import shared_dir
-
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,6 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path in the shared folder of the session."""
+    from regimeweave.session import shared_dir  # here, for this module goes to the tasks and nothing else of the library does
+
     return f"{shared_dir(spark).rstrip('/')}/llm/{uuid.uuid4().hex}"
 
 
