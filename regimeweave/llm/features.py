@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regimeweave.llm import common as C
@@ -22,19 +22,28 @@ def agreed(labels: DataFrame, label: str) -> DataFrame:
     return known.where("y = _y").select("doc_id", F.col("y").cast("int").alias("y"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """``text`` and ``y`` of at most ``max_rows`` labelled rows outside the held-out fold, of every label value alike.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """``doc_id, text, y`` of labelled rows outside the held-out fold: at most ``max_rows`` rows and ``max_bytes`` bytes of text, half for each label.
 
-    Rows come in the order of a hash of their id, so the sample does not depend on partitions.
-    A document with contradicting or null labels is left out.
+    Rows come in the order of a hash of their id and text, so the sample does not depend on
+    partitions; the first row over the bytes ends it. A row is in it with its whole text or not at all, and one whose
+    text alone exceeds half the bytes is not. Rows equal in id and text are one. A document with
+    contradicting or null labels is left out. Ids and sizes are chosen first, so only chosen texts move.
     """
-    known = agreed(labels, label).withColumn("_key", F.xxhash64("doc_id", F.lit("sample")))
-    half = max_rows // 2
+    half, room = max_rows // 2, max_bytes // 2
+    text_key = F.xxhash64("text")
+    sizes = docs.select("doc_id", text_key.alias("_text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("_size"))
+    known = sizes.where(F.col("_size") <= room).join(agreed(labels, label), "doc_id").groupBy("doc_id", "_text", "y").agg(F.max("_size").alias("_size"))
+    known = known.withColumn("_key", F.xxhash64("doc_id", "_text", F.lit("sample")))
     chosen = None
     for value in (0, 1):
-        part = known.where(F.col("y") == value).orderBy("_key", "doc_id").limit(half)
+        part = known.where(F.col("y") == value).orderBy("_key", "doc_id", "_text").limit(half)
+        # a window over ``half`` narrow rows
+        so_far = F.sum("_size").over(Window.orderBy("_key", "doc_id", "_text"))
+        part = part.select("*", so_far.alias("_sum")).where(F.col("_sum") <= room)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "y")
+    names = ["doc_id", "_text"]
+    return docs.select("doc_id", text_key.alias("_text"), "text").join(chosen.select(*names, "y"), names).dropDuplicates(names).select("doc_id", "text", "y")
 
 
 def ngram_buckets(data: np.ndarray, bounds: np.ndarray, bits: int, orders: tuple[int, ...] = (1, 2)) -> tuple[np.ndarray, np.ndarray]:

@@ -17,8 +17,8 @@ MAX_ROWS = 20_000
 COST = 0.1
 EPOCHS = 8
 SMOOTH = 1.0
-#: Longest list of distinct features that one labelled text sends to the fit (the largest hashes of a longer text are not sent).
-MAX_FEATURES = 4_096
+#: Bytes of labelled texts that the fit reads at most; their features take about twice as many on the driver.
+MAX_BYTES = 1 << 27
 
 
 @dataclass
@@ -91,7 +91,7 @@ def feature_rows(docs: DataFrame, bits: int = BITS) -> DataFrame:
             for first, last, data, bounds in C.text_chunks(batch, "text"):
                 rows, bucket = features.ngram_buckets(data, bounds, bits)
                 cut = np.searchsorted(rows, np.arange(last - first + 1))
-                packed = [bucket[a : min(b, a + MAX_FEATURES)].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                packed = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(packed, pa.binary())], ["doc_id", "y", "buckets"])
 
@@ -99,13 +99,15 @@ def feature_rows(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return C.map_arrow(docs.select("doc_id", "text", F.col("y").cast("int").alias("y")), run, f"doc_id {kind}, y int, buckets binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, bits: int = BITS) -> Model:
-    """Fits on at most ``max_rows`` labelled rows (half of each class), whose buckets come to the driver.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, bits: int = BITS, max_bytes: int = MAX_BYTES) -> Model:
+    """Fits on at most ``max_rows`` labelled rows of ``max_bytes`` together (half of each class), whose buckets come to the driver.
+
+    Every chosen row is read whole.
 
     The last fifth of the sample by id hash calibrates the probabilities. Without labels of
     both classes, the model gives 0.5 everywhere.
     """
-    sample = feature_rows(features.labelled(docs, labels, label, max_rows), bits).toArrow().to_pydict()
+    sample = feature_rows(features.labelled(docs, labels, label, max_rows, max_bytes), bits).toArrow().to_pydict()
     order = sorted(range(len(sample["y"])), key=lambda i: (str(sample["doc_id"][i]), sample["buckets"][i]))
     rows = [np.frombuffer(sample["buckets"][i], "<i4") for i in order]
     y = np.array([sample["y"][i] for i in order], float)

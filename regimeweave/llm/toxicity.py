@@ -24,8 +24,10 @@ BATCH = 64
 MIN_STEPS = 600
 #: Candidate thresholds.
 GRID = np.linspace(0.05, 0.95, 37)
-#: Words of a labelled text that one training step reads: of a longer text, a window drawn anew in each epoch.
-TRAIN_WORDS = 600
+#: Words of a training step, padding included; a longer text is a step of its own.
+STEP_WORDS = 600 * BATCH
+#: Bytes of labelled texts that the fit reads at most; their words take about twice as many on the driver.
+MAX_BYTES = 1 << 26
 
 
 def word_buckets(data: np.ndarray, bounds: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -73,13 +75,57 @@ class Network:
         )
 
 
+def step_blocks(sizes: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+    """Texts of about equal length in blocks of at most ``BATCH`` texts and ``STEP_WORDS`` words; whole texts."""
+    order = order[np.argsort(sizes[order] // 64, kind="stable")]
+    blocks, first, widest = [], 0, 0
+    for k, i in enumerate(order):
+        wider = max(widest, sizes[i])
+        if k > first and (k - first == BATCH or (k - first + 1) * wider > STEP_WORDS):
+            blocks.append(order[first:k])
+            first, wider = k, sizes[i]
+        widest = wider
+    return [*blocks, order[first:]] if len(order) else []
+
+
+def forward(net: Network, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Probability of each whole text, and what the way back needs: pooled values, winning places and buckets.
+
+    The maximum is over windows of words of the text alone; a text shorter than a filter gives it 0.
+    Places are read in slices of ``STEP_WORDS`` words, so a long text needs no more than its buckets.
+    """
+    width = max(max(WIDTHS), max(len(t) for t in texts))
+    ids = np.zeros((len(texts), width, 3), np.int32)
+    size = np.array([len(t) for t in texts])
+    for k, t in enumerate(texts):
+        ids[k, : len(t)] = t
+    tops = [np.full((len(texts), FILTERS), -np.inf) for _ in WIDTHS]
+    picks = [np.zeros((len(texts), FILTERS), np.int64) for _ in WIDTHS]
+    step = max(1, STEP_WORDS // len(texts))
+    for a in range(0, width, step):
+        emb = net.table[ids[:, a : a + step + max(WIDTHS) - 1]].sum(2)
+        for k, (w, f) in enumerate(zip(WIDTHS, net.filters, strict=True)):
+            taps = f.reshape(w, DIM, FILTERS)
+            n = min(step, emb.shape[1] - w + 1)
+            if n <= 0:
+                continue
+            conv = sum(emb[:, j : n + j] @ taps[j] for j in range(w))
+            conv[a + np.arange(n)[None, :] + w > size[:, None]] = -np.inf
+            best = conv.argmax(1)
+            top = np.take_along_axis(conv, best[:, None, :], 1)[:, 0]
+            better = top > tops[k]
+            tops[k][better], picks[k][better] = top[better], a + best[better]
+    pooled = [np.where(np.isfinite(t), np.maximum(t + o, 0), 0) for t, o in zip(tops, net.offsets, strict=True)]
+    hidden = np.concatenate(pooled, 1)
+    return 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.bias, -30, 30))), hidden, picks, ids
+
+
 def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """AdaGrad on the logistic loss; each step takes ``BATCH`` texts as one padded block."""
+    """AdaGrad on the logistic loss; each step takes whole texts as one padded block, and its gradient runs through the winning places."""
     net = Network.new(seed)
     rng = np.random.default_rng(seed)
     sums = {id(p): np.full(p.shape, 1e-3) for p in [net.table, *net.filters, *net.offsets, net.out]}
     bias_sum = 1e-3
-    pad = max(WIDTHS)
 
     def descend(p: np.ndarray, g: np.ndarray) -> None:
         s = sums[id(p)]
@@ -87,59 +133,36 @@ def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: in
         p -= RATE * 5 * g / np.sqrt(s)
 
     weight = len(y) / 2 / np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
+    sizes = np.array([len(t) for t in texts])
     for _ in range(max(epochs, -(-MIN_STEPS * BATCH // max(1, len(y))))):
-        order = rng.permutation(len(y))
-        order = order[np.argsort(np.array([min(len(texts[i]), TRAIN_WORDS) for i in order]) // 64, kind="stable")]
-        blocks = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
+        blocks = step_blocks(sizes, rng.permutation(len(y)))
         for b in rng.permutation(len(blocks)):
             rows = blocks[b]
-            views = []
-            for i in rows:
-                t = texts[i]
-                if len(t) > TRAIN_WORDS:
-                    at = rng.integers(0, len(t) - TRAIN_WORDS + 1)
-                    t = t[at : at + TRAIN_WORDS]
-                views.append(t)
-            width = max(pad, max(len(t) for t in views))
-            ids = np.zeros((len(rows), width, 3), np.int64)
-            real = np.zeros((len(rows), width), bool)
-            for k, t in enumerate(views):
-                ids[k, : len(t)] = t
-                real[k, : len(t)] = True
-            emb = net.table[ids].sum(2) * real[:, :, None]
-            pooled, picks = [], []
-            for w, f, o in zip(WIDTHS, net.filters, net.offsets, strict=True):
-                taps = f.reshape(w, DIM, FILTERS)
-                n = width - w + 1
-                conv = sum(emb[:, j : n + j] @ taps[j] for j in range(w)) + o
-                best = conv.argmax(1)
-                top = np.take_along_axis(conv, best[:, None, :], 1)[:, 0]
-                pooled.append(np.maximum(top, 0))
-                picks.append(best)
-            hidden = np.concatenate(pooled, 1)
-            p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.bias, -30, 30)))
-            delta = (p - y[rows]) * weight[y[rows].astype(int)] / len(rows)
+            p, hidden, picks, ids = forward(net, [texts[i] for i in rows])
+            # every text weighs the same, however few share its block
+            delta = (p - y[rows]) * weight[y[rows].astype(int)] / BATCH
             back = delta[:, None] * net.out[None, :] * (hidden > 0)
             descend(net.out, hidden.T @ delta)
             bias_sum += delta.sum() ** 2
             net.bias -= RATE * 5 * delta.sum() / np.sqrt(bias_sum)
-            grad = np.zeros_like(emb)
+            places, grads = [], []
             item = np.arange(len(rows))[:, None]
             for k, (w, f, o) in enumerate(zip(WIDTHS, net.filters, net.offsets, strict=True)):
                 g = back[:, k * FILTERS : (k + 1) * FILTERS]
                 df = np.empty((w, DIM, FILTERS))
                 taps = f.reshape(w, DIM, FILTERS)
+                on = np.nonzero(g)
                 for j in range(w):
                     at = picks[k] + j
-                    df[j] = np.einsum("bfd,bf->df", emb[item, at], g)
-                    np.add.at(grad, (item, at), g[:, :, None] * taps[j].T[None])
+                    df[j] = np.einsum("bfd,bf->df", net.table[ids[item, at]].sum(2), g)
+                    places.append(ids[on[0], at[on]])
+                    grads.append(g[on][:, None] * taps[j].T[on[1]])
                 descend(f, df.reshape(w * DIM, FILTERS))
                 descend(o, g.sum(0))
-            touched = real & (grad != 0).any(2)
-            flat = ids[touched].ravel()
+            flat = np.concatenate(places).ravel()
             buckets, where = np.unique(flat, return_inverse=True)
             g = np.zeros((len(buckets), DIM))
-            np.add.at(g, where, np.repeat(grad[touched], 3, axis=0))
+            np.add.at(g, where, np.repeat(np.concatenate(grads), 3, axis=0))
             s = sums[id(net.table)]
             s[buckets] += g * g
             net.table[buckets] -= RATE * 5 * g / np.sqrt(s[buckets])
@@ -237,13 +260,13 @@ def calibrate(counts: dict[str, np.ndarray]) -> dict[str, float]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Network:
-    """Trains on four fifths of at most ``max_rows`` labelled rows, half of each class; all other labelled rows set the threshold of each language.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Network:
+    """Trains on four fifths of at most ``max_rows`` labelled rows of ``max_bytes`` together, half of each class, each read whole; all other labelled rows set the threshold of each language.
 
     Language is read for the thresholds only, never for a score. Without both classes every
     score is near 0.5.
     """
-    sample = bucket_rows(features.labelled(docs, labels, label, max_rows)).toArrow().to_pydict()
+    sample = bucket_rows(features.labelled(docs, labels, label, max_rows, max_bytes)).toArrow().to_pydict()
     order = sorted(range(len(sample["y"])), key=lambda i: (str(sample["doc_id"][i]), sample["ids"][i]))
     texts = [np.frombuffer(sample["ids"][i], "<i4").reshape(-1, 3) for i in order]
     y = np.array([sample["y"][i] for i in order], float)

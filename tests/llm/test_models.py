@@ -103,3 +103,67 @@ def test_convolution_by_tables_is_the_convolution():
         hidden.append(np.maximum(max((emb[i : i + w].ravel() @ f for i in range(len(emb) - w + 1)), key=lambda v: 0) * 0 + np.max([emb[i : i + w].ravel() @ f for i in range(len(emb) - w + 1)], 0), 0))
     p = 1 / (1 + np.exp(-(np.concatenate(hidden) @ net.out)))
     assert toxicity.scores(net, toxicity.tap_tables(net), ids, counts)[0] == pytest.approx(p, abs=1e-5)
+
+
+def test_training_and_scoring_are_one_function(monkeypatch):
+    """What a training step computes for whole texts, empty, short and long ones, is their score; slices and padding change nothing."""
+    monkeypatch.setattr(toxicity, "MIN_STEPS", 5)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(WORDS, n)) for n in (0, 1, 2, 3, 40, 700, 2_500)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.r_[0, np.cumsum([len(t) for t in texts])]
+    ids, counts = toxicity.word_buckets(raw, bounds)
+    cut = np.r_[0, np.cumsum(counts)]
+    net = toxicity.train([ids[a:b] for a, b in zip(cut[:-1], cut[1:])], np.array([0, 1, 0, 1, 0, 1, 0], float), epochs=3)
+    net.offsets = [o + 0.3 for o in net.offsets]
+    want = toxicity.scores(net, toxicity.tap_tables(net), ids, counts)
+    for words in (toxicity.STEP_WORDS, 300):
+        monkeypatch.setattr(toxicity, "STEP_WORDS", words)
+        got = toxicity.forward(net, [ids[a:b] for a, b in zip(cut[:-1], cut[1:])])[0]
+        assert np.abs(got - want).max() < 1e-5
+
+
+def test_steps_hold_whole_texts():
+    rng = np.random.default_rng(6)
+    sizes = np.r_[rng.integers(0, 3_000, 500), 200_000, 50]
+    blocks = toxicity.step_blocks(sizes, rng.permutation(len(sizes)))
+    assert sorted(np.concatenate(blocks).tolist()) == list(range(len(sizes)))
+    assert all(len(b) <= toxicity.BATCH and (len(b) == 1 or len(b) * sizes[b].max() <= toxicity.STEP_WORDS) for b in blocks)
+
+
+def test_passage_far_inside_a_long_text_is_learnt(monkeypatch):
+    """Toxic texts of 1,500 words with one telling word among them."""
+    monkeypatch.setattr(toxicity, "MIN_STEPS", 120)
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(100, 2_000, (1_500, 3)).astype(np.int32) for _ in range(80)]
+    y = np.array([0, 1] * 40, float)
+    for t, label in zip(texts, y, strict=True):
+        if label:
+            t[rng.integers(0, 1_500)] = 7
+    net = toxicity.train(texts[:60], y[:60])
+    p = toxicity.forward(net, texts[60:])[0]
+    assert ((p >= 0.5) == (y[60:] > 0)).mean() >= 0.9
+
+
+def test_sample_takes_whole_rows_within_bounds(spark, docs):
+    """A row comes whole or not at all; rows and bytes are bounded for each label; repeated rows are one."""
+    texts, labels = docs
+    given = {(r.doc_id, r.text) for r in texts.collect()}
+    repeated = texts.unionByName(texts.where("doc_id < 50"))
+    every = features.labelled(repeated, labels, "quality", 10_000, 1 << 30).collect()
+    assert len({(r.doc_id, r.text) for r in every}) == len(every) and {(r.doc_id, r.text) for r in every} <= given
+    for rows, size in ((40, 1 << 30), (10_000, 20_000)):
+        some = features.labelled(repeated, labels, "quality", rows, size).collect()
+        assert {(r.doc_id, r.text) for r in some} <= {(r.doc_id, r.text) for r in every}
+        for value in (0, 1):
+            part = [r for r in some if r.y == value]
+            assert 0 < len(part) <= rows // 2 and sum(len(r.text or "") for r in part) <= size // 2
+
+
+@pytest.mark.parametrize(("module", "label"), [(quality_model, "quality"), (toxicity, "toxic")])
+def test_clashing_columns(spark, docs, module, label):
+    """Columns named like the results are not read and not carried."""
+    texts, labels = docs
+    odd = texts.withColumns({c: F.lit("x") for c in ("score", "predicted", "y", "held_out", "_text", "_size")})
+    model = module.fit(odd, labels.withColumns({"text": F.lit("z"), "score": F.lit(1)}), max_rows=100)
+    assert module.score(odd.limit(20), model).count() == 20
