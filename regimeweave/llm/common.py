@@ -41,6 +41,18 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Free the files of a table that ``stage`` has written; what reads it must have been written before."""
+    spark = df.sparkSession
+    folder = shared_folder(spark).rsplit("/", 1)[0] + "/"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        if folder.split(":", 1)[-1].lstrip("/") not in file:
+            raise ValueError(f"{file} is not a staged table")
+        path.getFileSystem(conf).delete(path, True)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` over batches of a thousand rows, unless the session names another size: a batch of texts is held several times, on both sides."""
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -16,6 +16,9 @@ from regimeweave.llm.common import stage, text_of
 LENGTH = 400
 GRAM, WINDOW = 16, 96
 UNIT = 32
+FAR = 2 * (WINDOW - 1)
+#: From an anchor, the stretch that every string it owns holds.
+CORE = (-(WINDOW - 1), LENGTH - FAR)
 _SECOND = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE2 = 0xD1342543DE82EF95
 _BASE2_INVERSE = pow(_BASE2, -1, 2**64)
@@ -50,7 +53,11 @@ def anchors(data: np.ndarray, bounds: np.ndarray, prefix: np.ndarray) -> tuple[n
 
 
 class Owned:
-    """Anchors with the starts they own: ``start + WINDOW - 1 <= anchor``, nearest first."""
+    """Anchors with the starts they own: ``start + WINDOW - 1 <= anchor``, nearest first.
+
+    Windows that choose an anchor at or beyond ``start + WINDOW - 1`` lie behind the start, and the nearest is at most
+    ``FAR`` behind it, so equal strings have the same anchor. All strings of an anchor hold its ``CORE``.
+    """
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, prefix: np.ndarray) -> None:
         at, text = anchors(data, bounds, prefix)
@@ -60,12 +67,8 @@ class Owned:
         before = np.where(same, np.r_[0, at[:-1]] if len(at) else at, begin - 1)
         self.lo = np.where(same, np.maximum(begin, before - (WINDOW - 2)), begin)
         self.hi = np.minimum(at - (WINDOW - 1), end - LENGTH)
-        # the part that every owned string holds: up to the last anchor that all of them choose alike
-        reach = at + LENGTH - (WINDOW + GRAM - 1) - 1 - (2 * WINDOW - 2)
-        last = np.searchsorted(at, reach, "right") - 1
-        own = np.arange(len(at))
-        self.use = (self.hi >= self.lo) & (last > own)
-        self.at, self.text, self.core_end, self.begin = at, text, at[np.maximum(last, 0)] if len(at) else at, begin
+        self.use = self.hi >= self.lo
+        self.at, self.text, self.begin = at, text, begin
 
 
 def second_prefix(data: np.ndarray) -> np.ndarray:
@@ -94,13 +97,14 @@ def core_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prefix = C.prefix_hash(data)
             o = Owned(data, bounds, prefix)
             u = o.use
-            core = C.span_hash(prefix, o.at[u], o.core_end[u])
+            core = C.span_hash(prefix, o.at[u] + CORE[0], o.at[u] + CORE[1])
             yield pa.RecordBatch.from_arrays([*_keys(batch, first + o.text[u]), pa.array((o.at - o.begin)[u].astype(np.int32)), _long(core)], [*KEYS, "at", "core"])
 
 
-def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the anchors in ``places``, owned starts in units of ``UNIT``: hashes of what all strings of a
-    unit share (``part``) and of what they cover together (``s1``, ``s2``)."""
+def stretch_rows(batches: Iterator[pa.RecordBatch], unit: int | None) -> Iterator[pa.RecordBatch]:
+    """Owned starts of the anchors in ``places``, an anchor's together or in units of ``unit``: hashes of what all
+    strings of a stretch share (``part``) and of what they cover together (``s1``, ``s2``)."""
+    size = unit or FAR + 1
     for batch in batches:
         for first, last, data, bounds in C.text_chunks(batch, "text"):
             prefix, other = C.prefix_hash(data), second_prefix(data)
@@ -109,25 +113,25 @@ def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.repeat(np.arange(last - first), np.array([len(x) for x in wanted], np.int64))
             marks = bounds[rows] + wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             k = np.flatnonzero(np.isin(o.at, marks) & o.use)
-            nearest, farthest = (o.at[k] - o.hi[k]) // UNIT, (o.at[k] - o.lo[k]) // UNIT
+            nearest, farthest = (o.at[k] - o.hi[k]) // size, (o.at[k] - o.lo[k]) // size
             times = farthest - nearest + 1
             at, owner = np.repeat(o.at[k], times), np.repeat(k, times)
             j = np.repeat(nearest, times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            lo = np.maximum(o.lo[owner], at - UNIT * j - (UNIT - 1))
-            hi = np.minimum(o.hi[owner], at - UNIT * j)
-            middle = at - UNIT * j
-            part = C.span_hash(prefix, middle, middle + LENGTH - UNIT + 1) + j.astype(np.uint64)
+            lo = np.maximum(o.lo[owner], at - size * j - (size - 1))
+            hi = np.minimum(o.hi[owner], at - size * j)
+            middle = at - size * j
+            ends = (middle, middle + LENGTH - size + 1) if unit else (at + CORE[0], at + CORE[1])
+            part = C.span_hash(prefix, *ends) + j.astype(np.uint64)
             begin = o.begin[owner]
             yield pa.RecordBatch.from_arrays(
                 [
                     *_keys(batch, first + o.text[owner]),
-                    pa.array((lo - begin).astype(np.int32)),
-                    pa.array((hi - begin).astype(np.int32)),
+                    *[pa.array((x - begin).astype(np.int32)) for x in (at, lo, hi)],
                     _long(C.span_hash(prefix, lo, hi + LENGTH)),
                     _long(second_hash(other, lo, hi + LENGTH)),
                     _long(part),
                 ],
-                [*KEYS, "lo", "hi", "s1", "s2", "part"],
+                [*KEYS, "at", "lo", "hi", "s1", "s2", "part"],
             )
 
 
@@ -176,6 +180,22 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def stretches(texts: DataFrame, places: DataFrame, unit: int | None) -> tuple[DataFrame, DataFrame]:
+    """Stretches of ``places`` found twice as a whole, and those to be divided further.
+
+    The latter share their ``part`` with one that is not found as a whole; of equal whole ones, one stands for all.
+    """
+    rows = C.map_arrow(texts.join(places, KEYS), lambda batches: stretch_rows(batches, unit), "_i bigint, _t int, at int, lo int, hi int, s1 bigint, s2 bigint, part bigint")
+    rows = stage(rows)
+    place = F.xxhash64(*KEYS, "lo")
+    twice = rows.groupBy("s1", "s2").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").select("s1", "s2", "_first")
+    marked = rows.join(twice, ["s1", "s2"], "left").select(*KEYS, "at", "lo", "hi", "part", F.col("_first").isNotNull().alias("_whole"), F.coalesce(place == F.col("_first"), F.lit(True)).alias("_stands"))
+    marked = stage(marked)
+    C.drop_stage(rows)
+    unsure = marked.groupBy("part").agg(F.count("*").alias("_n"), F.count_if(~F.col("_whole")).alias("_open")).where("_n > 1 and _open > 0").select("part")
+    return marked.where("_whole").select(*KEYS, "lo", "hi"), marked.where("_stands").join(unsure, "part", "left_semi")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every row of ``docs``.
 
@@ -183,35 +203,37 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     the same text or another; strings are judged on the input and never cross texts. A null or
     shorter text loses nothing. Rows that repeat an id are texts of their own.
 
-    Three refinements, each counting hashes as partial aggregates and carrying on with the
-    places whose hash occurs twice: cores between anchors (about one row for 48 bytes), units of neighbouring
-    starts (the part they share, the stretch they cover), single starts where a unit is only
-    partly repeated. A core or shared part that occurs once proves its starts unique; covered
-    stretches and single starts are compared by 128-bit hashes. Texts are hashed once per step and
+    Four refinements, each counting hashes as partial aggregates and carrying on with the
+    places whose hash occurs twice: cores of anchors (about one row for 48 bytes), all starts of an anchor
+    together, units of ``UNIT`` starts, single starts. A stretch found twice as a whole is settled; it goes on only
+    as the partner of one that is not, and of equal ones only the first does. A core or shared part that occurs once
+    proves its starts unique; covered stretches and single starts are compared by 128-bit hashes. Texts are hashed once per step and
     no suffix is sorted; a string of any number of copies is one row of a count. Equal texts are
-    one text here, and lose all their bytes if they are long enough and there are two of them.
+    one text here, and lose all their bytes if they are long enough and there are two of them. Tables of a step are
+    dropped once the next is written.
     """
     keys = {"_i": F.xxhash64(text_of()), "_t": F.hash(text_of())}
     long = docs.select(*[v.alias(k) for k, v in keys.items()], text_of().alias("text")).where(F.octet_length("text") >= LENGTH)
     cores = stage(C.map_arrow(long, core_rows, "_i bigint, _t int, at int, core bigint"))
     place = F.xxhash64("_i", "at")
     twice = cores.groupBy("core").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a < _b").select("core")
-    places = cores.join(twice, "core", "left_semi").groupBy(*KEYS).agg(F.collect_set("at").alias("places"))
-    texts = stage(long.join(places, KEYS).dropDuplicates(KEYS).select(*KEYS, "text", "places"))
-
-    units = stage(C.map_arrow(texts, unit_rows, "_i bigint, _t int, lo int, hi int, s1 bigint, s2 bigint, part bigint"))
-    whole = units.groupBy("s1", "s2").agg(F.count("*").alias("_n")).where("_n > 1").select("s1", "s2", F.lit(True).alias("_whole"))
-    marked = stage(units.join(whole, ["s1", "s2"], "left").select(*KEYS, "lo", "hi", "part", F.col("_whole").isNotNull().alias("_whole")))
-    unsure = marked.groupBy("part").agg(F.count("*").alias("_n"), F.count_if(~F.col("_whole")).alias("_open")).where("_n > 1 and _open > 0").select("part")
-    open_units = marked.join(unsure, "part", "left_semi").groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
-    singles = texts.drop("places").join(open_units, KEYS).select(*KEYS, "text", "places")
-    starts = stage(C.map_arrow(singles, start_rows, "_i bigint, _t int, at int, s1 bigint, s2 bigint"))
+    places = stage(cores.join(twice, "core", "left_semi").groupBy(*KEYS).agg(F.collect_set("at").alias("places")))
+    C.drop_stage(cores)
+    # copies become one before they are met, on both sides of the shuffle
+    texts = stage(long.groupBy(*KEYS).agg(F.first("text").alias("text")).join(places.select(*KEYS), KEYS, "left_semi"))
+
+    found, open_anchors = stretches(texts, places, None)
+    places = open_anchors.groupBy(*KEYS).agg(F.collect_set("at").alias("places"))
+    more, open_units = stretches(texts, places, UNIT)
+    places = open_units.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
+    starts = stage(C.map_arrow(texts.join(places, KEYS), start_rows, "_i bigint, _t int, at int, s1 bigint, s2 bigint"))
     same = starts.groupBy("s1", "s2").agg(F.count("*").alias("_n")).where("_n > 1").select("s1", "s2")
-    found = starts.join(same, ["s1", "s2"], "left_semi").select(*KEYS, F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
-    found = found.unionByName(marked.where("_whole").select(*KEYS, "lo", (F.col("hi") + LENGTH).alias("hi")))
-    ranges = found.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
-    cut = texts.drop("places").join(ranges, KEYS).select(*KEYS, "text", "places")
-    cut = stage(C.map_arrow(cut, cut_rows, "_i bigint, _t int, spans array<struct<lo:int,hi:int>>, n_removed bigint, kept_sha256 string"))
+    single = starts.join(same, ["s1", "s2"], "left_semi").select(*KEYS, F.col("at").alias("lo"), F.col("at").alias("hi"))
+    ranges = found.unionByName(more).unionByName(single).groupBy(*KEYS).agg(F.collect_list(F.struct("lo", (F.col("hi") + LENGTH).alias("hi"))).alias("places"))
+    cut = C.map_arrow(texts.join(ranges, KEYS), cut_rows, "_i bigint, _t int, spans array<struct<lo:int,hi:int>>, n_removed bigint, kept_sha256 string")
+    cut = stage(cut)
+    for table in (texts, starts):
+        C.drop_stage(table)
 
     every = docs.select("doc_id", *[v.alias(k) for k, v in keys.items()], F.octet_length(text_of()).cast("bigint").alias("n_bytes"), F.sha2(text_of(), 256).alias("_sha"))
     every = stage(every)

@@ -107,9 +107,8 @@ def test_ties_at_the_threshold_are_links(size):
     assert not ngram_join.compare([a], [np.r_[b, 10**12].astype(np.uint64)], 0.8)[0, 0]
 
 
-def test_repeated_bytes(docs, rows):
-    got = repeats.repeated_spans(docs).collect()
-    assert len(got) == len(rows)
+def removed_by_definition(rows):
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` by a table of all strings of 400 bytes."""
     texts = [(r[1] or "").encode() for r in rows]
     seen = defaultdict(list)
     for i, b in enumerate(texts):
@@ -125,11 +124,32 @@ def test_repeated_bytes(docs, rows):
         kept = bytes(x for k, x in enumerate(b) if k not in gone[i])
         spans = sum(1 for k in gone[i] if k - 1 not in gone[i])
         want.append((str(rows[i][0]), len(b), len(gone[i]), spans, hashlib.sha256(kept).hexdigest()))
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
-    assert sum(len(x) for x in gone.values()) > 0
+    return sorted(want)
+
+
+def test_repeated_bytes(docs, rows):
+    got = repeats.repeated_spans(docs).collect()
+    want = removed_by_definition(rows)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert sum(w[2] for w in want) > 0
     assert repeats.repeated_spans(docs.limit(0)).count() == 0
 
 
+def test_passages_about_as_long_as_the_limit(spark):
+    """Shared passages of 380 to 900 bytes at any place, inside other repeated passages, at both ends, twice in a text, and periodic ones."""
+    noise = lambda n: "".join(RNG.choice("abcdefgh ") for _ in range(n))
+    passages = [noise(n) for n in (380, 399, 400, 401, 410, 431, 432, 500, 611, 900)]
+    texts = []
+    for p in passages:
+        for _ in range(3):
+            texts.append(noise(RNG.randint(0, 300)) + p + noise(RNG.randint(0, 300)))
+    texts += [p[RNG.randint(0, 40) :] + noise(20) + p for p in passages] + [passages[9][100:650], passages[9][:520] + "z" + passages[9][300:]]
+    texts += ["ab" * 350 + noise(5), noise(9) + "ab" * 300, "q" * 401, "q" * 400, noise(130) * 5, passages[8] + passages[8][:395]]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed_by_definition(rows)
+
+
 def every_path(lattice, chunk):
     out = []
 
