@@ -116,6 +116,7 @@ def manifest_roundtrip(spark, sf):
         rows.schema,
         domains={"target_cluster_id": CLASSES, "partition": tuple(I.PERIODS)},
         finite=("chronological_rank",),
+        empty=True,
     )
     back = M.read_manifest(spark, f"{root}/shuffled", contract)
     return tidy(back.select(*PAIR_COLUMNS))
