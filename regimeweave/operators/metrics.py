@@ -226,7 +226,10 @@ def changed_rows(
 
 
 def diff_summary(old: DataFrame, new: DataFrame, k: int, key: str = "pair_id") -> DataFrame:
-    """One row: changed predictions, target agreement and the change of each metric."""
+    """One row: changed predictions, target agreement and the change of each metric.
+
+    Without common rows all targets agree, and the changed share is not a number.
+    """
     both = new.select(
         key, F.col("actual_target_cluster_id").alias("actual"), F.col("predicted_target_cluster_id").alias("after")
     ).join(
@@ -239,7 +242,7 @@ def diff_summary(old: DataFrame, new: DataFrame, k: int, key: str = "pair_id") -
 
     counted = both.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.bool_and(F.col("actual") == F.col("_was")).alias("targets_identical"),
+        F.coalesce(F.bool_and(F.col("actual") == F.col("_was")), F.count(F.lit(1)) == 0).alias("targets_identical"),
         F.count_if(F.col("before") != F.col("after")).alias("changed"),
         cells("before").alias("_b"),
         cells("after").alias("_a"),
@@ -250,7 +253,7 @@ def diff_summary(old: DataFrame, new: DataFrame, k: int, key: str = "pair_id") -
         "rows",
         "targets_identical",
         "changed",
-        (100.0 * F.col("changed") / F.col("rows")).alias("changed_percentage"),
+        F.when(F.col("rows") > 0, 100.0 * F.col("changed") / F.col("rows")).otherwise(float("nan")).alias("changed_percentage"),
         *[(second[n] - first[n]).alias(f"{n}_change") for n in names],
     )
 
