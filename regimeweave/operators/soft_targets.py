@@ -117,15 +117,25 @@ def gap_column(distances: str = DIST) -> Column:
     return ordered[1] - ordered[0]
 
 
-def temperature(train: DataFrame, multiplier: float = 1.0, distances: str = DIST, above: float = V.TINY) -> DataFrame:
-    """Median positive nearest-to-second gap of the training rows, times ``multiplier``; one row."""
+def _or_none(found: Column, value: Column, message: str, on_none: str) -> Column:
+    """``value`` where ``found``; elsewhere the job stops, or with ``on_none='null'`` there is no value."""
+    if on_none not in ("raise", "null"):
+        raise ValueError("on_none must be 'raise' or 'null'")
+    kept = F.when(found, value)
+    return kept.otherwise(F.raise_error(F.lit(message))) if on_none == "raise" else kept
+
+
+def temperature(
+    train: DataFrame, multiplier: float = 1.0, distances: str = DIST, above: float = V.TINY, on_none: str = "raise"
+) -> DataFrame:
+    """Median positive nearest-to-second gap of the training rows, times ``multiplier``; one row.
+
+    Without such a gap the job stops; ``on_none='null'`` gives a null temperature.
+    """
     gap = gap_column(distances)
     median = exact_quantile(train, F.when(gap > above, gap), 0.5, out="_median")
-    return median.agg(F.max("_median").alias("_median")).select(
-        F.when(F.col("_median").isNotNull(), F.col("_median") * multiplier)
-        .otherwise(F.raise_error(F.lit("no positive distance gap in training")))
-        .alias("temperature")
-    )
+    tau = _or_none(F.col("_median").isNotNull(), F.col("_median") * multiplier, "no positive distance gap in training", on_none)
+    return median.agg(F.max("_median").alias("_median")).select(tau.alias("temperature"))
 
 
 def class_limits(
@@ -151,7 +161,8 @@ def with_certainty(df: DataFrame, k: int, floor: float = 0.10, soft: str = SOFT)
     """Entropy, entropy relative to ``ln k``, certainty and the certainty weight."""
     out = df.withColumn("soft_target_entropy", V.entropy(F.col(soft)))
     out = out.withColumn("soft_target_normalized_entropy", F.col("soft_target_entropy") / math.log(k))
-    out = out.withColumn("soft_target_certainty", V.clip(1.0 - F.col("soft_target_normalized_entropy"), 0.0, 1.0))
+    spread = F.col("soft_target_normalized_entropy")
+    out = out.withColumn("soft_target_certainty", F.when(spread.isNotNull(), V.clip(1.0 - spread, 0.0, 1.0)))
     return out.withColumn("certainty_weight", floor + (1.0 - floor) * F.col("soft_target_certainty"))
 
 
@@ -179,11 +190,16 @@ def annotate(
     limits_by: str = "nearest_cluster_id",
     tau: DataFrame | None = None,
     limits: DataFrame | None = None,
+    on_none: str = "raise",
 ) -> DataFrame:
-    """All soft-target columns of every pair, fitted on ``partition = 'train'`` unless given."""
+    """All soft-target columns of every pair, fitted on ``partition = 'train'`` unless given.
+
+    Training rows without a positive distance gap stop the job; with ``on_none='null'`` entropy and certainty
+    are null then, and memberships hold nulls.
+    """
     ordered = with_order(pairs)
     train = ordered.where("partition = 'train'")
-    tau = temperature(train, config.temperature_multiplier) if tau is None else tau
+    tau = temperature(train, config.temperature_multiplier, on_none=on_none) if tau is None else tau
     limits = class_limits(train, classes, config.outlier_percentile, limits_by) if limits is None else limits
     soft = with_certainty(with_memberships(ordered, tau), len(classes), config.certainty_floor)
     return flag_outliers(soft, limits, classes, limits_by)
@@ -193,16 +209,17 @@ def retained(annotated: DataFrame) -> DataFrame:
     return annotated.where("partition = 'train' and training_eligible")
 
 
-def soft_class_weights(train: DataFrame, classes: Sequence[int], soft: str = SOFT, by: Sequence[str] = ()) -> DataFrame:
-    """``N / (K * mass_k)`` per class; a class without mass stops the job."""
+def soft_class_weights(
+    train: DataFrame, classes: Sequence[int], soft: str = SOFT, by: Sequence[str] = (), on_none: str = "raise"
+) -> DataFrame:
+    """``N / (K * mass_k)`` per class; a class without mass stops the job, or with ``on_none='null'`` has a null weight."""
     k = len(classes)
     sums = train.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.array(*[F.sum(F.col(soft)[i]) for i in range(k)]).alias("_mass")
     )
     rows = sums.select(*by, "_n", F.posexplode("_mass").alias("cluster_id", "soft_class_mass"))
-    weight = F.when(F.col("soft_class_mass") > V.TINY, F.col("_n") / (k * F.col("soft_class_mass"))).otherwise(
-        F.raise_error(F.lit("a class has no soft training mass"))
-    )
+    mass = F.col("soft_class_mass")
+    weight = _or_none(mass > V.TINY, F.col("_n") / (k * mass), "a class has no soft training mass", on_none)
     return rows.select(*by, "cluster_id", "soft_class_mass", weight.alias("soft_class_weight"))
 
 
@@ -216,7 +233,7 @@ def class_counts(df: DataFrame, label: str, classes: Sequence[int], by: Sequence
 
 
 def class_weights(train: DataFrame, classes: Sequence[int], label: str = "target_cluster_id", on_zero: str = "raise") -> DataFrame:
-    """``N / (K * n_k)`` per class. ``on_zero='floor'`` counts an absent class as one row."""
+    """``N / (K * n_k)`` per class. ``on_zero='floor'`` counts an absent class as one row, ``'drop'`` leaves it out."""
     k = len(classes)
     array = F.array(*[F.count_if(F.col(label) == c) for c in classes])
     counted = train.agg(F.count(F.lit(1)).alias("_n"), array.alias("_c"))
@@ -227,8 +244,11 @@ def class_weights(train: DataFrame, classes: Sequence[int], label: str = "target
         )
     elif on_zero == "floor":
         weight = F.col("_n") / (k * F.greatest("count", F.lit(1)))
+    elif on_zero == "drop":
+        rows = rows.where("count > 0")
+        weight = F.col("_n") / (k * F.col("count"))
     else:
-        raise ValueError("on_zero must be 'raise' or 'floor'")
+        raise ValueError("on_zero must be 'raise', 'floor' or 'drop'")
     ids = F.array(*[F.lit(c) for c in classes])
     return rows.select(ids[F.col("_p")].alias("cluster_id"), "count", weight.alias("class_weight"))
 
@@ -297,10 +317,16 @@ def soft_violations(df: DataFrame, soft: str = SOFT, distances: str = DIST, tole
     )
 
 
-def check_weights(saved: DataFrame, train: DataFrame, classes: Sequence[int], atol: float = 1e-9, rtol: float = 1e-9) -> DataFrame:
-    """Saved class weights next to recomputed ones, with a flag for agreement and positivity."""
-    fresh = soft_class_weights(train, classes)
+def check_weights(
+    saved: DataFrame, train: DataFrame, classes: Sequence[int], atol: float = 1e-9, rtol: float = 1e-9, on_none: str = "raise"
+) -> DataFrame:
+    """Saved class weights next to recomputed ones, with a flag for agreement and positivity.
+
+    With ``on_none='null'`` a class without mass has no weight, and only a saved null agrees with that.
+    """
+    fresh = soft_class_weights(train, classes, on_none=on_none)
     joined = fresh.join(saved.select("cluster_id", F.col("soft_class_weight").alias("saved_weight")), "cluster_id", "left")
     close = F.abs(F.col("saved_weight") - F.col("soft_class_weight")) <= atol + rtol * F.abs("soft_class_weight")
     finite = (F.col("saved_weight") > 0) & (F.col("saved_weight") < float("inf"))
-    return joined.withColumn("agrees", F.coalesce(close & finite, F.lit(False)))
+    neither = F.col("saved_weight").isNull() & F.col("soft_class_weight").isNull()
+    return joined.withColumn("agrees", neither | F.coalesce(close & finite, F.lit(False)))

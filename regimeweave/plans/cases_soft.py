@@ -30,7 +30,8 @@ def case(name: str, sql: str | None = None):
 
 
 def annotated(spark, sf):
-    return T.annotate(I.pairs(spark, sf), CLASSES)
+    """Pairs with soft targets; none where training rows give no temperature."""
+    return I.soft_pairs(I.pairs(spark, sf)).where("temperature is not null")
 
 
 def train_of(pairs):
@@ -62,7 +63,7 @@ def near_tie_audit(spark, sf):
 
 @case("F2_temperature", f"{SOFT} SELECT {r('tau', 'temperature')} FROM tau")
 def temperature(spark, sf):
-    return tidy(T.temperature(train_of(I.pairs(spark, sf))))
+    return tidy(T.temperature(train_of(I.pairs(spark, sf)), on_none="null"))
 
 
 @case(
@@ -128,7 +129,7 @@ def distance_order(spark, sf):
     CASE WHEN outlier THEN 'cluster_membership_distance_outlier' ELSE 'retained' END AS exclusion_reason FROM ann""",
 )
 def outliers(spark, sf):
-    rows = annotated(spark, sf)
+    rows = I.soft_pairs(I.pairs(spark, sf))
     return tidy(
         rows.select("pair_id", "cluster_outlier_distance_limit", "is_training_distance_outlier", "training_eligible", "exclusion_reason")
     )
@@ -143,7 +144,7 @@ WEIGHTS = """sw AS (SELECT c, CASE c WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END A
     f"{SOFT}, {WEIGHTS} SELECT {b('c', 'cluster_id')}, {r('mass', 'soft_class_mass')}, {r('n / (3 * mass)', 'soft_class_weight')} FROM sw",
 )
 def soft_class_weights(spark, sf):
-    return tidy(T.soft_class_weights(T.retained(annotated(spark, sf)), CLASSES))
+    return tidy(T.soft_class_weights(T.retained(annotated(spark, sf)), CLASSES, on_none="null"))
 
 
 @case(
@@ -152,7 +153,7 @@ def soft_class_weights(spark, sf):
     FROM parts WHERE "partition" = 'train' GROUP BY target_cluster_id""",
 )
 def class_weights(spark, sf):
-    return tidy(T.class_weights(I.pairs(spark, sf).where("partition = 'train'"), CLASSES))
+    return tidy(T.class_weights(I.pairs(spark, sf).where("partition = 'train'"), CLASSES, on_zero="drop"))
 
 
 @case(
@@ -204,9 +205,10 @@ def near_tie_rows(spark, sf):
 )
 def check_weights(spark, sf):
     kept = stage(T.retained(annotated(spark, sf)), "retained")
-    saved = T.soft_class_weights(kept, CLASSES)
-    bent = saved.withColumn("soft_class_weight", F.col("soft_class_weight") * F.when(F.col("cluster_id") == 1, 1.01).otherwise(1.0))
-    return tidy(T.check_weights(bent, kept, CLASSES).select("cluster_id", "soft_class_weight", "agrees"))
+    saved = T.soft_class_weights(kept, CLASSES, on_none="null")
+    off = F.coalesce(F.col("soft_class_weight"), F.lit(1.0)) * 1.01  # differs from the weight, and from no weight
+    bent = saved.withColumn("soft_class_weight", F.when(F.col("cluster_id") == 1, off).otherwise(F.col("soft_class_weight")))
+    return tidy(T.check_weights(bent, kept, CLASSES, on_none="null").select("cluster_id", "soft_class_weight", "agrees"))
 
 
 @case(
@@ -348,4 +350,4 @@ def rejections(spark, sf):
     f"""{BALANCE} SELECT {b('class', 'cluster_id')}, count(*) AS count, {r('sum(count(*)) OVER () / (3.0 * count(*))', 'class_weight')} FROM acc GROUP BY class""",
 )
 def accepted_weights(spark, sf):
-    return tidy(T.class_weights(accepted_train(spark, sf), CLASSES))
+    return tidy(T.class_weights(accepted_train(spark, sf), CLASSES, on_zero="drop"))

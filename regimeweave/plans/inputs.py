@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType, Tim
 
 from regimeweave.functions.predicates import ohlc_invalid
 from regimeweave.functions.timing import packed_order
-from regimeweave.operators import regimes
+from regimeweave.operators import regimes, soft_targets
 from regimeweave.operators.gaps import HOUR, with_runs
 from regimeweave.operators.windows import build_windows
 from regimeweave.plans import forecast
@@ -101,6 +101,12 @@ def pairs(spark: SparkSession, sf_dir: str, by_type: bool = False, every: timede
     return forecast.forecast_pairs(labelled(spark, sf_dir, by_type, every), N, PERIODS, every)
 
 
+def soft_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs with all soft-target columns. The more events an hour holds, the likelier one of them is zero and the bar
+    fails the price rules, until no gap-free pair is left to train on; then there is no temperature, as in the check statements."""
+    return soft_targets.annotate(rows, CLASSES, on_none="null")
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Result columns in comparable form: rounded doubles, 64-bit integers, times as text."""
     out = []
