@@ -134,7 +134,8 @@ MODEL = f"{SOFT},\n{model_sql('ma', *FIRST)}"
 
 
 def scored(spark, sf):
-    return with_model(stage(T.annotate(I.pairs(spark, sf), CLASSES), "annotated"), *FIRST)
+    rows = I.soft_pairs(I.pairs(spark, sf)).where("temperature is not null")
+    return with_model(stage(rows, "annotated"), *FIRST)
 
 
 @case(
@@ -154,7 +155,7 @@ def soft_scores(spark, sf):
 )
 def soft_loss(spark, sf):
     rows = scored(spark, sf)
-    weights = T.soft_class_weights(T.retained(rows), CLASSES)
+    weights = T.soft_class_weights(T.retained(rows), CLASSES, on_none="null")
     return tidy(MX.soft_loss(rows, weights, K, ["partition"]))
 
 
@@ -432,7 +433,7 @@ def stride_table(spark, sf):
     """90-to-30 pairs per stride, with the temperature and limits of the 30-to-30 pairs."""
     short = T.with_order(I.pairs(spark, sf))
     train = stage(short.where("partition = 'train'").select("target_distances", "nearest_cluster_id", "nearest_distance"), "short_train")
-    tau, limits = T.temperature(train), T.class_limits(train, CLASSES, 99.0)
+    tau, limits = T.temperature(train, on_none="null"), T.class_limits(train, CLASSES, 99.0)
     long = splits.split_fixed(long_pairs(spark, sf), PERIODS)
     annotated = T.annotate(long, CLASSES, tau=tau, limits=limits)
     return stage(strides.stride_frames(annotated, STRIDES), "strides")
@@ -472,10 +473,16 @@ def stride_metrics(spark, sf):
 def _with_features(spark, sf):
     run_table = stage(I.runs(spark, sf), "runs")
     features = I.describe(run_table).select("symbol", F.col("start_index").alias("input_start_index"), "features")
-    annotated = T.annotate(I.pairs(spark, sf), CLASSES)
+    annotated = I.soft_pairs(I.pairs(spark, sf))
     return stage(annotated.join(features, ["symbol", "input_start_index"]), "featured")
 
 
+def _unfitted(rows, *flags):
+    """The report of a model that cannot be fitted, as there are no training rows: samples, and null for what it would show."""
+    unknown = [F.lit(None).cast("boolean").alias(c) for c in ("probabilities_ok", *flags)]
+    return rows.groupBy("partition").agg(F.count(F.lit(1)).alias("samples")).select("partition", "samples", *unknown)
+
+
 def _beats_prior(rows, probability: str):
     """Does the fitted model have a lower training loss than the constant class shares."""
     train = rows.where("partition = 'train'")
@@ -509,6 +516,8 @@ def _sound(predicted):
 def soft_logistic(spark, sf):
     rows = _with_features(spark, sf)
     train = T.retained(rows)
+    if train.isEmpty():
+        return _unfitted(rows, "class_mass_met")
     weights = stage(T.soft_class_weights(train, CLASSES), "weights")
     scored = ML.predict(ML.fit_soft_logistic(train, weights, CLASSES, "features"), rows, "features")
     met = _mass_met(RP.with_soft_mass(T.retained(scored), weights), F.col("probability"), F.col("mass"))
@@ -519,6 +528,8 @@ def soft_logistic(spark, sf):
 def soft_logistic_gain(spark, sf):
     rows = _with_features(spark, sf)
     train = T.retained(rows)
+    if train.isEmpty():
+        return spark.range(1).select(F.lit(None).cast("boolean").alias("beats_prior"))
     even = T.soft_class_weights(train, CLASSES).withColumn("soft_class_weight", F.lit(1.0))
     fitted = ML.fit_soft_logistic(train.withColumn("certainty_weight", F.lit(1.0)), even, CLASSES, "features", reg=0.0)
     return _beats_prior(T.retained(ML.predict(fitted, rows, "features")), "probability")
@@ -528,6 +539,8 @@ def soft_logistic_gain(spark, sf):
 def logistic(spark, sf):
     rows = _with_features(spark, sf)
     train = rows.where("partition = 'train'")
+    if train.isEmpty():
+        return _unfitted(rows, "class_mass_met")
     weights = stage(T.class_weights(train, CLASSES), "weights")
     scored = ML.predict(ML.fit_logistic(train, weights, CLASSES, "features"), rows, "features")
     held = with_lookup(scored.where("partition = 'train'"), weights, "cluster_id", "class_weight", CLASSES, "_w", "target_cluster_id")
@@ -539,6 +552,8 @@ def logistic(spark, sf):
 def mlp(spark, sf):
     """Row weights are exact; near an optimum the predicted mass of each class is the class's, whatever the layers."""
     rows = _with_features(spark, sf)
+    if rows.where("partition = 'train'").isEmpty():
+        return _unfitted(rows, "class_mass_met", "beats_linear")
     weights = T.class_weights(rows.where("partition = 'train'"), CLASSES)
     one = F.transform(F.array(*[F.lit(c) for c in CLASSES]), lambda c: (c == F.col("target_cluster_id")).cast("double") * F.col("_w"))
     held = with_lookup(rows, weights, "cluster_id", "class_weight", CLASSES, "_cw", "target_cluster_id").withColumn("_w", F.col("_cw") * F.col("certainty_weight"))
@@ -556,19 +571,23 @@ def mlp(spark, sf):
 
 @case("I23_stride_models")
 def stride_models(spark, sf):
-    """Linear models and perceptrons of every stride and seed in one fit; blocks of twice the span of a sample."""
+    """Linear models and perceptrons of every stride and seed in one fit; blocks of twice the span of a sample.
+
+    A stride without training rows has no model and no row.
+    """
     frames = stride_table(spark, sf)
     run_table = stage(I.runs(spark, sf), "runs")
     features = I.describe(run_table, 90).select("symbol", F.col("start_index").alias("input_start_index"), "features")
     rows = stage(_ranked(frames).join(features, ["symbol", "input_start_index"]), "ranked")
+    trained = sorted(r.stride for r in T.retained(rows).select("stride").distinct().collect())  # at most one row per stride
     weights = T.soft_class_weights(T.retained(rows), CLASSES, by=["stride"])
     held = weights.groupBy("stride").agg(F.sort_array(F.collect_list(F.struct("cluster_id", "soft_class_weight"))).alias("_w"))
     mass = F.zip_with("target_soft", "_w", lambda t, w: t * w["soft_class_weight"] * F.col("certainty_weight"))
     rows = rows.join(F.broadcast(held), "stride").withColumn("mass", mass)  # one row per stride
     rows = stage(rows.withColumns({f"mass_{s}": F.when(F.col("stride") == s, F.col("mass")) for s in STRIDES}), "stride_rows")
-    nets = RP.grid({str(s): ("features", f"mass_{s}", 2) for s in STRIDES}, CLASSES)
-    _, scored = RP.fit_and_predict(rows, nets)
-    parts = [RP.compare_kinds(scored.where(F.col("stride") == s), nets, str(s), K, BB.block_length(90, N, s), start_expr=formula) for s in STRIDES]
+    nets = RP.grid({str(s): ("features", f"mass_{s}", 2) for s in trained or STRIDES}, CLASSES)
+    scored = RP.fit_and_predict(rows, nets)[1] if trained else RP.unfitted(rows)
+    parts = [RP.compare_kinds(scored.where(F.col("stride") == s), nets, str(s), K, BB.block_length(90, N, s), start_expr=formula) for s in trained or STRIDES]
     return tidy(RP.union(parts))
 
 
@@ -580,20 +599,26 @@ def _ranked(frames):
 
 @case("I24_numeric_controls")
 def numeric_controls(spark, sf):
-    """Shape features alone, then shape and scale: five seeds of a linear model and a perceptron each, fitted together."""
+    """Shape features alone, then shape and scale: five seeds of a linear model and a perceptron each, fitted together.
+
+    Without training rows there is no model and no row.
+    """
     run_table = stage(I.runs(spark, sf), "runs")
     shapes = W.shape_features(W.window_arrays(run_table, N)).select("symbol", "start_index", "shape")
     scales = W.scale_features(run_table, N).select(
         "symbol", "start_index", F.array("log_return", "volatility", "mean_abs_return", "range_ratio").alias("scale")
     )
     features = shapes.join(scales, ["symbol", "start_index"]).withColumnRenamed("start_index", "input_start_index")
-    rows = T.annotate(I.pairs(spark, sf), CLASSES).join(features, ["symbol", "input_start_index"])
+    rows = I.soft_pairs(I.pairs(spark, sf)).join(features, ["symbol", "input_start_index"])
     rows = stage(rows.withColumn("both", F.concat("shape", "scale")), "controls")
     train = T.retained(rows)
-    ready = RP.with_soft_mass(rows, T.soft_class_weights(train, CLASSES))
     groups = {"shape": ("shape_z", "mass", 4 * N), "shape+scale": ("both_z", "mass", 4 * N + 4)}
+    nets = RP.grid(groups, CLASSES)
+    if train.isEmpty():
+        none = RP.unfitted(rows.withColumnRenamed("chronological_rank", "position"))
+        return tidy(RP.union([RP.compare_kinds(none, nets, group, K, LENGTH, start_expr=formula) for group in groups]))
+    ready = RP.with_soft_mass(rows, T.soft_class_weights(train, CLASSES))
     for column, (out, _, width) in zip(("shape", "both"), groups.values(), strict=True):
         ready = ML.standardize(ready, column, stage(ML.fit_standardizer(train, column, width), "standardizer"), out)
-    nets = RP.grid(groups, CLASSES)
     _, scored = RP.fit_and_predict(stage(ready.withColumnRenamed("chronological_rank", "position"), "controls"), nets)
     return tidy(RP.union([RP.compare_kinds(scored, nets, group, K, LENGTH, start_expr=formula) for group in groups]))

@@ -45,6 +45,11 @@ def fit_and_predict(
     return fitted, stage(scored.withColumn("predicted", predicted), "replicated")
 
 
+def unfitted(rows: DataFrame) -> DataFrame:
+    """What ``fit_and_predict`` scores where no model has training rows: nothing."""
+    return rows.where(F.lit(False)).withColumn("predicted", F.lit(None).cast("array<int>"))
+
+
 def paired_intervals(
     rows: DataFrame, models: dict[str, Sequence[int]], k: int, length: int, draws: int = DRAWS, seed: int = 7, baseline: str = "input_cluster_id", actual: str = "target_cluster_id", start_expr=None
 ) -> DataFrame:
