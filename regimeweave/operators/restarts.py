@@ -17,6 +17,11 @@ from regimeweave.operators.lockstep import matrix, sums_over_rows
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 START_ROWS = 4096
+BLOCK = 1 << 15  # numbers in a matrix of rows
+MOST = 1 << 24  # numbers of a task
+FEW = 1 << 22  # numbers that the driver adds up itself
+STEP_ROWS = 512  # rows and centers compared at once
+STEP_CENTERS = 1024
 
 
 @dataclass
@@ -39,8 +44,42 @@ def spread_start(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.stack(picked)
 
 
-def _squared(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return (x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1)
+def _blocks(rows: DataFrame, width: int, shift: np.ndarray) -> tuple[DataFrame, int]:
+    """``points`` and the number of tasks: the vectors less ``shift`` as matrices of ``BLOCK`` numbers, dealt evenly over the tasks however the rows lie in
+    their files, so that an iteration moves bytes instead of array elements."""
+    per = max(1, BLOCK // width)
+    numbers = rows.count() * width
+    tasks = max(min(rows.sparkSession.sparkContext.defaultParallelism, -(-numbers // BLOCK)), -(-numbers // MOST))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(0), width)[1] - shift
+            for at in range(0, len(x), per):
+                yield pa.RecordBatch.from_arrays([pa.array([x[at : at + per].tobytes()], pa.binary())], ["points"])
+
+    return rows.mapInArrow(pack, "points binary").repartition(tasks), tasks
+
+
+def _step(x: np.ndarray, fits: list[np.ndarray], costs: list[bool]) -> Iterator[np.ndarray]:
+    """For each of ``fits``, which have equally many centers: cost (0 unless in ``costs``), rows and sum of rows by nearest center."""
+    k, width = fits[0].shape
+    together = np.stack(fits, axis=1).reshape(-1, width)  # first centers of all fits, then the second, and so on
+    half = (together * together).sum(axis=1)[:, None] / 2
+    cost, n, total = np.zeros(len(fits)), np.zeros((k, len(fits))), np.zeros((k * len(fits), width))
+    for at in range(0, len(x), STEP_ROWS):
+        part = x[at : at + STEP_ROWS]
+        far = (half - together @ part.T).reshape(k, len(fits), -1)
+        best, own = far[0].copy(), np.zeros(far.shape[1:], np.int32)
+        for c in range(1, k):  # the first of equally near centers
+            np.copyto(own, c, where=far[c] < best)
+            np.minimum(best, far[c], out=best)
+        hot = (own == np.arange(k, dtype=np.int32)[:, None, None]).astype(float)
+        n += hot.sum(axis=2)
+        total += hot.reshape(len(together), -1) @ part
+        for j in np.flatnonzero(costs):
+            cost[j] += ((part - fits[j][own[j]]) ** 2).sum()
+    for j in range(len(fits)):
+        yield np.r_[cost[j], n[:, j], total[j :: len(fits)].ravel()]
 
 
 def fit_kmeans_many(
@@ -61,30 +100,30 @@ def fit_kmeans_many(
     shift = first.mean(axis=0)  # distances near the data's middle lose no digits
     width = first.shape[1]
 
-    def add(batch: pa.RecordBatch, params: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        x = matrix(batch.column(0), width)[1] - shift
-        if not len(x):
-            return
-        for i, centers in params.items():
-            far = _squared(x, centers)
-            own = far.argmin(axis=1)
-            hot = np.zeros((len(centers), len(x)))
-            hot[own, np.arange(len(x))] = 1.0
-            cost = ((x - centers[own]) ** 2).sum()
-            yield i, np.r_[cost, hot.sum(axis=1), (hot @ x).ravel()]
-
-    held = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    def add(batch: pa.RecordBatch, params: dict[int, tuple[np.ndarray, bool]]) -> Iterator[tuple[int, np.ndarray]]:
+        alike: dict[int, list[int]] = {}
+        for i, (centers, _) in params.items():
+            alike.setdefault(len(centers), []).append(i)
+        x = np.concatenate([np.frombuffer(points.as_buffer()) for points in batch.column(0)]).reshape(-1, width)
+        for k, fits in alike.items():
+            most = max(1, STEP_CENTERS // k)
+            for some in (fits[at : at + most] for at in range(0, len(fits), most)):
+                yield from zip(some, _step(x, [params[i][0] for i in some], [params[i][1] for i in some]), strict=True)
+
+    blocks, tasks = _blocks(rows, width, shift)
+    held = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    size = sum(1 + k + k * width for k, _ in starts)
     try:
         centers = {i: spread_start(first, k, seed) - shift for i, (k, seed) in enumerate(starts)}
         done: dict[int, Clusters] = {}
         settled: set[int] = set()
         for iteration in range(max_iter + 1):
-            todo = {i: c for i, c in centers.items() if i not in done}
+            todo = {i: (c, i in settled or iteration == max_iter) for i, c in centers.items() if i not in done}
             if not todo:
                 break
-            for i, sums in sums_over_rows(held, todo, add).items():
+            for i, sums in sums_over_rows(held, todo, add, merged=tasks * size > FEW).items():
                 k = len(centers[i])
-                if i in settled or iteration == max_iter:
+                if todo[i][1]:
                     done[i] = Clusters((centers[i] + shift).tolist(), float(sums[0]), iteration)
                     continue
                 n, total = sums[1 : 1 + k], sums[1 + k :].reshape(k, width)

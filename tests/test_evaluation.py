@@ -15,7 +15,7 @@ from regimeweave.operators import discovery as D
 from regimeweave.operators import metrics as MX
 from regimeweave.operators import models as ML
 from regimeweave.operators import regimes as R
-from regimeweave.operators import strides
+from regimeweave.operators import restarts, strides
 from regimeweave.operators.quality import GateError
 from regimeweave.operators.restarts import fit_kmeans_many, spread_start
 
@@ -143,6 +143,31 @@ def test_restarts_equal_lloyd(spark, blobs):
     assert fit_kmeans_many(same, "v", [(3, 0)])[0].cost == pytest.approx(0.0)
 
 
+def test_fits_read_blocks_dealt_over_the_tasks(spark, monkeypatch):
+    """Rows in one file part are stepped over by all tasks, and the fits are those of tasks' sums that meet in a shuffle."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(0, 1, (600, 4)) + 3 * rng.integers(0, 3, (600, 1))
+    rows = spark.createDataFrame([(p.tolist(),) for p in points] + [(None,)], "v array<double>").coalesce(1)
+    monkeypatch.setattr(restarts, "BLOCK", 64)
+    seen, step = [], restarts.sums_over_rows
+
+    def watched(held, params, add, **how):
+        seen.append((held.rdd.getNumPartitions(), how["merged"]))
+        return step(held, params, add, **how)
+
+    monkeypatch.setattr(restarts, "sums_over_rows", watched)
+    starts = [(2, 1), (3, 1), (3, 2)]
+    plain = fit_kmeans_many(rows, "v", starts)
+    assert set(seen) == {(spark.sparkContext.defaultParallelism, False)} and spark.sparkContext.defaultParallelism > 1
+    monkeypatch.setattr(restarts, "FEW", 0)
+    monkeypatch.setattr(restarts, "MOST", 300)
+    merged = fit_kmeans_many(rows, "v", starts)
+    assert seen[-1] == (8, True)
+    for a, b in zip(plain, merged, strict=True):
+        assert np.array(a.centers) == pytest.approx(np.array(b.centers)) and a.iterations == b.iterations
+        assert a.cost == pytest.approx(b.cost) == pytest.approx(((points[:, None] - np.array(a.centers)) ** 2).sum(2).min(1).sum())
+
+
 def test_sweep_measures_come_from_its_written_assignment(spark, blobs, tmp_path):
     measures, written = D.sweep_fits(blobs, "v", 3, "id", range(2, 5), n_init=3, repeats=3)
     got = {r.k: r for r in measures.collect()}
