@@ -1,9 +1,9 @@
-"""Phrase collocations: padded longest windows are counted, and a ROLLUP gives all shorter phrases.
+"""Phrase collocations: padded longest windows are counted, and their sums rolled up give all shorter phrases.
 
 Each word opens one window: itself and its lead words, up to four, padded where its piece ends. Every
 occurrence of a phrase is the beginning of exactly one window, so the sums over the windows' prefixes,
-which one ROLLUP gives, are the counts of all phrases of one to four words; no shorter n-gram is ever
-exploded. Before windows are built, tables of fixed size count hashed words and pairs, then the triples whose pairs
+rolled up level by level, are the counts of all phrases of one to four words; no shorter n-gram is ever
+exploded. Windows move once, packed, to the block of their first pair, and are rolled up there. Before windows are built, tables of fixed size count hashed words and pairs, then the triples whose pairs
 may be frequent, and so on. A bucket holds at least the count of each of its entries, so a window may end
 where its next longer beginning lies in a bucket below the least count: no phrase that reaches so far can be
 a candidate, nor part of one.
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ SCALE = 2_000_000
 TABLE_BITS = 26
 BLOCK_BITS = 16
 CHUNK = 1 << 20
+HELD = 1 << 20
+BLOCK_BYTES = 1 << 26
 TOP_PARTS = 64
 NO_LANG = "und"
 
@@ -172,56 +175,109 @@ def frequent_buckets(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     return [m.value for m in shared]
 
 
-def windows(docs: DataFrame, tables: list[bytes]) -> DataFrame:
-    """``lang, w1, ..., n``: padded windows and how often a task met them; '' pads.
+def _merge(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows as one, in the order of their columns, and the sums of ``n``."""
+    order = np.lexsort(columns[::-1])
+    columns, n = [c[order] for c in columns], n[order]
+    new = np.zeros(len(n), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.add.reduceat(n, first)
 
-    The first word of a window is padded too where no pair of it may be frequent, so all windows of a language together
-    are its words.
+
+def _pack(columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Rows in their order: steps of the first column, the others, counts; low bytes first, so that high ones take no room."""
+    steps = [np.diff(columns[0], prepend=0), *columns[1:]]
+    planes = [c.astype("<u4").view(np.uint8).reshape(-1, 4).T for c in steps] + [n.astype("<u8").view(np.uint8).reshape(-1, 8).T]
+    return zlib.compress(np.concatenate(planes).tobytes(), 1)
+
+
+def _unpack(packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4 * width + 8, -1)
+    columns = np.stack([np.ascontiguousarray(planes[4 * k : 4 * k + 4].T).view("<u4")[:, 0] for k in range(width)]).astype(np.int64)
+    columns[0] = np.cumsum(columns[0])
+    return columns, np.ascontiguousarray(planes[4 * width :].T).view("<u8")[:, 0].astype(np.int64)
+
+
+def windows(docs: DataFrame, tables: list[bytes], blocks: int = 1, held: int = HELD) -> DataFrame:
+    """``lang, block, words, codes``: padded windows and how often a task met them, packed by language and block of the first pair.
+
+    ``words`` are the block's words by their bytes, each ended by a line feed; ``codes`` holds the windows as places in them
+    from 1, where 0 pads, and their counts. The first word of a window is padded too where no pair of it may be frequent, so
+    all windows of a language together are its words. A task packs whenever it holds ``held`` different windows.
     """
     bits, longest = (len(tables[0]) * 8).bit_length() - 1, len(tables) + 1
     shared = [docs.sparkSession.sparkContext.broadcast(t) for t in tables]  # 2^bits / 8 bytes each
-    lead = [f"w{k + 1}" for k in range(longest)]
+
+    def chunk_windows(masks, data, bounds, names, lang):
+        """Hashes and spelling of the words that windows of some rows hold, the windows as a language and places from 1, their counts."""
+        data, start, end, row, joined, own = _hashes(data, bounds, names, lang)
+        total = len(start)
+        grams = Grams(own, joined)
+        grams.judge(masks[0], bits)
+        if longest > 2:  # a word without such a pair is part of no candidate
+            useful = (_marks(own[grams.may]) >> np.uint64(64 - bits)).astype(np.int64)
+            grams.may[grams.may] = (masks[1][useful >> 3] >> (7 - (useful & 7)).astype(np.uint8)) & 1 == 1
+        present = np.flatnonzero(grams.may)
+        hashes, example, code = np.unique(own[present], return_index=True, return_inverse=True)
+        number = np.zeros(total, np.int64)
+        number[present] = code + 1
+        columns = [lang[row], number]
+        for k in range(1, longest):
+            ahead = np.zeros(total, np.int64)
+            if k < total:
+                grams.longer()
+                grams.judge(masks[k - 1], bits)
+                ahead[:-k] = np.where(grams.may[:-k], number[k:], 0)
+            columns.append(ahead)
+        which = present[example]
+        return hashes, _spans(data, start[which], end[which]).slice(1), *_merge(columns, np.ones(total, np.int64))
+
+    def packed(names: list[str], parts: list) -> Iterator[pa.RecordBatch]:
+        hashes, example, code = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        words = pa.concat_arrays([p[1] for p in parts]).take(pa.array(example)).cast(pa.binary())
+        order = pc.array_sort_indices(words).to_numpy()
+        words, hashes = words.take(pa.array(order)), np.r_[np.uint64(0), hashes[order]]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        ends, columns = np.cumsum([len(p[0]) for p in parts]), []
+        for p, last in zip(parts, ends.tolist(), strict=True):
+            own = np.r_[0, place[code[last - len(p[0]) : last]]]
+            columns.append([p[2][0], *[own[c] for c in p[2][1:]]])
+        columns, n = _merge([np.concatenate(c) for c in zip(*columns, strict=True)], np.concatenate([p[3] for p in parts]))
+        block = (C.mix64(hashes[columns[1]] * np.uint64(3) + hashes[columns[2]]) % np.uint64(blocks)).astype(np.int64)
+        group = columns[0] * blocks + block
+        order = np.argsort(group, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            used, code = np.unique(np.stack([c[rows] for c in columns[1:]]), return_inverse=True)
+            code = code.reshape(longest, -1) + (used[0] > 0)
+            text = b"".join(w + b"\n" for w in words.take(pa.array(used[used > 0] - 1)).to_pylist())
+            out = [[names[columns[0][rows[0]]]], [int(block[rows[0]])], [zlib.compress(text, 1)], [_pack(list(code), n[rows])]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "block", "words", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [np.frombuffer(m.value, np.uint8) for m in shared]
+        known: dict[str, int] = {}
+        parts, size = [], 0
         for batch in batches:
             names, lang = _languages(batch.column(1))
+            numbers = np.array([known.setdefault(name, len(known)) for name in names], np.int64)
             for first, last, data, bounds in C.text_chunks(batch, "text", CHUNK):
-                data, start, end, row, joined, own = _hashes(data, bounds, names, lang[first:last])
-                total = len(start)
-                if not total:
+                part = chunk_windows(masks, data, bounds, names, lang[first:last]) if len(data) else None
+                if part is None or not len(part[3]):
                     continue
-                grams = Grams(own, joined)
-                grams.judge(masks[0], bits)
-                if longest > 2:  # a word without such a pair is part of no candidate
-                    useful = (_marks(own[grams.may]) >> np.uint64(64 - bits)).astype(np.int64)
-                    grams.may[grams.may] = (masks[1][useful >> 3] >> (7 - (useful & 7)).astype(np.uint8)) & 1 == 1
-                # words as numbers from 1; 0 pads
-                present = np.flatnonzero(grams.may)
-                _, example, code = np.unique(own[present], return_index=True, return_inverse=True)
-                number = np.zeros(total, np.int64)
-                number[present] = code + 1
-                columns = [lang[first:last][row], number]
-                for k in range(1, longest):
-                    ahead = np.zeros(total, np.int64)
-                    if k < total:
-                        grams.longer()
-                        grams.judge(masks[k - 1], bits)
-                        ahead[:-k] = np.where(grams.may[:-k], number[k:], 0)
-                    columns.append(ahead)
-                # equal windows of the chunk become one row
-                key = columns[0]
-                for c in columns[1:]:
-                    key = np.unique(key, return_inverse=True)[1] * (len(example) + 1) + c
-                _, chosen, n = np.unique(key, return_index=True, return_counts=True)
-                which = present[example]
-                texts = _spans(data, start[which], end[which])
-                own_words = [texts.take(pa.array(c[chosen])) for c in columns[1:]]
-                own_lang = pa.array(names, pa.string()).take(pa.array(columns[0][chosen]))
-                yield pa.RecordBatch.from_arrays([own_lang, *own_words, pa.array(n.astype(np.int64))], ["lang", *lead, "n"])
-
-    schema = "lang string, " + ", ".join(f"{w} string" for w in lead) + ", n bigint"
-    return C.map_arrow(docs.select("text", "lang"), run, schema)
+                part[2][0] = numbers[part[2][0]]
+                parts.append(part)
+                size += len(part[3])
+                if size >= held:
+                    yield from packed(list(known), parts)
+                    parts, size = [], 0
+        if parts:
+            yield from packed(list(known), parts)
+
+    return C.map_arrow(docs.select("text", "lang"), run, "lang string, block int, words binary, codes binary")
 
 
 def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -232,20 +288,52 @@ def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(start) + 1, [None, pa.py_buffer(cut.tobytes()), raw]).cast(pa.string())
 
 
-def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, bits: int = TABLE_BITS) -> DataFrame:
+def window_sums(table: pa.Table, longest: int, min_count: int) -> pa.Table:
+    """``lang, size, words, f`` of one block's windows: the beginnings of 2 to ``longest`` words that occur ``min_count`` times,
+    and at sizes 1 and 0 what the block adds to each first word and to the language's words."""
+    spelled, columns, counts, at = [], [], [], 0
+    for words, codes in zip(table.column("words").to_pylist(), table.column("codes").to_pylist(), strict=True):
+        raw = np.frombuffer(zlib.decompress(words), np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        spelled.append(_spans(raw, np.r_[0, ends + 1][:-1], ends))
+        found, n = _unpack(codes, longest)
+        columns.append(found + at)
+        counts.append(n)
+        at += len(spelled[-1])
+    coded = pa.concat_arrays(spelled).dictionary_encode()  # '' is the first of each, so 0 pads
+    code = coded.indices.to_numpy()
+    columns, n = _merge(list(code[np.concatenate(columns, axis=1)]), np.concatenate(counts))
+    new = np.zeros(len(n), bool)
+    new[0] = True
+    sizes, phrases, sums = [np.zeros(1, np.int32)], [np.zeros(0, np.int32)], [n.sum(keepdims=True)]
+    for k, c in enumerate(columns, 1):
+        new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        f = np.add.reduceat(n, first)
+        keep = (c[first] != 0) & ((f >= min_count) | (k == 1))  # one that ends in a pad is a shorter phrase once more
+        sizes.append(np.full(keep.sum(), k, np.int32))
+        phrases.append(np.stack([x[first[keep]] for x in columns[:k]], axis=1).ravel())
+        sums.append(f[keep])
+    size = np.concatenate(sizes)
+    offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+    words = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(np.concatenate(phrases))))
+    lang = pa.array([table.column("lang")[0].as_py()], pa.string()).take(pa.array(np.zeros(len(size), np.int32)))
+    return pa.table([lang, pa.array(size), words, pa.array(np.concatenate(sums))], ["lang", "size", "words", "f"])
+
+
+def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, bits: int = TABLE_BITS, blocks: int | None = None) -> DataFrame:
     """``lang, size, words, f``: every phrase of 2 to ``longest`` words that occurs ``min_count`` times, the words of such
-    phrases, and per language its number of words, at size 0. Words count within pieces, overlaps included."""
-    lead = [f"w{k + 1}" for k in range(longest)]
-    longest_windows = windows(docs, frequent_buckets(docs, min_count, longest, bits))
-    sums = longest_windows.rollup("lang", *lead).agg(F.sum("n").alias("f"), F.grouping_id().alias("_open"))
-    sums = sums.where(F.col("lang").isNotNull())
-    # a prefix that ends in a pad is a shorter phrase once more; these conditions go before the sums, so such rows never move
-    level = {k: F.col("_open") == 2 ** (longest - k) - 1 for k in range(longest + 1)}
-    for k, w in enumerate(lead):
-        sums = sums.where(~level[k + 1] | (F.col(w) != ""))
-    size = F.coalesce(*[F.when(level[k], k) for k in range(longest + 1)])
-    sums = sums.withColumn("size", size.cast("int")).where((F.col("size") == 0) | (F.col("f") >= min_count))
-    return sums.select("lang", "size", F.slice(F.array(*lead), 1, F.col("size")).alias("words"), "f")
+    phrases, and per language its number of words, at size 0. Words count within pieces, overlaps included.
+
+    Windows that begin with the same pair meet in one of ``blocks`` blocks of their language, by default one for each
+    ``BLOCK_BYTES`` of text, so a task holds the windows of about so much text."""
+    if blocks is None:
+        blocks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    packed = windows(docs, frequent_buckets(docs, min_count, longest, bits), blocks)
+    sums = packed.groupBy("lang", "block").applyInArrow(lambda table: window_sums(table, longest, min_count), "lang string, size int, words array<string>, f bigint")
+    sums = C.stage(sums)
+    short = sums.where("size < 2").groupBy("lang", "size", "words").agg(F.sum("f").alias("f")).where((F.col("size") == 0) | (F.col("f") >= min_count))
+    return short.unionByName(sums.where("size > 1"))
 
 
 def _wide(c: str | Column) -> Column:
@@ -263,10 +351,10 @@ def collocations(
     ties to the shorter first part. A phrase whose words lie inside a longer candidate with at least ``covered`` percent of
     its count goes. Order: score and ``a`` descending, phrase ascending by bytes. Products have 38 digits.
 
-    Words are told apart by their text from the shuffle on, and by a 64-bit hash within a megabyte of texts. The tasks
-    exchange windows that they have counted; the tables of ``2^bits`` bits that are broadcast have that size for any
+    Words are told apart by their text from the shuffle on, and by a 64-bit hash among the windows that a task packs together. The
+    tasks exchange windows that they have counted; the tables of ``2^bits`` bits that are broadcast have that size for any
     corpus, and the first ``top`` of a language are found in parts before they meet. The texts are read once for each
-    table and once for the windows. Tables that fill up let more windows pass and change no result.
+    table, once for the windows and once for their size. Tables that fill up let more windows pass and change no result.
     """
     counts = C.stage(phrase_counts(docs, min_count, longest, bits))
     totals = counts.where("size = 0").select("lang", F.col("f").alias("n"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,34 @@ def test_a_full_table_loses_nothing(spark, rows):
     assert few == many == brute(rows, 30, 4, 80, 2000)
 
 
+@pytest.mark.parametrize(("blocks", "held"), [(1, 1), (3, 40), (50, 1 << 20)])
+def test_packed_windows_hold_every_word(spark, rows, blocks, held):
+    """However often a task packs and whatever the blocks: sums of a block are exact, a pair is in one block only."""
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    packed = phrases.windows(docs, phrases.frequent_buckets(docs, 2, 3, 14), blocks, held)
+    found, total = Counter(), Counter()
+    for (lang, _), part in packed.toPandas().groupby(["lang", "block"]):
+        for r in phrases.window_sums(pa.Table.from_pandas(part, preserve_index=False), 3, 2).to_pylist():
+            assert r["size"] < 2 or (lang, *r["words"]) not in found
+            found[(lang, *r["words"])] += r["f"]
+    for _, text, lang, *_ in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(UPPER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[(lang,)] += len(w)
+            total.update((lang, *w[i : i + k]) for k in (2, 3) for i in range(len(w) - k + 1))
+    assert {k: v for k, v in found.items() if len(k) != 2} == {k: v for k, v in total.items() if v >= 2 or len(k) == 1 and v}
+
+
+def test_the_shuffle_is_bounded_by_the_words(spark):
+    """With every window let through, a task sends a few bytes for each, and one row for each language and block."""
+    rng = np.random.default_rng(5)
+    words = [" ".join(f"word{i}" for i in rng.zipf(1.3, 200) % 3000) for _ in range(500)]
+    docs = spark.createDataFrame([(t, "en") for t in words], "text string, lang string").coalesce(1)
+    packed = phrases.windows(docs, phrases.frequent_buckets(docs, 2, 4, 4), 2).collect()
+    assert len(packed) == 2 and sum(len(r.words) + len(r.codes) for r in packed) < 10 * 100_000
+
+
 def test_buckets_hold_at_least_the_counts(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     tables = phrases.frequent_buckets(docs, 30, 4, 12)
