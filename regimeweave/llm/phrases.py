@@ -1,9 +1,9 @@
-"""Phrase collocations: padded longest windows are counted, and their sums rolled up give all shorter phrases.
+"""Phrase collocations: padded longest windows are counted, and a ROLLUP gives all shorter phrases.
 
 Each word opens one window: itself and its lead words, up to four, padded where its piece ends. Every
 occurrence of a phrase is the beginning of exactly one window, so the sums over the windows' prefixes,
-rolled up level by level, are the counts of all phrases of one to four words; no shorter n-gram is ever
-exploded. Windows move once, packed, to the block of their first pair, and are rolled up there. Before windows are built, tables of fixed size count hashed words and pairs, then the triples whose pairs
+which one ROLLUP gives, are the counts of all phrases of one to four words; no shorter n-gram is ever
+exploded. Windows move packed to the block of their first pair, where equal ones become one before the ROLLUP. Before windows are built, tables of fixed size count hashed words and pairs, then the triples whose pairs
 may be frequent, and so on. A bucket holds at least the count of each of its entries, so a window may end
 where its next longer beginning lies in a bucket below the least count: no phrase that reaches so far can be
 a candidate, nor part of one.
@@ -288,9 +288,9 @@ def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(start) + 1, [None, pa.py_buffer(cut.tobytes()), raw]).cast(pa.string())
 
 
-def window_sums(table: pa.Table, longest: int, min_count: int) -> pa.Table:
-    """``lang, size, words, f`` of one block's windows: the beginnings of 2 to ``longest`` words that occur ``min_count`` times,
-    and at sizes 1 and 0 what the block adds to each first word and to the language's words."""
+def merged_windows(table: pa.Table, longest: int, min_count: int) -> pa.Table:
+    """``lang, w1, ..., n``: one block's windows and how often they occur, padded from where a beginning of two words or more
+    occurs less than ``min_count`` times. All windows with the same first pair are here, so these counts are whole."""
     spelled, columns, counts, at = [], [], [], 0
     for words, codes in zip(table.column("words").to_pylist(), table.column("codes").to_pylist(), strict=True):
         raw = np.frombuffer(zlib.decompress(words), np.uint8)
@@ -305,20 +305,19 @@ def window_sums(table: pa.Table, longest: int, min_count: int) -> pa.Table:
     columns, n = _merge(list(code[np.concatenate(columns, axis=1)]), np.concatenate(counts))
     new = np.zeros(len(n), bool)
     new[0] = True
-    sizes, phrases, sums = [np.zeros(1, np.int32)], [np.zeros(0, np.int32)], [n.sum(keepdims=True)]
-    for k, c in enumerate(columns, 1):
+    rare = np.zeros(len(n), bool)
+    for k, c in enumerate(columns):
         new[1:] |= c[1:] != c[:-1]
-        first = np.flatnonzero(new)
-        f = np.add.reduceat(n, first)
-        keep = (c[first] != 0) & ((f >= min_count) | (k == 1))  # one that ends in a pad is a shorter phrase once more
-        sizes.append(np.full(keep.sum(), k, np.int32))
-        phrases.append(np.stack([x[first[keep]] for x in columns[:k]], axis=1).ravel())
-        sums.append(f[keep])
-    size = np.concatenate(sizes)
-    offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
-    words = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(np.concatenate(phrases))))
-    lang = pa.array([table.column("lang")[0].as_py()], pa.string()).take(pa.array(np.zeros(len(size), np.int32)))
-    return pa.table([lang, pa.array(size), words, pa.array(np.concatenate(sums))], ["lang", "size", "words", "f"])
+        if k:
+            rare |= np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1] < min_count
+            columns[k] = np.where(rare, 0, c)
+    columns, n = _merge(columns, n)
+    lang = pa.array([table.column("lang")[0].as_py()], pa.string()).take(pa.array(np.zeros(len(n), np.int32)))
+    return pa.table([lang, *[coded.dictionary.take(pa.array(c)) for c in columns], pa.array(n)], ["lang", *_lead(longest), "n"])
+
+
+def _lead(longest: int) -> list[str]:
+    return [f"w{k + 1}" for k in range(longest)]
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, bits: int = TABLE_BITS, blocks: int | None = None) -> DataFrame:
@@ -326,14 +325,22 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     phrases, and per language its number of words, at size 0. Words count within pieces, overlaps included.
 
     Windows that begin with the same pair meet in one of ``blocks`` blocks of their language, by default one for each
-    ``BLOCK_BYTES`` of text, so a task holds the windows of about so much text."""
+    ``BLOCK_BYTES`` of text, so a task holds the windows of about so much text. The ROLLUP gets a block's different windows."""
     if blocks is None:
         blocks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    lead = _lead(longest)
     packed = windows(docs, frequent_buckets(docs, min_count, longest, bits), blocks)
-    sums = packed.groupBy("lang", "block").applyInArrow(lambda table: window_sums(table, longest, min_count), "lang string, size int, words array<string>, f bigint")
-    sums = C.stage(sums)
-    short = sums.where("size < 2").groupBy("lang", "size", "words").agg(F.sum("f").alias("f")).where((F.col("size") == 0) | (F.col("f") >= min_count))
-    return short.unionByName(sums.where("size > 1"))
+    schema = "lang string, " + ", ".join(f"{w} string" for w in lead) + ", n bigint"
+    longest_windows = packed.groupBy("lang", "block").applyInArrow(lambda table: merged_windows(table, longest, min_count), schema)
+    sums = longest_windows.rollup("lang", *lead).agg(F.sum("n").alias("f"), F.grouping_id().alias("_open"))
+    sums = sums.where(F.col("lang").isNotNull())
+    # a prefix that ends in a pad is a shorter phrase once more; these conditions go before the sums, so such rows never move
+    level = {k: F.col("_open") == 2 ** (longest - k) - 1 for k in range(longest + 1)}
+    for k, w in enumerate(lead):
+        sums = sums.where(~level[k + 1] | (F.col(w) != ""))
+    size = F.coalesce(*[F.when(level[k], k) for k in range(longest + 1)])
+    sums = sums.withColumn("size", size.cast("int")).where((F.col("size") == 0) | (F.col("f") >= min_count))
+    return sums.select("lang", "size", F.slice(F.array(*lead), 1, F.col("size")).alias("words"), "f")
 
 
 def _wide(c: str | Column) -> Column:

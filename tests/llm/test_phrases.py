@@ -71,11 +71,14 @@ def test_packed_windows_hold_every_word(spark, rows, blocks, held):
     """However often a task packs and whatever the blocks: sums of a block are exact, a pair is in one block only."""
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     packed = phrases.windows(docs, phrases.frequent_buckets(docs, 2, 3, 14), blocks, held)
-    found, total = Counter(), Counter()
-    for (lang, _), part in packed.toPandas().groupby(["lang", "block"]):
-        for r in phrases.window_sums(pa.Table.from_pandas(part, preserve_index=False), 3, 2).to_pylist():
-            assert r["size"] < 2 or (lang, *r["words"]) not in found
-            found[(lang, *r["words"])] += r["f"]
+    found, total, seen = Counter(), Counter(), {}
+    for (lang, block), part in packed.toPandas().groupby(["lang", "block"]):
+        merged = phrases.merged_windows(pa.Table.from_pandas(part, preserve_index=False), 3, 2).to_pylist()
+        assert len({(r["w1"], r["w2"], r["w3"]) for r in merged}) == len(merged)
+        for r in merged:
+            w = [x for x in (r["w1"], r["w2"], r["w3"]) if x]
+            assert len(w) < 2 or seen.setdefault((lang, *w[:2]), block) == block
+            found.update({(lang, *w[:k]): r["n"] for k in range(len(w) + 1)})
     for _, text, lang, *_ in rows:
         lang = "und" if lang is None else lang
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(UPPER)):
